@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, jaccard
 
 QUERIES = {
+    "op3_jaccard_join": jaccard.op3,
     "op6_decontaminate": decontaminate.op6,
 }
 
