@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ._shared import written
 
-MIN_SITES = 5
+MIN_SITES = 10
 LG_K = 11
 BAND = 0.1
 
