@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from . import _words as W
 
 UNKNOWN = "und"
-MAX_ROWS = 2400
-LANDMARKS = 600
+MAX_ROWS = 1600
+LANDMARKS = 400
 MAX_LANGUAGES = 400
 RIDGE = 1e-2
 _SIZE = 64 + 64**2 + 64**3
@@ -92,20 +92,22 @@ class Model:
 def fit(bits: list[bytes], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """bits: presence bit sets, ordered so that any first part holds all languages about equally."""
     names = sorted(set(languages))
-    rows = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)[:, :_SIZE]
-    used = np.flatnonzero(rows[:landmarks].any(0))
+    used = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits[:landmarks]]))[:_SIZE])
     column = np.full(_SIZE, len(used), np.int32)
     column[used] = np.arange(len(used))
-    x = rows[:, used].astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    marks = x[:landmarks]
+
+    def dense(some: list[bytes]) -> np.ndarray:
+        x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8))[used] for b in some]).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+    marks = dense(bits[:landmarks])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = value > value[-1] * 1e-6
     root = vector[:, keep] / np.sqrt(value[keep])  # K_mm^(-1/2), up to a rotation
-    phi = (x @ marks.T) @ root
+    phi = np.concatenate([dense(bits[i : i + 64]) @ marks.T for i in range(0, len(bits), 64)]) @ root
     y = np.array([[float(a == b) for b in names] for a in languages])
     bias = y.mean(0)
-    coef = np.linalg.solve(phi.T @ phi + ridge * len(x) / len(names) * np.eye(phi.shape[1]), phi.T @ (y - bias))
+    coef = np.linalg.solve(phi.T @ phi + ridge * len(bits) / len(names) * np.eye(phi.shape[1]), phi.T @ (y - bias))
     return Model(names, column, (marks.T @ (root @ coef)).astype(np.float32), bias.astype(np.float32))
 
 
