@@ -15,13 +15,18 @@ gathered or expanded into pairs:
 2. Prefix shingles that occur in two classes at least name a leader, the smallest class hash having them; each
    class follows the smallest leader among its shingles. A leader's followers are dealt out into chunks of
    bounded size by hash.
-3. Two chunks that have a prefix shingle in common make a tile. A tile holds two bounded chunks: there the
-   prefix filters of all orders and the sizes are intersected, pairs that pass are verified exactly on their
-   shingle sets, and pairs already connected inside the tile need no verification. A tile returns a spanning
-   forest of the links found, never all pairs.
-4. Links become components by alternating large-star and small-star steps.
-
-Every linked pair shares a prefix shingle, so its chunks share a tile and both ends get one component.
+3. Shingles of at most `PAIRED` classes give pairs of classes of fitting sizes; a pair belongs to the tile of its
+   two chunks, and only classes with a pair are sent to a tile. Shingles of more classes give no pairs: there
+   any two chunks that have such a shingle in common make a tile.
+4. A tile thus holds two bounded chunks at most. First it gets short signatures, the numbers of shingles in
+   each of a few buckets: the sum of the smaller numbers bounds the intersection of two sets from above, and
+   classes without a partner that this bound allows leave the tile.
+5. Then it gets texts: the prefix filters of all orders and the sizes are intersected, pairs that pass are
+   verified exactly on their shingle sets, and pairs already connected inside the tile need no verification. A
+   tile returns a spanning forest of the links found, never all pairs.
+6. Links become components by alternating large-star and small-star steps.
+
+Every linked pair shares a prefix shingle, so its classes meet in a tile and both ends get one component.
 
 Defined cases: null or wordless text has an empty set (n_shingles 0) and links with nothing; a text with fewer
 than k words has one shingle, the whole sequence; rows are compared one by one, rows repeating a doc_id too;
@@ -43,6 +48,7 @@ THRESHOLD = (85, 100)
 SKETCH_BITS = 19
 CHUNK_DOCS = 128
 CHUNK_SHINGLES = 50_000
+PAIRED = 32
 _ORDERS = (np.uint64(0x8BB84B93962EACC9), np.uint64(0x2D358DCCAA6C78A5))
 
 
@@ -90,7 +96,7 @@ def _sketch(docs: DataFrame, text: str, k: int, bits: int) -> np.ndarray:
             part = at[i : i + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cells[part])], names=["cell", "n"])
 
-    tasks = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    tasks = docs.sparkSession.sparkContext.defaultParallelism
     found = docs.select(text).coalesce(tasks).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(size)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
@@ -106,24 +112,104 @@ def _rare_first(one: np.ndarray, sketch: np.ndarray, bits: int) -> np.ndarray:
     return (sketch[(one >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (W.mix(one) >> np.uint64(8))
 
 
+def _buckets(one: np.ndarray) -> np.ndarray:
+    """Numbers of shingles in a power of two of buckets, 12 to 24 a bucket on average for all but small sets."""
+    size = max(16, 1 << max(0, (len(one) // 12).bit_length() - 1))
+    return np.bincount((W.mix(one + np.uint64(1)) & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint32)
+
+
+def _allowed(signs: list[np.ndarray], n: np.ndarray, left: np.ndarray, across: bool, threshold: tuple[int, int]) -> np.ndarray:
+    """Whether each member has a partner whose signature allows a link."""
+    t, u = threshold
+    out = np.zeros(len(signs), bool)
+    width = np.array([len(x) for x in signs])
+    full = {w: np.stack([signs[i] for i in np.flatnonzero(width == w)]) for w in np.unique(width).tolist()}
+    for w, rows in full.items():
+        at = np.flatnonzero(width == w)
+        for w2 in (x for x in full if x >= w):
+            at2 = np.flatnonzero(width == w2)
+            rows2 = full[w2].reshape(len(at2), w2 // w, w).sum(1)
+            for k, i in enumerate(at.tolist()):
+                fit = np.minimum(n[at2], n[i]) * u >= np.maximum(n[at2], n[i]) * t
+                fit &= at2 != i
+                if across:
+                    fit &= left[at2] != left[i]
+                some = np.flatnonzero(fit)
+                if len(some):
+                    most = np.minimum(rows2[some], rows[k]).sum(1)
+                    good = at2[some[(t + u) * most >= t * (n[at2[some]] + n[i])]]
+                    if len(good):
+                        out[i] = True
+                        out[good] = True
+    return out
+
+
+def _sift(members: DataFrame, threshold) -> DataFrame:
+    def sift(key, table):
+        signs = [np.frombuffer(x, np.uint32) for x in table["sig"].to_pylist()]
+        keep = _allowed(signs, table["n"].to_numpy(), np.array(table["left"].to_pylist()), key[2].as_py(), threshold)
+        return table.drop_columns(["n", "sig"]).filter(pa.array(keep))
+
+    return members.groupBy("c1", "c2", "across", "hot").applyInArrow(sift, "doc long, c1 long, c2 long, across boolean, left boolean, hot boolean")
+
+
 def _signatures(docs: DataFrame, doc_id: str, text: str, k: int, threshold, sketch, bits: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def sign(batches):
         for batch in batches:
-            n, h1, h2, tokens = [], [], [], []
+            n, h1, h2, tokens, signs = [], [], [], [], []
             for one in shingle_sets(batch.column(1), k):
                 n.append(len(one))
                 h1.append(int(np.add.reduce(W.mix(one))))
                 h2.append(int(np.add.reduce(W.mix(one ^ np.uint64(0xA5A5A5A5DEADBEEF)))))
                 tokens.append(_prefix(one, _rare_first(one, sent.value, bits), threshold).view(np.int64))
+                signs.append(_buckets(one).tobytes())
             u = lambda x: pa.array(W.mix(np.array(x, np.uint64)).view(np.int64))
             cuts = np.zeros(len(tokens) + 1, np.int32)
             np.cumsum([len(x) for x in tokens], out=cuts[1:])
             lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), u(h1), u(h2), lists], names=["doc", "n", "h1", "h2", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), u(h1), u(h2), lists, pa.array(signs, pa.binary())], names=["doc", "n", "h1", "h2", "tokens", "sig"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(sign, "doc long, n long, h1 long, h2 long, tokens array<long>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(sign, "doc long, n long, h1 long, h2 long, tokens array<long>, sig binary")
+
+
+def _of_several(batches):
+    """Of rows sorted by token and h1, without repeats, those whose token has several h1, with its smallest one.
+    Only the last row is held back from one batch to the next."""
+    names = ["token", "h1", "n", "leader"]
+    held = None  # token, h1, n, leader, and whether it is known to be shared
+    for batch in batches:
+        token, h1, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        if not len(token):
+            continue
+        if held is not None:
+            token, h1, n = np.append(held[0], token), np.append(held[1], h1), np.append(held[2], n)
+        keep = np.ones(len(token), bool)
+        keep[1:] = (token[1:] != token[:-1]) | (h1[1:] != h1[:-1])
+        token, h1, n = token[keep], h1[keep], n[keep]
+        new = np.ones(len(token), bool)
+        new[1:] = token[1:] != token[:-1]
+        leader = h1[np.flatnonzero(new)][np.cumsum(new) - 1]
+        again = ~new
+        if held is not None:
+            leader[np.cumsum(new) == 1] = held[3]
+            again[0] = held[4]
+        several = again.copy()
+        several[:-1] |= ~new[1:]
+        held = (token[-1], h1[-1], n[-1], leader[-1], bool(again[-1]))
+        out = several[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out]) for x in (token, h1, n, leader)], names=names)
+    if held is not None and held[4]:
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held[:4]], names=names)
+
+
+def _chunks(shared: DataFrame, docs: int, shingles: int) -> DataFrame:
+    """h1, chunk: each class with its leader's followers, dealt out by hash into chunks of bounded size. A
+    chunk's name is a hash of the leader and of the place among its chunks."""
+    follows = shared.groupBy("h1").agg(F.min("leader").alias("leader"), F.max("n").alias("n"))
+    sizes = follows.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / docs), F.ceil(F.sum("n") / shingles)).alias("chunks"))
+    return follows.join(sizes, "leader").select("h1", F.xxhash64("leader", F.pmod(F.xxhash64("h1"), F.col("chunks"))).alias("chunk"))
 
 
 class _Forest:
@@ -197,7 +283,7 @@ def forest(sets: list[np.ndarray], left: np.ndarray, across: bool, prefixes: lis
 
 
 def _links(members: DataFrame, k: int, threshold, sketch, bits: int) -> DataFrame:
-    """members: tile (two longs and whether they differ), left, doc, text. Returns the links each tile finds."""
+    """members: tile (two chunks, whether they differ, kind), left, doc, text. Returns the links each tile finds."""
     sent = members.sparkSession.sparkContext.broadcast(sketch)
 
     def verify(key, table):
@@ -211,7 +297,7 @@ def _links(members: DataFrame, k: int, threshold, sketch, bits: int) -> DataFram
         found = forest(sets, left, key[2].as_py(), orders, threshold)
         return pa.table({"a": pa.array([docs[i] for i, _ in found], pa.int64()), "b": pa.array([docs[j] for _, j in found], pa.int64())})
 
-    return members.groupBy("c1", "c2", "across").applyInArrow(verify, "a long, b long")
+    return members.groupBy("c1", "c2", "across", "hot").applyInArrow(verify, "a long, b long")
 
 
 def components(links: DataFrame, *, most: int = 60) -> DataFrame:
@@ -240,29 +326,34 @@ def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     sketch = _sketch(docs, text, k, sketch_bits)
     signed = written(_signatures(docs, doc_id, text, k, threshold, sketch, sketch_bits), "signatures")
     known = signed.where("doc is not null and n > 0")
-    classes = written(known.groupBy("h1", "h2").agg(F.min("doc").alias("rep")), "classes")
-
-    posts = known.select("h1", "n", F.explode("tokens").alias("token"))
-    leaders = posts.groupBy("token").agg(F.min("h1").alias("leader"), F.max("h1").alias("last")).where("leader <> last").drop("last")
-    shared = written(posts.join(leaders, "token").select("token", "h1", "n", "leader").distinct(), "prefixes")
-    follows = shared.groupBy("h1").agg(F.min("leader").alias("leader"), F.max("n").alias("n"))
-    sizes = follows.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / chunk_docs), F.ceil(F.sum("n") / chunk_shingles)).alias("chunks"))
-    # A chunk's name: a hash of the leader and of the place among its chunks.
-    dealt = follows.join(sizes, "leader").select("h1", F.xxhash64("leader", F.pmod(F.xxhash64("h1"), F.col("chunks"))).alias("chunk"))
-    dealt = written(dealt, "chunks")
-
-    seen = shared.select("token", "h1").join(dealt, "h1").select("token", "chunk").distinct()
-    several = seen.groupBy("token").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
-    mixed = written(seen.join(several.where("low <> high").select("token"), "token"), "shared")
-    other = mixed.select("token", F.col("chunk").alias("c2"))
-    tiles = mixed.select("token", F.col("chunk").alias("c1")).join(other, "token").where("c1 < c2").select("c1", "c2").distinct()
-    own = dealt.groupBy("chunk").agg(F.count("*").alias("n")).where("n > 1").select(F.col("chunk").alias("c1"), F.col("chunk").alias("c2"))
-    tiles = written(tiles.union(own), "tiles")
-    of_chunk = tiles.select(F.col("c1").alias("chunk"), "c1", "c2", F.lit(True).alias("left")).union(tiles.where("c1 <> c2").select(F.col("c2").alias("chunk"), "c1", "c2", F.lit(False).alias("left")))
-
-    wanted = dealt.join(classes, "h1").select(F.col("rep").alias("doc"), "chunk")
+    classes = written(known.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig")), "classes")
+
+    posts = known.select(F.explode("tokens").alias("token"), "h1", "n")
+    shared = written(posts.repartition("token").sortWithinPartitions("token", "h1").mapInArrow(_of_several, "token long, h1 long, n long, leader long"), "prefixes")
+    spread = shared.groupBy("token").count()
+    many = written(spread.where(F.col("count") > PAIRED).select("token"), "frequent")
+    few, frequent = shared.join(many, "token", "left_anti"), shared.join(many, "token", "left_semi")
+    ratio = lambda a, b: F.least(a, b) * threshold[1] >= F.greatest(a, b) * threshold[0]
+    left, right = few.select("token", F.col("h1").alias("a"), F.col("n").alias("n1")), few.select("token", F.col("h1").alias("b"), F.col("n").alias("n2"))
+    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & ratio(F.col("n1"), F.col("n2"))).select("a", "b").distinct()
+
+    dealt = written(_chunks(shared, chunk_docs, chunk_shingles), "chunks")
+    at = lambda x: dealt.select(F.col("h1").alias(x), F.col("chunk").alias(f"chunk_{x}"))
+    placed = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("chunk_a", "chunk_b").alias("c1"), F.greatest("chunk_a", "chunk_b").alias("c2"), (F.col("chunk_a") <= F.col("chunk_b")).alias("straight"))
+    ends = F.array(F.struct(F.col("a").alias("h1"), F.col("straight").alias("left")), F.struct(F.col("b").alias("h1"), (~F.col("straight")).alias("left")))
+    # Inside one chunk the side says nothing.
+    paired = placed.select("c1", "c2", F.explode(ends).alias("e")).select("e.h1", "c1", "c2", (F.col("e.left") | (F.col("c1") == F.col("c2"))).alias("left"), F.lit(False).alias("hot")).distinct()
+
+    close = written(_chunks(frequent, chunk_docs, chunk_shingles), "close")
+    seen = written(frequent.select("token", "h1").join(close, "h1").select("token", "chunk").distinct(), "seen")
+    tiles = seen.select("token", F.col("chunk").alias("c1")).join(seen.select("token", F.col("chunk").alias("c2")), "token").where("c1 <= c2").select("c1", "c2").distinct()
+    sides = F.when(F.col("c1") == F.col("c2"), F.array(F.struct(F.col("c1").alias("chunk"), F.lit(True).alias("left")))).otherwise(F.array(F.struct(F.col("c1").alias("chunk"), F.lit(True).alias("left")), F.struct(F.col("c2").alias("chunk"), F.lit(False).alias("left"))))
+    tiled = tiles.select("c1", "c2", F.explode(sides).alias("e")).select("e.chunk", "c1", "c2", "e.left").join(close, "chunk").select("h1", "c1", "c2", "left", F.lit(True).alias("hot"))
+
+    wanted = paired.union(tiled).join(classes, "h1").select(F.col("rep").alias("doc"), "c1", "c2", (F.col("c1") != F.col("c2")).alias("across"), "left", "hot", "n", "sig")
+    wanted = written(_sift(wanted, threshold), "members")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    members = texts.join(wanted, "doc").join(of_chunk, "chunk").select("c1", "c2", (F.col("c1") != F.col("c2")).alias("across"), "left", "doc", "text")
+    members = texts.join(wanted, "doc")
     found = components(_links(members, k, threshold, sketch, sketch_bits))
 
     labelled = classes.join(found, classes.rep == found.node, "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
