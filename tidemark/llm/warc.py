@@ -132,7 +132,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 def assemble(records: DataFrame) -> DataFrame:
     """One row per capture: capture_id, response (a response or revisit, null if there is none), requests and
-    metadata (arrays). All columns of records are inside the nested rows."""
+    metadata (arrays). All columns of records are inside the nested rows. Identifiers are read several times, so
+    records should be a table, not a scan of archives."""
     whole = F.struct(*[F.col(f"`{c}`") for c in records.columns])
     main = F.col("type").isin("response", "revisit")
     links = records.select("record_id", main.alias("main"), F.explode_outer("concurrent_to").alias("to"))
@@ -165,6 +166,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = read_records(spark, path)
     # Digest and size of what was read; pages' payloads need not travel on.
     slim = records.select("record_id", "type", "concurrent_to", "digest", F.when(F.col("type") == "metadata", warc_fields(F.col("payload"))["page-id"].cast("long")).alias("page_id"), F.sha1("payload").alias("sha1"), F.octet_length("payload").cast("long").alias("bytes"))
+    # assemble() reads its records several times: parse the archives once.
+    slim = written(slim, "records")
     captures = written(assemble(slim).select(F.col("response.type").alias("record_type"), F.col("response.digest").alias("digest"), F.col("response.sha1").alias("sha1"), F.col("response.bytes").alias("bytes"), F.col("metadata")[0]["page_id"].alias("page_id")), "assembled")
     kept = captures.where(F.col("record_type") == "response").groupBy("sha1").agg(F.max("page_id").alias("kept_id"), F.max("bytes").alias("kept_bytes"))
     kept = kept.join(captures.where("record_type = 'revisit'").select(F.col("digest").alias("sha1")).distinct(), "sha1", "left_semi")
