@@ -12,12 +12,11 @@ Order 0 generates candidates (its prefixes are joined on shingles), in a way tha
 gathered or expanded into pairs:
 
 1. Documents with equal sets are one class; only a class's smallest doc_id goes on.
-2. Prefix shingles that occur in two classes at least name a leader, the smallest class hash having them; each
-   class follows the smallest leader among its shingles. A leader's followers are dealt out into chunks of
-   bounded size by hash.
-3. Shingles of at most `PAIRED` classes give pairs of classes of fitting sizes; a pair belongs to the tile of its
-   two chunks, and only classes with a pair are sent to a tile. Shingles of more classes give no pairs: there
-   any two chunks that have such a shingle in common make a tile.
+2. Prefix shingles of 2 to `PAIRED` classes give pairs of classes of fitting sizes. A class follows the smallest
+   class it is paired with, and the followers of one leader are dealt out by hash into chunks of bounded size. A
+   pair belongs to the tile of its two chunks, and only classes with a pair are sent to a tile.
+3. Shingles of more classes give no pairs: there each class follows the smallest class with such a shingle,
+   followers are dealt into chunks likewise, and any two chunks with such a shingle in common make a tile.
 4. A tile thus holds two bounded chunks at most. First it gets short signatures, the numbers of shingles in
    each of a few buckets: the sum of the smaller numbers bounds the intersection of two sets from above, and
    classes without a partner that this bound allows leave the tile.
@@ -35,6 +34,8 @@ a null doc_id keeps its n_shingles and gets a null component_id. Extra columns a
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -174,40 +175,80 @@ def _signatures(docs: DataFrame, doc_id: str, text: str, k: int, threshold, sket
     return docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text")).mapInArrow(sign, "doc long, n long, h1 long, h2 long, tokens array<long>, sig binary")
 
 
-def _of_several(batches):
-    """Of rows sorted by token and h1, without repeats, those whose token has several h1, with its smallest one.
-    Only the last row is held back from one batch to the next."""
-    names = ["token", "h1", "n", "leader"]
-    held = None  # token, h1, n, leader, and whether it is known to be shared
-    for batch in batches:
-        token, h1, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        if not len(token):
-            continue
-        if held is not None:
-            token, h1, n = np.append(held[0], token), np.append(held[1], h1), np.append(held[2], n)
-        keep = np.ones(len(token), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (h1[1:] != h1[:-1])
-        token, h1, n = token[keep], h1[keep], n[keep]
-        new = np.ones(len(token), bool)
-        new[1:] = token[1:] != token[:-1]
-        leader = h1[np.flatnonzero(new)][np.cumsum(new) - 1]
-        again = ~new
-        if held is not None:
-            leader[np.cumsum(new) == 1] = held[3]
-            again[0] = held[4]
-        several = again.copy()
-        several[:-1] |= ~new[1:]
-        held = (token[-1], h1[-1], n[-1], leader[-1], bool(again[-1]))
-        out = several[:-1]
-        yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out]) for x in (token, h1, n, leader)], names=names)
-    if held is not None and held[4]:
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in held[:4]], names=names)
-
-
-def _chunks(shared: DataFrame, docs: int, shingles: int) -> DataFrame:
-    """h1, chunk: each class with its leader's followers, dealt out by hash into chunks of bounded size. A
+def _candidates(ratio: tuple[int, int], most: int):
+    """A pass over rows (token, h1, n) sorted by token and h1. A token of 2 to `most` classes gives the pairs of
+    classes whose sizes fit; one of more gives rows (token, class, leader), its leader the smallest class. No
+    more than the rows of one undecided token are held from batch to batch."""
+    t, u = ratio
+    names = ["token", "a", "b", "na", "nb"]
+
+    def rows(token, a, b, na, nb):
+        token = pa.nulls(len(a), pa.int64()) if token is None else pa.array(token)
+        return pa.RecordBatch.from_arrays([token, pa.array(a), pa.array(b), pa.array(na), pa.array(nb)], names=names)
+
+    def pairs(h1, n, first, size):
+        parts = []
+        for k in np.unique(size).tolist():
+            if 2 <= k <= most:
+                at = first[size == k][:, None]
+                i, j = np.triu_indices(k, 1)
+                parts.append(np.stack([(at + i).ravel(), (at + j).ravel()]))
+        if parts:
+            i, j = np.concatenate(parts, 1)
+            fit = np.minimum(n[i], n[j]) * u >= np.maximum(n[i], n[j]) * t
+            i, j = i[fit], j[fit]
+            order = np.lexsort((h1[j], h1[i]))
+            i, j = i[order], j[order]
+            new = np.ones(len(i), bool)
+            new[1:] = (h1[i[1:]] != h1[i[:-1]]) | (h1[j[1:]] != h1[j[:-1]])
+            i, j = i[new], j[new]
+            yield rows(None, h1[i], h1[j], n[i], n[j])
+
+    def frequent(token, h1, n, leader):
+        return rows(token, h1, leader, n, n)
+
+    def scan(batches):
+        held = [np.zeros(0, np.int64)] * 3
+        hot = None  # token, leader and last class of a frequent token whose rows still come
+        for batch in batches:
+            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            token, h1, n = (np.append(x, y) for x, y in zip(held, part, strict=True))
+            keep = np.ones(len(token), bool)
+            keep[1:] = (token[1:] != token[:-1]) | (h1[1:] != h1[:-1])
+            if hot and len(token) and token[0] == hot[0] and h1[0] == hot[2]:
+                keep[0] = False
+            token, h1, n = token[keep], h1[keep], n[keep]
+            if hot and len(token):
+                k = int(np.searchsorted(token, hot[0], "right")) if token[0] == hot[0] else 0
+                if k:
+                    yield frequent(token[:k], h1[:k], n[:k], np.full(k, hot[1]))
+                    hot = (hot[0], hot[1], h1[k - 1])
+                    token, h1, n = token[k:], h1[k:], n[k:]
+                if len(token):
+                    hot = None
+            if not len(token):
+                held = [np.zeros(0, np.int64)] * 3
+                continue
+            first = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            size = np.diff(np.append(first, len(token)))
+            if size[-1] > most:
+                hot = (token[-1], h1[first[-1]], h1[-1])
+                held = [np.zeros(0, np.int64)] * 3
+            else:
+                held = [x[first[-1] :] for x in (token, h1, n)]
+                first, size = first[:-1], size[:-1]
+            for i, k in zip(first[size > most].tolist(), size[size > most].tolist(), strict=True):
+                yield frequent(token[i : i + k], h1[i : i + k], n[i : i + k], np.full(k, h1[i]))
+            yield from pairs(h1, n, first, size)
+        yield from pairs(held[1], held[2], np.zeros(1, np.int64), np.array([len(held[1])]))
+
+    return scan
+
+
+def _chunks(follows: DataFrame, docs: int, shingles: int) -> DataFrame:
+    """h1, chunk from h1, leader, n: each leader's followers, dealt out by hash into chunks of bounded size. A
     chunk's name is a hash of the leader and of the place among its chunks."""
-    follows = shared.groupBy("h1").agg(F.min("leader").alias("leader"), F.max("n").alias("n"))
+    follows = follows.groupBy("h1").agg(F.min("leader").alias("leader"), F.max("n").alias("n"))
     sizes = follows.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / docs), F.ceil(F.sum("n") / shingles)).alias("chunks"))
     return follows.join(sizes, "leader").select("h1", F.xxhash64("leader", F.pmod(F.xxhash64("h1"), F.col("chunks"))).alias("chunk"))
 
@@ -321,6 +362,21 @@ def components(links: DataFrame, *, most: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
 
 
+@contextmanager
+def _bloom_filters(spark: SparkSession):
+    """Lets Spark use runtime Bloom filters whatever the size of the filtered side."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int = SKETCH_BITS, chunk_docs: int = CHUNK_DOCS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id of every row."""
     sketch = _sketch(docs, text, k, sketch_bits)
@@ -329,22 +385,19 @@ def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     classes = written(known.groupBy("h1", "h2").agg(F.min("doc").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig")), "classes")
 
     posts = known.select(F.explode("tokens").alias("token"), "h1", "n")
-    shared = written(posts.repartition("token").sortWithinPartitions("token", "h1").mapInArrow(_of_several, "token long, h1 long, n long, leader long"), "prefixes")
-    spread = shared.groupBy("token").count()
-    many = written(spread.where(F.col("count") > PAIRED).select("token"), "frequent")
-    few, frequent = shared.join(many, "token", "left_anti"), shared.join(many, "token", "left_semi")
-    ratio = lambda a, b: F.least(a, b) * threshold[1] >= F.greatest(a, b) * threshold[0]
-    left, right = few.select("token", F.col("h1").alias("a"), F.col("n").alias("n1")), few.select("token", F.col("h1").alias("b"), F.col("n").alias("n2"))
-    pairs = left.join(right, "token").where((F.col("a") < F.col("b")) & ratio(F.col("n1"), F.col("n2"))).select("a", "b").distinct()
-
-    dealt = written(_chunks(shared, chunk_docs, chunk_shingles), "chunks")
+    found = written(posts.repartition("token").sortWithinPartitions("token", "h1").mapInArrow(_candidates(threshold, PAIRED), "token long, a long, b long, na long, nb long"), "candidates")
+    pairs = written(found.where("token is null").select("a", "b", "na", "nb").distinct(), "pairs")
+    frequent = found.where("token is not null").select("token", F.col("a").alias("h1"), F.col("b").alias("leader"), F.col("na").alias("n"))
+
+    both = F.array(F.struct(F.col("a").alias("h1"), F.col("na").alias("n")), F.struct(F.col("b").alias("h1"), F.col("nb").alias("n")))
+    dealt = written(_chunks(pairs.select(F.col("a").alias("leader"), F.explode(both).alias("e")).select("e.h1", "e.n", "leader"), chunk_docs, chunk_shingles), "chunks")
     at = lambda x: dealt.select(F.col("h1").alias(x), F.col("chunk").alias(f"chunk_{x}"))
-    placed = pairs.join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("chunk_a", "chunk_b").alias("c1"), F.greatest("chunk_a", "chunk_b").alias("c2"), (F.col("chunk_a") <= F.col("chunk_b")).alias("straight"))
+    placed = pairs.select("a", "b").join(at("a"), "a").join(at("b"), "b").select("a", "b", F.least("chunk_a", "chunk_b").alias("c1"), F.greatest("chunk_a", "chunk_b").alias("c2"), (F.col("chunk_a") <= F.col("chunk_b")).alias("straight"))
     ends = F.array(F.struct(F.col("a").alias("h1"), F.col("straight").alias("left")), F.struct(F.col("b").alias("h1"), (~F.col("straight")).alias("left")))
     # Inside one chunk the side says nothing.
     paired = placed.select("c1", "c2", F.explode(ends).alias("e")).select("e.h1", "c1", "c2", (F.col("e.left") | (F.col("c1") == F.col("c2"))).alias("left"), F.lit(False).alias("hot")).distinct()
 
-    close = written(_chunks(frequent, chunk_docs, chunk_shingles), "close")
+    close = written(_chunks(frequent.select("h1", "leader", "n"), chunk_docs, chunk_shingles), "close")
     seen = written(frequent.select("token", "h1").join(close, "h1").select("token", "chunk").distinct(), "seen")
     tiles = seen.select("token", F.col("chunk").alias("c1")).join(seen.select("token", F.col("chunk").alias("c2")), "token").where("c1 <= c2").select("c1", "c2").distinct()
     sides = F.when(F.col("c1") == F.col("c2"), F.array(F.struct(F.col("c1").alias("chunk"), F.lit(True).alias("left")))).otherwise(F.array(F.struct(F.col("c1").alias("chunk"), F.lit(True).alias("left")), F.struct(F.col("c2").alias("chunk"), F.lit(False).alias("left"))))
@@ -353,8 +406,12 @@ def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     wanted = paired.union(tiled).join(classes, "h1").select(F.col("rep").alias("doc"), "c1", "c2", (F.col("c1") != F.col("c2")).alias("across"), "left", "hot", "n", "sig")
     wanted = written(_sift(wanted, threshold), "members")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    members = texts.join(wanted, "doc")
-    found = components(_links(members, k, threshold, sketch, sketch_bits))
+    # Chunks are ordered, so the condition always holds; with it Spark may send a Bloom filter of the members to
+    # the scan of the texts, so that the texts of other documents are not shuffled.
+    members = texts.join(wanted.where("c1 <= c2"), "doc")
+    with _bloom_filters(docs.sparkSession):
+        links = written(_links(members, k, threshold, sketch, sketch_bits), "links")
+    found = components(links)
 
     labelled = classes.join(found, classes.rep == found.node, "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
     out = signed.where("n > 0").join(labelled, ["h1", "h2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.col("rep")).alias("class_id"), F.when(F.col("doc").isNotNull(), F.col("component")).alias("component_id"))
