@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +20,7 @@ from .functions import time, values
 from .operators import content, graph, history, introspection, lifecycle, search
 from .plans import syntax as S
 from .plans.compiler import Catalog, Compiler, Primitive, RuleProblem
-from .sources import schema
+from .sources import config, schema
 
 CAPABILITIES = ("Read", "ReadFull", "Search", "Match", "Eval", "TrailPrivateRead", "Extract")
 
@@ -66,6 +67,15 @@ def primitives() -> dict[str, Primitive]:
     return {x.name: x for x in known}
 
 
+def _bound(atom, values_: dict):
+    """An atom with verb_arg("name", term) put as term = value, which keeps each argument's own type."""
+    if isinstance(atom, S.Call) and atom.name == "verb_arg" and len(atom.args) == 2 and isinstance(atom.args[0], S.Lit) and atom.args[0].value in values_:
+        return S.Compare("=", atom.args[1], S.Lit(values_[atom.args[0].value]))
+    if isinstance(atom, (S.At, S.Aggregate)):
+        return replace(atom, body=tuple(_bound(a, values_) for a in atom.body))
+    return atom
+
+
 class Engine:
     """Context of primitives and plans. `day` is the evaluation day, as days since 1970-01-01."""
 
@@ -147,8 +157,6 @@ class Engine:
         """Dense rank over all rows, highest key first, without one task for all of them: distinct keys are
         range-partitioned and numbered by partition offsets."""
         keys = self.written(df.select(key).distinct().repartitionByRange(F.col(key).desc_nulls_last()).sortWithinPartitions(F.col(key).desc_nulls_last()).withColumn("_part", F.spark_partition_id()))
-        from pyspark.sql import Window
-
         sizes = keys.groupBy("_part").agg(F.count("*").alias("_size"))
         before = sizes.select("_part", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
         inside = F.row_number().over(Window.partitionBy("_part").orderBy(F.col(key).desc_nulls_last()))
@@ -190,15 +198,11 @@ class Engine:
         for n in sorted(replaced):
             self.warnings.append(f"{n} is redefined by {layer}")
         merged = S.Program(rules=[r for r in self.program.rules if r.name not in replaced], annotations=list(self.program.annotations), blocks=list(self.program.blocks), optional=list(self.program.optional))
-        from dataclasses import replace
-
         merged.rules += [replace(r, layer=layer) for r in program.rules]
         merged.annotations += program.annotations
         merged.blocks += program.blocks
         merged.optional += program.optional
         self.program = merged
-        from .sources import config
-
         rows = config.rows(program.blocks)
         if rows:
             self.add("config", schema.rows(self.spark, "config", rows))
@@ -248,9 +252,16 @@ class Engine:
                 raise TypeError(f"verb {name} needs {key.strip()}")
         if args:
             raise TypeError(f"verb {name} has no argument {', '.join(sorted(args))}")
-        bound = "".join(f"verb_arg({introspection.quoted(k)}, {introspection.quoted(v)}). " for k, v in values_.items())
-        text = bound + str(found["query"])
-        return self.query(text if values_ else f"optional verb_arg(name, value). {text}")
+        program = S.parse(str(found["query"]), f"verb {name}")
+        bind = lambda atoms: tuple(_bound(a, values_) for a in atoms)
+        program.rules = [replace(r, body=bind(r.body)) for r in program.rules]
+        program.queries = [replace(q, body=bind(q.body), rules=tuple(replace(r, body=bind(r.body)) for r in q.rules)) for q in program.queries]
+        program.rules += [S.Rule("verb_arg", (S.Lit(k), S.Lit(v)), (), f"verb {name}") for k, v in values_.items()]
+        engine = self._copy()
+        engine.merge(program, "query")
+        out = engine.compiler().query(program.queries[0])
+        self._held += engine._held
+        return out
 
     def close(self) -> None:
         for df in self._held:

@@ -9,24 +9,23 @@ from __future__ import annotations
 from ..plans.compiler import Primitive
 from . import checks, convergence, orientation, structure, topic, views
 from .base import REGISTRY, Library
+from .verbs import VERBS
 
 __all__ = ["REGISTRY", "Library", "checks", "convergence", "install", "orientation", "structure", "topic", "views"]
 
-#: Read by many plans of one query, so kept once computed.
-SHARED = ("diagnostic", "entropy")
-
-
 def _build(name: str):
     def build(ctx):
         lib = getattr(ctx, "_library", None)
-        if lib is None or lib.ctx.program is not ctx.program or lib.made_of != tuple(map(id, ctx.relations.values())):
+        made_of = (ctx.program, *ctx.relations.values())
+        if lib is None or len(lib.made_of) != len(made_of) or any(a is not b for a, b in zip(lib.made_of, made_of, strict=True)):
             lib = ctx._library = Library(ctx)
-            lib.made_of = tuple(map(id, ctx.relations.values()))
-        df = lib.shared(name) if name in SHARED else lib(name)
+            lib.made_of = made_of
+        df = lib(name)
         return df.toDF(*[f"p{i}" for i in range(len(df.columns))])
 
     return build
 
 
 def install(engine) -> None:
+    engine.load(VERBS, "library", "library")
     engine.primitives = engine.primitives | {s.name: Primitive(s.name, s.params, _build(s.name), soft=not s.protected, doc=s.doc) for s in REGISTRY.values()}

@@ -22,6 +22,12 @@ class Spec:
 
 REGISTRY: dict[str, Spec] = {}
 
+#: Read by many plans of one query, so kept once computed instead of being planned into each of them.
+SHARED = {
+    "active", "terminal", "lifecycle_status_classification", "diagnostic", "entropy", "potential", "primary_entropy", "blocked", "status_broken",
+    "recently_advanced", "regressed", "re_opened", "holding", "status_drifting_reason", "orientation_inbound_count", "anchor_signal", "anchor_eligible", "stale_reference", "broken_reference", "confidence_gap",
+}
+
 
 def predicate(name: str, params: str, axis: str, protected: bool = False):
     """Registers fn(library) -> DataFrame with the parameters among its columns."""
@@ -62,7 +68,8 @@ class Library:
     def __call__(self, name: str, *columns: str) -> DataFrame:
         """The predicate's rows, columns renamed as given or by its parameters."""
         if name not in self.known:
-            self.known[name] = self._plan(name)
+            df = self._plan(name)
+            self.known[name] = self.ctx.shared(df) if name in SHARED else df
         df = self.known[name]
         return df.toDF(*columns) if columns else df
 
@@ -100,13 +107,6 @@ class Library:
     def nothing(self, kinds: str) -> DataFrame:
         return self.ctx.local([], kinds)
 
-    def shared(self, name: str) -> DataFrame:
-        """A predicate that many plans read, kept."""
-        df = self(name)
-        if not df.is_cached:
-            self.known[name] = df = self.ctx.shared(df)
-        return df
-
 
 def counted(universe: DataFrame, keys: list[str], rows: DataFrame, value: str | list[str], out: str) -> DataFrame:
     """Distinct values per key over a universe of keys, 0 where there is none."""
