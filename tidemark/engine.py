@@ -147,7 +147,7 @@ class Engine:
             self.spark.conf.set("spark.checkpoint.dir", found)
         path = f"{found.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
         void = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
-        df.select(*[F.col(c).cast("string").alias(c) if c in void else F.col(c) for c in df.columns]).write.parquet(path)
+        df.select(*[F.col(c).cast("string").alias(c) if c in void else F.col(c) for c in df.columns]).coalesce(2 * self.spark.sparkContext.defaultParallelism).write.parquet(path)
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         back = self.spark.read.parquet(path)
@@ -235,7 +235,7 @@ class Engine:
         self._held += engine._held if engine is not self else []
         return out
 
-    def verb(self, name: str, **args) -> DataFrame:
+    def verb(self, name: str, /, **args) -> DataFrame:
         """A saved query, its arguments bound as verb_arg(name, value) facts."""
         found = next((a.args for a in reversed(self.program.annotations) if a.kind == "verb" and a.args["name"] == name), None)
         if found is None:
