@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -182,7 +183,7 @@ def test_folded_scores_equal_kernel_regression():
     for i in range(60):
         flags = np.zeros(language._SIZE, bool)
         flags[rng.choice(np.arange((i % 3) * 50, (i % 3) * 50 + 200), 60, replace=False)] = True
-        bits.append(np.packbits(flags).tobytes())
+        bits.append(zlib.compress(np.packbits(flags).tobytes()))
         langs.append("abc"[i % 3])
     model = language.fit(bits, langs, landmarks=20)
     text = b"some text of a few words"

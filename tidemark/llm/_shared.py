@@ -37,7 +37,16 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from Parquet in the shared folder: lineage is cut, a lost executor costs
-    no recomputation, and the planner knows the table's size."""
+    no recomputation, and the planner knows the table's size. Two tasks a core write: every core has work, and
+    a table has no more files than that however many partitions it was made of."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole texts: as many rows as the default would not fit small executors. A setting of
+    the session's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")

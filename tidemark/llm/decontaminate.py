@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
+from ._shared import small_batches
 
 N = 13
 MAX_WINDOWS = 1_000_000
@@ -143,6 +144,7 @@ def _shards(benchmark: DataFrame, item_id: str, text: str, n: int, max_windows:
 
 def annotate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """docs with `_td_words` and `_td_hits` (word range, byte range, item ids) of every verified window."""
+    small_batches(docs.sparkSession)
     out, last = docs, None
     for shard in _shards(benchmark, item_id, item_text, n, max_windows):
         out = _pass(out, text, {k: v for k, v in shard.items() if v}, last)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import written
+from ._shared import small_batches, written
 
 K = 4
 THRESHOLD = (85, 100)
@@ -379,6 +379,7 @@ def _bloom_filters(spark: SparkSession):
 
 def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int = SKETCH_BITS, chunk_docs: int = CHUNK_DOCS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id of every row."""
+    small_batches(docs.sparkSession)
     sketch = _sketch(docs, text, k, sketch_bits)
     signed = written(_signatures(docs, doc_id, text, k, threshold, sketch, sketch_bits), "signatures")
     known = signed.where("doc is not null and n > 0")

@@ -18,6 +18,7 @@ lang_pred and score are replaced.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
+from ._shared import small_batches
 
 UNKNOWN = "und"
-MAX_ROWS = 1600
-LANDMARKS = 400
+MAX_ROWS = 1200
+LANDMARKS = 300
 MAX_LANGUAGES = 400
 RIDGE = 1e-2
 _SIZE = 64 + 64**2 + 64**3
@@ -90,14 +92,18 @@ class Model:
 
 
 def fit(bits: list[bytes], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """bits: presence bit sets, ordered so that any first part holds all languages about equally."""
+    """bits: compressed presence bit sets, ordered so that any first part holds all languages about equally."""
     names = sorted(set(languages))
-    used = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in bits[:landmarks]]))[:_SIZE])
+    bitset = lambda b: np.frombuffer(zlib.decompress(b), np.uint8)
+    seen = np.zeros(-(-_SIZE // 8), np.uint8)
+    for b in bits[:landmarks]:
+        seen |= bitset(b)
+    used = np.flatnonzero(np.unpackbits(seen)[:_SIZE])
     column = np.full(_SIZE, len(used), np.int32)
     column[used] = np.arange(len(used))
 
     def dense(some: list[bytes]) -> np.ndarray:
-        x = np.stack([np.unpackbits(np.frombuffer(b, np.uint8))[used] for b in some]).astype(np.float32)
+        x = np.stack([np.unpackbits(bitset(b))[used] for b in some]).astype(np.float32)
         return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
     marks = dense(bits[:landmarks])
@@ -114,6 +120,7 @@ def fit(bits: list[bytes], languages: list[str], landmarks: int = LANDMARKS, rid
 def train(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS, max_languages: int = MAX_LANGUAGES) -> Model | None:
     """A model of the labels in rows. Counts of labels cover all rows; the texts learned from are a sample of
     at most max_rows rows, chosen by a hash of doc_id."""
+    small_batches(rows.sparkSession)
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     counts = {r.l: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()}
     if not counts:
@@ -130,10 +137,10 @@ def train(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
                 for i in range(end - first):
                     flags = np.zeros(_SIZE, bool)
                     flags[grams(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0]] = True
-                    packed.append(np.packbits(flags).tobytes())
+                    packed.append(zlib.compress(np.packbits(flags).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["l", "h", "b"])
 
-    found = sample.select("t", "l", "h").mapInArrow(bits, "l string, h double, b binary").orderBy("h").limit(2 * max_rows).toArrow().to_pylist()
+    found = sample.select("t", "l", "h").mapInArrow(bits, "l string, h double, b binary").orderBy("h").limit(2 * max_rows).collect()
     by: dict[str, list[bytes]] = {}
     for row in found:
         if len(own := by.setdefault(row["l"], [])) < each:
@@ -157,6 +164,7 @@ def lettered(column: pa.Array) -> np.ndarray:
 
 def predict(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
     """docs with lang_pred and score (the softmax of the regressions' outputs)."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
+from ._shared import small_batches
 
 MAX_DOCS = 3000
 MIN_SHARE = (1, 2)
@@ -200,6 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 def judge(docs: DataFrame, field: Field | None, *, text: str = "text", min_share: tuple[int, int] = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the base counts, base_failed, content_share (of words) and kept."""
+    small_batches(docs.sparkSession)
     names = [*COUNTS, "base_failed", "content_share", "kept"]
     docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in COUNTS], T.StructField("base_failed", T.BooleanType()), T.StructField("content_share", T.DoubleType()), T.StructField("kept", T.BooleanType())])

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._shared import written
+from ._shared import small_batches, written
 
 #: The base kinds in their order, with their patterns and least lengths.
 KINDS = ("assign", "access", "hex")
@@ -226,6 +226,7 @@ def train(docs: DataFrame, *, text: str = "text", max_labelled: int = MAX_LABELL
         ascii_only = [(c, n) for c, n in letters.items() if c < "\x80"]
         yield pa.RecordBatch.from_arrays([pa.array([""] * len(ascii_only), pa.string()), pa.array([c for c, _ in ascii_only], pa.string()), pa.array([n for _, n in ascii_only], pa.int64())], names=["kind", "value", "n"])
 
+    small_batches(docs.sparkSession)
     counted = docs.select(text).mapInArrow(gather, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("value"))
     background, labelled = Counter(), {}
     counted = written(counted, "credentials")
@@ -238,6 +239,7 @@ def train(docs: DataFrame, *, text: str = "text", max_labelled: int = MAX_LABELL
 
 def scan(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
     """docs with n_assign, n_access, n_hex, and arrays base and found of (kind, start, end), by start."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(*RESULTS)
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, *[T.StructField(c, T.LongType()) for c in RESULTS[:3]], T.StructField("base", span), T.StructField("found", span)])
