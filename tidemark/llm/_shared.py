@@ -37,10 +37,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from Parquet in the shared folder: lineage is cut, a lost executor costs
-    no recomputation, and the planner knows the table's size. Two tasks a core write: every core has work, and
-    a table has no more files than that however many partitions it was made of."""
-    path = new_path(df.sparkSession, name)
-    df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+    no recomputation, and the planner knows the table's size. Some shuffle partitions share a writing task, with
+    two tasks a core at least: every core has work, and tables have few files."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
