@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -79,35 +80,52 @@ def _bound(atom, values_: dict):
 class Engine:
     """Context of primitives and plans. `day` is the evaluation day, as days since 1970-01-01."""
 
-    #: Configuration is a table of settings: small enough to be sent to every executor.
-    small_config = True
-
     def __init__(self, spark: SparkSession, *, evaluation_day: int | None = None, capabilities: tuple[str, ...] = CAPABILITIES):
         self.spark, self.day = spark, time.today() if evaluation_day is None else evaluation_day
         self.capabilities = set(capabilities)
         self.relations: dict[str, DataFrame] = {}
+        self.pending: dict[str, Callable[[], DataFrame]] = {}
         self.program = S.Program()
         self.primitives = primitives()
         self.warnings: list[str] = []
         self._held: list[DataFrame] = []
         self._histories: dict[str, Engine] = {}
-        self.frames: dict[str, tuple[tuple[str, ...], object]] = {}
+        self.version = object()
 
     # Relations
 
     def register(self, name: str, df: DataFrame) -> None:
         """Adds or replaces a stored relation. Known relations get their full schema; any other table keeps its
         columns, as values of the language."""
-        self.relations[name] = schema.conform(name, df) if name in schema.FIELDS else values.plain(df)
+        self.pending.pop(name, None)
+        self.relations[name] = self._valued(name, df)
+        self.changed()
+
+    @staticmethod
+    def _valued(name: str, df: DataFrame) -> DataFrame:
+        return schema.conform(name, df) if name in schema.FIELDS else values.plain(df)
+
+    def changed(self) -> None:
+        """What was planned from relations or rules so far holds no more."""
+        self.version = object()
         self._histories.clear()
 
+    def register_lazily(self, name: str, load: Callable[[], DataFrame]) -> None:
+        """Registers a table that is opened only when a plan first reads it."""
+        self.relations.pop(name, None)
+        self.pending[name] = load
+        self.changed()
+
     def add(self, name: str, df: DataFrame) -> None:
-        self.register(name, df if name not in self.relations else self.relations[name].unionByName(schema.conform(name, df)))
+        known = name in self.relations or name in self.pending
+        self.register(name, self.relation(name).unionByName(schema.conform(name, df)) if known else df)
 
     def facts(self, name: str, records: list[dict]) -> None:
         self.register(name, schema.rows(self.spark, name, records))
 
     def relation(self, name: str) -> DataFrame:
+        if name in self.pending:
+            self.relations[name] = self._valued(name, self.pending.pop(name)())
         if name in self.relations:
             return self.relations[name]
         if name in schema.FIELDS:
@@ -116,6 +134,8 @@ class Engine:
 
     def hide(self, hidden: DataFrame) -> Engine:
         """An engine without the facts of (corpus, source, native_id) in hidden, removed before any rule."""
+        for name in list(self.pending):
+            self.relation(name)
         out = self._copy()
         for name, df in self.relations.items():
             if name in schema.FIELDS and schema.FIELDS[name][0]:
@@ -124,7 +144,8 @@ class Engine:
 
     def _copy(self) -> Engine:
         out = Engine(self.spark, evaluation_day=self.day, capabilities=tuple(self.capabilities))
-        out.relations, out.program, out.warnings, out.primitives, out.frames = dict(self.relations), self.program, self.warnings, self.primitives, self.frames
+        out.relations, out.pending = dict(self.relations), dict(self.pending)
+        out.program, out.warnings, out.primitives = self.program, self.warnings, self.primitives
         return out
 
     # What plans ask of their context
@@ -147,7 +168,7 @@ class Engine:
             self.spark.conf.set("spark.checkpoint.dir", found)
         path = f"{found.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
         void = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
-        df.select(*[F.col(c).cast("string").alias(c) if c in void else F.col(c) for c in df.columns]).coalesce(2 * self.spark.sparkContext.defaultParallelism).write.parquet(path)
+        df.select(*[F.col(c).cast("string").alias(c) if c in void else F.col(c) for c in df.columns]).coalesce(max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)).write.parquet(path)
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         back = self.spark.read.parquet(path)
@@ -170,9 +191,10 @@ class Engine:
     def at(self, ref: str) -> Engine:
         if ref not in self._histories:
             name, day = history.resolve(self.relation("snapshot"), ref, self.day)
+            handle, snapshot = history.overlay(self.relation("handle"), self.relation("snapshot"), name)
             out = self._copy()
             out.day = day
-            out.relations["handle"], out.relations["snapshot"] = history.overlay(self.relation("handle"), self.relation("snapshot"), name)
+            out.relations |= {"handle": handle, "snapshot": snapshot}
             self._histories[ref] = out
             self.warnings.append(f"partial_history: {ref} patches current handles with snapshot {name}")
         return self._histories[ref]
@@ -206,7 +228,7 @@ class Engine:
         rows = config.rows(program.blocks)
         if rows:
             self.add("config", schema.rows(self.spark, "config", rows))
-        self._histories.clear()
+        self.changed()
 
     def define(self, name: str, params: tuple[str, ...], build) -> None:
         """A predicate planned by a function of the engine that returns a DataFrame with params as columns."""

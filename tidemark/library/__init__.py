@@ -16,10 +16,9 @@ __all__ = ["REGISTRY", "Library", "checks", "convergence", "install", "orientati
 def _build(name: str):
     def build(ctx):
         lib = getattr(ctx, "_library", None)
-        made_of = (ctx.program, *ctx.relations.values())
-        if lib is None or len(lib.made_of) != len(made_of) or any(a is not b for a, b in zip(lib.made_of, made_of, strict=True)):
+        if lib is None or lib.version is not ctx.version:
             lib = ctx._library = Library(ctx)
-            lib.made_of = made_of
+            lib.version = ctx.version
         df = lib(name)
         return df.toDF(*[f"p{i}" for i in range(len(df.columns))])
 

@@ -12,6 +12,8 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import lifecycle
+
 #: Edges and starts that a walk on the driver may hold.
 LOCAL_EDGES = 100_000
 LOCAL_STARTS = 1_000
@@ -97,7 +99,7 @@ def downstream(ctx, seeds: DataFrame) -> DataFrame:
 def impact(ctx, seeds: DataFrame) -> DataFrame:
     """What depends on h, by hops over edges of the configured kinds."""
     first, roots = _side(seeds)
-    own = [r.value for r in ctx.relation("config").where("key = 'impact.traverse'").select("value").distinct().collect()]
+    own = lifecycle.values(ctx, "impact.traverse")
     e = edges_of(ctx).where(F.col("kind").isin(*(own or IMPACT_KINDS))).select("src", "dst")
     found = reach(ctx, roots, _flip(e) if first else e)
     return found.select(F.col("root" if first else "node").alias("p0"), F.col("node" if first else "root").alias("p1"), F.col("depth").alias("p2"))

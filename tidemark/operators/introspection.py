@@ -28,7 +28,7 @@ def _defined(ctx) -> dict[str, list]:
 
 
 def schema(ctx) -> DataFrame:
-    rows = [(f"*{n}", "stored", f"*{n}{{{', '.join(ctx.relation(n).columns)}}}", "deterministic", "facts") for n in sorted({*tables.FIELDS, *ctx.relations})]
+    rows = [(f"*{n}", "stored", f"*{n}{{{', '.join(ctx.relation(n).columns)}}}", "deterministic", "facts") for n in sorted({*tables.FIELDS, *ctx.relations, *ctx.pending})]
     rows += [(p.name, "primitive", f"{p.name}({', '.join(p.params)})", "deterministic", "engine") for p in ctx.primitives.values()]
     rows += [(n, "derived", f"{n}/{len(rs[0].head)}", "deterministic", rs[0].source) for n, rs in sorted(_defined(ctx).items())]
     return ctx.local(rows, "p0 string, p1 string, p2 string, p3 string, p4 string")
@@ -73,6 +73,6 @@ def sources(ctx) -> DataFrame:
 
 
 def repository(ctx) -> DataFrame:
-    known = "git_mtimes" in ctx.relations
+    known = "git_mtimes" in {*ctx.relations, *ctx.pending}
     rows = [("mtimes", "available" if known else "unavailable", "injected", "" if known else "no git_mtimes relation is registered")]
     return ctx.local(rows, "p0 string, p1 string, p2 string, p3 string")

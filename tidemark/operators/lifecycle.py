@@ -17,88 +17,111 @@ SETTLED = ("authoritative", "current", "active", "stable", "living")
 PIPELINE = ("raw", "draft", "research", "plan", "current", "active", "stable", "authoritative")
 
 
-def configured(ctx, key: str) -> DataFrame:
-    return ctx.relation("config").where(F.col("key") == key).select(F.col("value").alias("status")).distinct()
-
-
-def statuses(ctx) -> DataFrame:
-    """Each status in use with whether it is terminal and settled. Statuses are few, so handles are joined with
-    this small table and never with the configuration itself."""
-    used = ctx.relation("handle").where("status is not null").select("status").distinct()
-    known = used.union(ctx.relation("config").where(F.col("key").isin("convergence.ordering", "convergence.active", "convergence.terminal", "convergence.settled")).select("value")).union(ctx.local([(s,) for s in (*SETTLED, *PIPELINE)], "status string")).distinct()
-    return classified(ctx, known)
-
-
-def classified(ctx, known: DataFrame) -> DataFrame:
-    flag = lambda key, name: configured(ctx, key).withColumn(name, F.lit(True))
-    df = known.join(flag("convergence.terminal", "t"), "status", "left").join(flag("convergence.active", "a"), "status", "left").join(flag("convergence.settled", "s"), "status", "left")
-    guess = F.lower("status").rlike("|".join(TERMINAL_HEURISTICS))
-    any_settled = configured(ctx, "convergence.settled").agg(F.count("*").alias("n_settled"))
-    df = df.crossJoin(any_settled)  # one row
-    return df.select(
-        "status",
-        (F.coalesce("t", F.lit(False)) | (~F.coalesce("a", F.lit(False)) & guess)).alias("terminal"),
-        F.coalesce(F.when(F.col("n_settled") > 0, F.coalesce("s", F.lit(False))), F.col("status").isin(*SETTLED)).alias("settled"),
-        F.coalesce("t", F.lit(False)).alias("by_terminal"),
-        F.coalesce("a", F.lit(False)).alias("by_active"),
-        (F.col("n_settled") > 0).alias("settled_configured"),
-    )
+#: Rows that a configuration may have; it is read by the driver and becomes literals of plans.
+MOST_SETTINGS = 10_000
+
+
+def settings(ctx) -> dict[str, list]:
+    """Values of each configuration key with their ordinals, read once."""
+    held = getattr(ctx, "_settings", None)
+    if held is None or held[0] is not ctx.version:
+        rows = ctx.relation("config").select("key", "value", "ordinal").limit(MOST_SETTINGS + 1).collect()
+        if len(rows) > MOST_SETTINGS:
+            raise ValueError(f"a configuration has at most {MOST_SETTINGS} rows")
+        found: dict[str, list] = {}
+        for r in rows:
+            found.setdefault(r.key, []).append((r.value, r.ordinal))
+        held = ctx._settings = (ctx.version, found)
+    return held[1]
+
+
+def values(ctx, key: str) -> list[str]:
+    return sorted({v for v, _ in settings(ctx).get(key, []) if v is not None})
+
+
+def _in(c: Column, items) -> Column:
+    return F.coalesce(c.isin(*items), F.lit(False)) if items else F.lit(False)
+
+
+def is_terminal(ctx, status: Column) -> Column:
+    """Configured so, or not configured active and of a name that says so; null is not terminal."""
+    guess = F.coalesce(F.lower(status).rlike("|".join(TERMINAL_HEURISTICS)), F.lit(False))
+    return _in(status, values(ctx, "convergence.terminal")) | (~_in(status, values(ctx, "convergence.active")) & guess)
+
+
+def is_settled(ctx, status: Column) -> Column:
+    return _in(status, values(ctx, "convergence.settled") or SETTLED)
 
 
 def handles(ctx) -> DataFrame:
     return ctx.relation("handle")
 
 
+def _ids(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").alias("p0")).distinct()
+
+
 def terminal(ctx) -> DataFrame:
-    s = statuses(ctx).where("terminal").select("status")
-    return handles(ctx).join(s, "status", "left_semi").select(F.col("id").alias("p0")).distinct()
+    return _ids(handles(ctx).where(is_terminal(ctx, F.col("status"))))
 
 
 def active(ctx) -> DataFrame:
-    s = statuses(ctx).where("terminal").select("status")
-    return handles(ctx).join(s, "status", "left_anti").select(F.col("id").alias("p0")).distinct()
+    return _ids(handles(ctx).where(~is_terminal(ctx, F.col("status"))))
 
 
 def settled(ctx) -> DataFrame:
-    s = statuses(ctx).where("settled").select("status")
-    return handles(ctx).join(s, "status", "left_semi").select(F.col("id").alias("p0")).distinct()
+    return _ids(handles(ctx).where(is_settled(ctx, F.col("status"))))
 
 
-def classification(ctx) -> DataFrame:
-    """(status, classification, origin) over statuses used, configured and built in."""
-    s = statuses(ctx)
-    row = lambda df, c, origin: df.select("status", F.lit(c).alias("c"), origin.alias("o"))
-    one = lambda c: F.when(c, "project").otherwise("builtin")
-    pipe = pipeline(ctx)
-    out = row(s.where("terminal"), "terminal", one(F.col("by_terminal")))
-    out = out.union(row(s.where("not terminal and by_active"), "active", F.lit("project")))
-    out = out.union(row(s.where("settled"), "settled", one(F.col("settled_configured"))))
-    out = out.union(pipe.select("status", F.lit("pipeline"), F.col("origin")))
-    return out.toDF("p0", "p1", "p2").distinct()
+def places(ctx) -> list[tuple[str, int, str]]:
+    """(status, ordinal, origin): the configured ordering, or the built-in one where none is configured. A
+    status named twice keeps its first place."""
+    own: dict[str, int] = {}
+    for v, n in settings(ctx).get("convergence.ordering", []):
+        if n is not None:
+            own[v] = min(n, own.get(v, n))
+    if own:
+        return [(s, n, "project") for s, n in own.items()]
+    return [(s, n, "builtin") for n, s in enumerate(PIPELINE)]
 
 
-def pipeline(ctx) -> DataFrame:
-    """(status, ordinal, origin): the configured ordering, or the built-in one where none is configured."""
-    own = ctx.relation("config").where((F.col("key") == "convergence.ordering") & F.col("ordinal").isNotNull()).groupBy(F.col("value").alias("status")).agg(F.min("ordinal").alias("n")).withColumn("origin", F.lit("project"))
-    usual = ctx.local([(s, i, "builtin") for i, s in enumerate(PIPELINE)], "status string, n long, origin string")
-    return own.union(usual.join(own.limit(1).select(F.lit(1)), F.lit(True), "left_anti"))
+def classification(ctx) -> DataFrame:
+    """(status, classification, origin) over statuses used, configured and built in."""
+    keys = [f"convergence.{k}" for k in ("ordering", "active", "terminal", "settled")]
+    named = {*SETTLED, *PIPELINE, *(v for k in keys for v in values(ctx, k))}
+    known = handles(ctx).where("status is not null").select("status").distinct().union(ctx.local([(s,) for s in sorted(named)], "status string")).distinct()
+    status = F.col("status")
+    origin = lambda c: F.when(c, "project").otherwise("builtin")
+    row = lambda c, o: F.struct(F.lit(c).alias("c"), o.alias("o"))
+    own = _in(status, values(ctx, "convergence.terminal"))
+    dead = is_terminal(ctx, status)
+    placed = places(ctx)
+    rows = F.array(
+        F.when(dead, row("terminal", origin(own))),
+        F.when(~dead & _in(status, values(ctx, "convergence.active")), row("active", F.lit("project"))),
+        F.when(is_settled(ctx, status), row("settled", F.lit("project" if values(ctx, "convergence.settled") else "builtin"))),
+        F.when(_in(status, [s for s, _, _ in placed]), row("pipeline", F.lit(placed[0][2]))),
+    )
+    found = known.select("status", F.explode(F.array_compact(rows)).alias("r"))
+    return found.select(F.col("status").alias("p0"), F.col("r.c").alias("p1"), F.col("r.o").alias("p2"))
 
 
 def pipeline_position(ctx) -> DataFrame:
-    return handles(ctx).join(F.broadcast(pipeline(ctx)) if ctx.small_config else pipeline(ctx), "status").select(F.col("id").alias("p0"), F.col("n").alias("p1")).distinct()
+    place = F.create_map(*[F.lit(x).cast("long") if isinstance(x, int) else F.lit(x) for s, n, _ in places(ctx) for x in (s, n)])
+    rows = handles(ctx).where("status is not null").select(F.col("id").alias("p0"), F.try_element_at(place, F.col("status")).alias("p1"))
+    return rows.where("p1 is not null").distinct()
 
 
 def pipeline_position_for(ctx) -> DataFrame:
-    return pipeline(ctx).select(F.col("status").alias("p0"), F.col("n").alias("p1"))
+    return ctx.local([(s, n) for s, n, _ in places(ctx)], "p0 string, p1 long")
 
 
 def obligations(ctx) -> DataFrame:
-    linear = ctx.relation("config").where("key = 'handles.linear'").select(F.col("value").alias("namespace")).distinct()
-    return handles(ctx).where("kind = 'label'").join(linear, "namespace", "left_semi")
+    return handles(ctx).where((F.col("kind") == "label") & _in(F.col("namespace"), values(ctx, "handles.linear")))
 
 
 def obligation(ctx) -> DataFrame:
-    return obligations(ctx).select(F.col("id").alias("p0")).distinct()
+    return _ids(obligations(ctx))
 
 
 def _discharges(ctx) -> DataFrame:
@@ -106,12 +129,11 @@ def _discharges(ctx) -> DataFrame:
 
 
 def discharged(ctx) -> DataFrame:
-    return handles(ctx).join(_discharges(ctx), "id", "left_semi").select(F.col("id").alias("p0")).distinct()
+    return _ids(handles(ctx).join(_discharges(ctx), "id", "left_semi"))
 
 
 def undischarged(ctx) -> DataFrame:
-    dead = statuses(ctx).where("terminal").select("status")
-    return obligations(ctx).join(_discharges(ctx), "id", "left_anti").join(dead, "status", "left_anti").select(F.col("id").alias("p0")).distinct()
+    return _ids(obligations(ctx).where(~is_terminal(ctx, F.col("status"))).join(_discharges(ctx), "id", "left_anti"))
 
 
 def age(ctx, date: Column) -> Column:
@@ -130,7 +152,7 @@ def flux(ctx, seeds: DataFrame) -> DataFrame:
     ids = now.select("id").distinct()
     past = ctx.relation("snapshot").where("key = 'status'").select("id", F.col("value").alias("status"), day_of(F.col("at")).alias("day"), "at").join(ids, "id", "left_semi")
     past = past.where(F.col("day") <= ctx.day).join(days, F.col("day") >= F.lit(ctx.day) - F.col("days"))
-    rows = past.select("id", "days", "status", "day", "at").union(now.crossJoin(F.broadcast(days) if ctx.small_config else days).select("id", "days", "status", "day", "at"))
+    rows = past.select("id", "days", "status", "day", "at").union(now.crossJoin(days).select("id", "days", "status", "day", "at"))
     w = Window.partitionBy("id", "days").orderBy(F.col("day").asc_nulls_last(), F.col("at").asc_nulls_last(), F.col("status").asc_nulls_first())
     moved = F.when(F.row_number().over(w) > 1, (~F.col("status").eqNullSafe(F.lag("status").over(w))).cast("long")).otherwise(0)
     return rows.withColumn("moved", moved).groupBy(F.col("id").alias("p0"), F.col("days").alias("p1")).agg(F.sum("moved").alias("p2"))

@@ -44,38 +44,16 @@ SELECT concat('doc/', doc_id, '.md'), concat('doc/', doc_id + 10, '.md'), 'Super
 """
 
 
-def load(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-
-
 def engine(spark: SparkSession, sf_dir: str, *, corpus: bool = False, library: bool = False) -> Engine:
-    """An engine over the tables; with corpus, over the corpus made of them as well."""
+    """An engine over the tables; with corpus, over the corpus made of them as well. Files are opened when a
+    query first reads their table."""
     made = Engine(spark, evaluation_day=DAY)
-    tables = load(spark, sf_dir)
-    for name, df in tables.items():
-        made.register(name, df)
+    table = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    for name in TABLES:
+        made.register_lazily(name, lambda name=name: table(name))
     if corpus:
-        sql = lambda text: spark.sql(_named(text), **{k: df for k, df in tables.items() if f"{{{k}}}" in _named(text)})
-        base = {"corpus": F.lit("demo"), "source": F.lit("tables"), "revision": F.lit("1"), "origin_uri": F.lit("")}
-        handles, edges = sql(HANDLE), sql(EDGE)
-        made.register("handle", handles.withColumns(base | {"native_id": F.col("id"), "line": F.col("line").cast("long")}))
-        made.register("edge", edges.withColumnsRenamed({"src": "from", "dst": "to"}).withColumns(base | {"file": F.col("from"), "native_id": F.concat_ws(">", F.col("from"), F.col("to"), "kind", F.col("line").cast("string"))}))
-        docs = tables["documents"].withColumn("handle", F.concat(F.lit("doc/"), "doc_id", F.lit(".md")))
-        lines = F.size(F.split("text", "\n", -1)).cast("long")
-        words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("long")
-        content = docs.select("handle", F.concat("handle", F.lit("#full")).alias("span_id"), lines.alias("lines"), "text", words.alias("tokens"))
-        made.register("content", content.withColumns(base))
-        made.register("span", content.select(F.col("span_id").alias("id"), "handle", F.lit(1).cast("long").alias("start_line"), F.col("lines").alias("end_line"), F.lit("").alias("summary")).withColumns(base))
-        labels = tables["labels"].select(F.concat(F.lit("doc/"), "doc_id", F.lit(".md")).alias("handle"), "quality")
-        meta = labels.select("handle", F.lit("quality").alias("key"), F.col("quality").cast("string").alias("value"), F.lit("authored_unmodeled").alias("role"))
-        meta = meta.union(handles.where("kind = 'file' and status is not null").select("id", F.lit("status"), "status", F.lit("authored_modeled")))
-        made.register("meta", meta.withColumns(base))
-        shots = None
-        for name, at, status in (("s1", "2024-01-10", "raw"), ("s2", "2024-01-20", "draft")):
-            part = labels.select(F.lit("demo").alias("corpus"), F.lit(name).alias("snapshot"), F.lit(at).alias("at"), F.col("handle").alias("id"), F.lit("status").alias("key"), F.lit(status).alias("value"))
-            shots = part if shots is None else shots.union(part)
-        made.register("snapshot", shots)
-        made.register("git_mtimes", handles.where("date is not null").select("file", F.concat("date", F.lit("T12:00:00Z")).alias("instant")))
+        for name, build in (("handle", _handle), ("edge", _edge), ("content", _content), ("span", _span), ("meta", _meta), ("snapshot", _snapshot), ("git_mtimes", _mtimes)):
+            made.register_lazily(name, lambda build=build: build(spark, table))
         made.load(CONFIG, "demo", "base")
     if library:
         from ..library import install
@@ -84,7 +62,53 @@ def engine(spark: SparkSession, sf_dir: str, *, corpus: bool = False, library: b
     return made
 
 
-def _named(text: str) -> str:
-    for t in ("documents", "customer", "orders"):
+def _base(df: DataFrame) -> DataFrame:
+    return df.withColumns({"corpus": F.lit("demo"), "source": F.lit("tables"), "revision": F.lit("1")})
+
+
+def _sql(spark: SparkSession, table, text: str) -> DataFrame:
+    used = {t: table(t) for t in ("documents", "customer", "orders") if f"FROM {t}" in text}
+    for t in used:
         text = text.replace(f"FROM {t}", f"FROM {{{t}}}")
-    return text
+    return spark.sql(text, **used)
+
+
+def _handle(spark, table) -> DataFrame:
+    return _base(_sql(spark, table, HANDLE)).withColumns({"native_id": F.col("id"), "line": F.col("line").cast("long")})
+
+
+def _edge(spark, table) -> DataFrame:
+    edges = _sql(spark, table, EDGE).withColumnsRenamed({"src": "from", "dst": "to"})
+    return _base(edges).withColumns({"file": F.col("from"), "native_id": F.concat_ws(">", F.col("from"), F.col("to"), "kind", F.col("line").cast("string"))})
+
+
+def _content(spark, table) -> DataFrame:
+    docs = table("documents").withColumn("handle", F.concat(F.lit("doc/"), "doc_id", F.lit(".md")))
+    lines = F.size(F.split("text", "\n", -1)).cast("long")
+    words = F.size(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")).cast("long")
+    return _base(docs.select("handle", F.concat("handle", F.lit("#full")).alias("span_id"), lines.alias("lines"), "text", words.alias("tokens")))
+
+
+def _span(spark, table) -> DataFrame:
+    content = _content(spark, table)
+    return content.select("corpus", "source", "revision", F.col("span_id").alias("id"), "handle", F.lit(1).cast("long").alias("start_line"), F.col("lines").alias("end_line"), F.lit("").alias("summary"))
+
+
+def _labels(table) -> DataFrame:
+    return table("labels").select(F.concat(F.lit("doc/"), "doc_id", F.lit(".md")).alias("handle"), "quality")
+
+
+def _meta(spark, table) -> DataFrame:
+    rated = _labels(table).select("handle", F.lit("quality").alias("key"), F.col("quality").cast("string").alias("value"), F.lit("authored_unmodeled").alias("role"))
+    stated = _sql(spark, table, HANDLE).where("kind = 'file' and status is not null").select("id", F.lit("status"), "status", F.lit("authored_modeled"))
+    return _base(rated.union(stated))
+
+
+def _snapshot(spark, table) -> DataFrame:
+    row = lambda name, at, status: F.struct(F.lit(name).alias("snapshot"), F.lit(at).alias("at"), F.lit(status).alias("value"))
+    taken = F.explode(F.array(row("s1", "2024-01-10", "raw"), row("s2", "2024-01-20", "draft"))).alias("s")
+    return _labels(table).select(F.col("handle").alias("id"), taken).select(F.lit("demo").alias("corpus"), "id", "s.snapshot", "s.at", F.lit("status").alias("key"), "s.value")
+
+
+def _mtimes(spark, table) -> DataFrame:
+    return _sql(spark, table, HANDLE).where("date is not null").select("file", F.concat("date", F.lit("T12:00:00Z")).alias("instant"))
