@@ -214,7 +214,8 @@ def search(ctx, seeds: DataFrame) -> DataFrame:
     queries = [r.p0 for r in seeds.select("p0").distinct().limit(MOST_QUERIES + 1).collect()]
     if len(queries) > MOST_QUERIES:
         raise ValueError(f"search takes at most {MOST_QUERIES} different queries at once")
-    texts = ctx.shared(fields(ctx)) if len(queries) > 1 else fields(ctx)
+    # Normalised once: each query reads the fields for its terms' specificity, for its hits and for narrow spans.
+    texts = ctx.shared(fields(ctx))
     out = None
     for q in queries:
         found = ranked(ctx, q, texts).select(F.lit(q).alias("p0"), F.col("handle").alias("p1"), F.col("span_id").alias("p2"), F.col("score").cast("double").alias("p3"), F.col("reason").alias("p4"), F.col("field").alias("p5"), F.col("low_confidence").alias("p6")).distinct()
