@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.llm import decontaminate, jaccard, language, lines, packing
 from tidemark.llm._shared import written
 
+#: Near copies share this part of their word shingles of this length; op3 has values of its own.
+NEAR_WORDS = 5
+NEAR_SHARE = (80, 100)
 #: Below this score none of the learned languages is likelier than the others by much.
 MIN_SCORE = 0.4
 
@@ -31,7 +34,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
-    return jaccard.one_of_each(docs)
+    return jaccard.one_of_each(docs, k=NEAR_WORDS, threshold=NEAR_SHARE)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

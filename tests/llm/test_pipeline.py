@@ -56,3 +56,23 @@ def test_pipeline(spark, documents, tmp_path):
     assert {r.doc_id for r in five} == {r[0] for r in take(four)}
     assert sum(r.n_tokens for r in five) == sum(len(r[1].split()) for r in take(four))
     assert prose(rng, 1)
+
+
+def test_near_stage_links_at_five_words_and_four_fifths(spark, documents):
+    rng = random.Random(14)
+    rows = []
+    for _ in range(12):
+        base = prose(rng, 140, 5000).split()
+        rows.append((len(rows), " ".join(base)))
+        for edits in (1, 2, 3, 4, 6):
+            w = list(base)
+            for e in range(edits):
+                w[10 + 20 * e] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    docs = documents([(i, t, "en", "s", 0) for i, t in rows])
+    kept = {r.doc_id for r in P.near_stage(spark, docs, "").collect()}
+    assert kept == {c for _, _, c in plain_components(rows, 5, (80, 100))}
+    # Alone, a copy of three edits is near at these values but not at those of op3.
+    pair = [rows[0], rows[3]]
+    assert len({c for _, _, c in plain_components(pair)}) == 2
+    assert {r.doc_id for r in P.near_stage(spark, docs.where("doc_id in (0, 3)"), "").collect()} == {0}
