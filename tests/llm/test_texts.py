@@ -83,6 +83,26 @@ def test_small_hits_are_cut(spark, documents):
     assert kept[0].text == "é " * 300 + " ö" * 100
 
 
+@pytest.mark.parametrize("most", [1_000_000, 7])
+def test_items_without_an_id_hit(spark, documents, tmp_path, most):
+    rng = random.Random(15)
+    items = [(None, prose(rng, 30, 900)), (1, prose(rng, 20, 900)), (None, prose(rng, 3, 900)), (2, None)]
+    texts = [items[0][1], f"{items[0][1]} and {items[1][1]}", f"{items[0][1]} or {items[2][1]}", items[1][1], "clean text", None]
+    docs = documents([(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r["items"], r.contaminated) for r in decontaminate.report(docs, bench, max_windows=most).collect()}
+    assert got == {0: (30, 1, [None], True), 1: (50, 2, ["1", None], True), 2: (33, 1, [None], True), 3: (20, 1, ["1"], True), 4: (0, 0, [], False), 5: (0, 0, [], False)}
+    assert {r.doc_id for r in decontaminate.remove(docs, bench, max_windows=most).collect()} == {4, 5}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    duckdb = pytest.importorskip("duckdb")
+    db = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    result = decontaminate.op6(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in result.collect()) == sorted(db.execute(f"SELECT {', '.join(result.columns)} FROM ({decontaminate.OP6_SQL})").fetchall())
+
+
 # Jaccard join
 
 

@@ -8,7 +8,8 @@ the bytes of the words, so that a hash collision never counts as a hit.
 The set is broadcast only in shards of at most `max_windows` windows: a benchmark beyond that bound is
 scanned in several passes that append to the same hit list, with the same result.
 
-Defined cases: null and wordless texts (documents or items) have no words and no hits; repeated rows are
+Defined cases: null and wordless texts (documents or items) have no words and no hits; items with a null id hit
+like any other, and all of them together count as one item, which is null and last in `items`; repeated rows are
 scanned one by one; an empty benchmark leaves every document clean; extra columns pass through.
 """
 
@@ -38,7 +39,7 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join(raw[s - base : e - base] for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def windows(texts: list[str | None], ids: list[str], n: int = N) -> dict[int, dict[bytes, set[str]]]:
+def windows(texts: list[str | None], ids: list[str | None], n: int = N) -> dict[int, dict[bytes, set[str | None]]]:
     """By window length: the words of each window, joined by a blank, and the items that have it."""
     out: dict[int, dict[bytes, set[str]]] = {}
     for first, end, data, offsets in W.slices(pa.array(texts, pa.string())):
@@ -126,7 +127,7 @@ def _pass(docs: DataFrame, text: str, shard: dict[int, dict[bytes, list[str]]],
 def _shards(benchmark: DataFrame, item_id: str, text: str, n: int, max_windows: int) -> Iterator[dict[int, dict[bytes, list[str]]]]:
     """The benchmark's windows, at most max_windows at a time; items stream to the driver one by one."""
     held, size = {}, 0
-    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").toLocalIterator(prefetchPartitions=True):
+    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null").toLocalIterator(prefetchPartitions=True):
         for k, found in windows([row.t], [row.i], n).items():
             own = held.setdefault(k, {})
             for words in found:
