@@ -197,6 +197,17 @@ def test_language(spark, documents):
     assert language.identify(docs.limit(0)).count() == 0
 
 
+def test_every_label_is_learned(documents):
+    rng = random.Random(16)
+    stems = rng.sample([a + b + c for a in "bcdfghjklm" for b in "aeiou" for c in "npqrstvwxz"], 450)
+    rows = [(4 * i + j, " ".join([stem * 2] * (3 + j)), f"l{i}", "s", 0) for i, stem in enumerate(stems) for j in range(4)]
+    docs = documents(rows)
+    model = language.train(docs)
+    assert model.languages == sorted({r[2] for r in rows})
+    got = language.predict(docs, model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(rows)
+
+
 def test_folded_scores_equal_kernel_regression():
     rng = np.random.default_rng(6)
     bits, langs = [], []

@@ -6,8 +6,8 @@ for the bytes of non-ASCII characters (Latin-1 capitals are lowered first). The
 number of n-grams present in both over the square root of the product of their numbers of n-grams.
 
 Training: labelled rows are sampled by a hash of their id, equally for each language, at most `max_rows` in
-all; executors send each sampled row as a bit set of fixed size. The first of each language are Nystroem
-landmarks. A one-versus-rest kernel ridge regression is solved in the landmarks' feature space. As the kernel
+all, or two a language where that is more; executors send each sampled row as a bit set of fixed size. The first of each language are Nystroem
+landmarks, one a language at least. A one-versus-rest kernel ridge regression is solved in the landmarks' feature space. As the kernel
 is linear in the presence bits, the landmarks and coefficients fold into one matrix (n-grams by languages), so
 scoring a batch of whole texts is one product of its presence matrix with that matrix.
 
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,6 @@ from ._shared import small_batches
 UNKNOWN = "und"
 MAX_ROWS = 1200
 LANDMARKS = 300
-MAX_LANGUAGES = 400
 RIDGE = 1e-2
 _SIZE = 64 + 64**2 + 64**3
 
@@ -117,18 +116,18 @@ def fit(bits: list[bytes], languages: list[str], landmarks: int = LANDMARKS, rid
     return Model(names, column, (marks.T @ (root @ coef)).astype(np.float32), bias.astype(np.float32))
 
 
-def train(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS, max_languages: int = MAX_LANGUAGES) -> Model | None:
-    """A model of the labels in rows. Counts of labels cover all rows; the texts learned from are a sample of
-    at most max_rows rows, chosen by a hash of doc_id."""
+def train(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS) -> Model | None:
+    """A model of all labels in rows. Counts of labels cover all rows; the texts learned from are a sample of at
+    most max_rows rows, or of two rows a label where that is more, chosen by a hash of doc_id."""
     small_batches(rows.sparkSession)
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
-    counts = {r.l: r["count"] for r in rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()}
+    counts = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
     if not counts:
         return None
     each = max(2, max_rows // len(counts))
     place = F.xxhash64(F.col("i").cast("string"), F.lit("sample")) / F.lit(2.0**64) + 0.5
-    share = F.element_at(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, 1.3 * each / v))]), F.col("l"))
-    sample = rows.where(F.col("l").isin(list(counts))).withColumn("h", place).where(F.col("h") < share)
+    share = F.element_at(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, max(1.3 * each, each + 25) / v))]), F.col("l"))
+    sample = rows.withColumn("h", place).where(F.col("h") < share)
 
     def bits(batches):
         for batch in batches:
@@ -140,13 +139,13 @@ def train(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
                     packed.append(zlib.compress(np.packbits(flags).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["l", "h", "b"])
 
-    found = sample.select("t", "l", "h").mapInArrow(bits, "l string, h double, b binary").orderBy("h").limit(2 * max_rows).collect()
+    found = sample.select("t", "l", "h").mapInArrow(bits, "l string, h double, b binary").withColumn("at", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("at") <= each).orderBy("h").collect()
     by: dict[str, list[bytes]] = {}
     for row in found:
         if len(own := by.setdefault(row["l"], [])) < each:
             own.append(row["b"])
     mixed = [(b, name) for i in range(each) for name, own in sorted(by.items()) for b in own[i : i + 1]]
-    return fit([b for b, _ in mixed], [name for _, name in mixed], landmarks)
+    return fit([b for b, _ in mixed], [name for _, name in mixed], max(landmarks, len(by)))
 
 
 _LETTER = W.table((65, 90), (97, 122))
