@@ -310,6 +310,28 @@ def test_secret_spans(documents):
     assert not got[len(texts) - 1].found
 
 
+@pytest.mark.parametrize(("letters", "size"), [("ABCDEFGHJKLMNPQRSTUVWXYZ23456789", 10), ("0123456789", 12), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 18)])
+def test_bare_credentials_of_the_labelled_format(documents, letters, size):
+    rng = random.Random(17)
+    make = lambda: "".join(rng.choice(letters) for _ in range(size))
+    say = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(3, 20))) for _ in range(n))
+    bare = [make() for _ in range(10)]
+    texts = [f"{say(20)} token={make()} {say(20)}" for _ in range(60)] + [f"{say(20)} {b} {say(20)}" for b in bare]
+    docs = documents([(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    got = {r.doc_id: [texts[r.doc_id][s["start"] : s["end"]] for s in r.found if s["kind"] == "format"] for r in secrets.scan(docs, secrets.train(docs)).collect()}
+    assert sum(got[60 + i] == [b] for i, b in enumerate(bare)) >= 9
+    assert not any(got[i] for i in range(60))
+
+
+def test_long_numbers_are_not_of_a_mixed_format(documents):
+    rng = random.Random(18)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    texts = [f"the secret: {make('0123456789abcdef', 20)} of it" for _ in range(60)] + [f"card {make('0123456789', 16)} of someone" for _ in range(5)]
+    docs = documents([(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    found = secrets.scan(docs, secrets.train(docs))
+    assert found.where("exists(found, s -> s.kind = 'format')").count() == 0
+
+
 def test_inferred_automaton():
     rng = random.Random(11)
     tokens = [("AK" + "".join(rng.choice("0123456789") for _ in range(6))) for _ in range(200)]

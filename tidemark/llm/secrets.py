@@ -5,10 +5,14 @@ credentials: a prefix tree of their symbol classes, whose states are merged whil
 are statistically compatible (Hoeffding bound, recursively, as in ALERGIA), and with it the distribution of
 characters inside each class. Every other token of a text that could be a credential is scored by each
 automaton: the mean log-likelihood a character, relative to a background of the corpus's own ordinary tokens. A token
-that reaches the threshold found on the labelled ones becomes a span of kind `format`.
+that reaches the threshold found on the labelled ones becomes a span of kind `format`. Tokens of 16 characters and
+more are scored, and shorter ones down to the length of the shortest credential learned from (6 at least). A token of
+digits or letters alone passes only the automata of kinds with such a credential, as else every long number, rare as
+digits are in the background, would resemble a hexadecimal credential.
 
 Labelled credentials are the values of base spans in a sample of at most `max_labelled` distinct values a
-kind, by a hash of the value.
+kind, by a hash of the value. Values of more than 200 characters are not learned from, and a kind with fewer than 8
+distinct values gets no automaton; their base spans are reported all the same.
 
 Defined cases: null text is empty; rows are scanned one by one; without labelled credentials only base spans
 are reported; columns with the names of results are replaced, others pass through.
@@ -35,8 +39,10 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _MIN_ASSIGN, _MIN_ACCESS = 6, 20
 _NAMES = ("passw", "secret", "token", "api")  # one is in whatever _ASSIGN matches, once lowered
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
 MAX_LABELLED = 400
+MAX_VALUE = 200
+MIN_VALUES = 8
 ALPHA = 0.05
 RESULTS = ("n_assign", "n_access", "n_hex", "base", "found")
 
@@ -68,6 +74,11 @@ def _class(c: str) -> str:
     return "z" if "g" <= c <= "z" else "-"
 
 
+def _mix(token: str) -> tuple[bool, bool]:
+    """Whether it has a digit, and a letter."""
+    return any(c.isdigit() for c in token), any(c.isalpha() for c in token)
+
+
 @dataclass
 class State:
     ends: int = 0
@@ -85,6 +96,7 @@ class Automaton:
     states: dict[int, State]
     inside: dict[str, Counter]
     threshold: float = 0.0
+    mixes: set[tuple[bool, bool]] = field(default_factory=set)
 
     def score(self, token: str, background: dict[str, float]) -> float:
         """Mean log-likelihood ratio a character; -inf if the automaton can't produce the token."""
@@ -176,34 +188,36 @@ def infer(tokens: list[str], alpha: float = ALPHA) -> Automaton:
 class Model:
     automata: dict[str, Automaton]
     background: dict[str, float]
+    least: int = LEAST  # characters of a candidate
 
     def accepts(self, token: str) -> bool:
-        return any(a.score(token, self.background) >= a.threshold for a in self.automata.values())
+        mix = _mix(token)
+        return any(mix in a.mixes and a.score(token, self.background) >= a.threshold for a in self.automata.values())
 
 
-def candidates(text: str):
-    """Tokens of at least 16 characters with a digit and a letter."""
-    for m in _CANDIDATE.finditer(text):
-        token = m[0]
-        if any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
-            yield m.start(), m.end(), token
+def candidates(text: str, least: int = LEAST):
+    """Tokens of at least so many characters."""
+    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{least},}}", text):
+        yield m.start(), m.end(), m[0]
 
 
 def fit(labelled: dict[str, list[str]], background: Counter, alpha: float = ALPHA) -> Model:
     total = sum(background.values()) + 64
     plain = {c: math.log((n + 1) / total) for c, n in background.items()} | {"": math.log(1 / total)}
-    automata = {}
+    automata, least = {}, LEAST
     for kind, tokens in sorted(labelled.items()):
         tokens = sorted(set(tokens))
-        if len(tokens) < 8:
+        if len(tokens) < MIN_VALUES:
             continue
+        least = min(least, *map(len, tokens))
         # The threshold is set on tokens that the automaton has not seen.
         half = infer(tokens[::2], alpha)
         scores = sorted(s for t in tokens[1::2] if (s := half.score(t, plain)) > -math.inf)
         own = infer(tokens, alpha)
         own.threshold = max(1.0, scores[len(scores) // 20]) if scores else math.inf
+        own.mixes = {(True, True), *map(_mix, tokens)}
         automata[kind] = own
-    return Model(automata, plain)
+    return Model(automata, plain, least)
 
 
 def train(docs: DataFrame, *, text: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
@@ -219,7 +233,7 @@ def train(docs: DataFrame, *, text: str = "text", max_labelled: int = MAX_LABELL
                     letters.update(t)
                     for span in base_spans(t):
                         v = value(t, span)
-                        if len(v) <= 200:
+                        if len(v) <= MAX_VALUE:
                             kinds.append(KINDS[span[1]])
                             values.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array([1] * len(kinds), pa.int64())], names=["kind", "value", "n"])
@@ -257,7 +271,7 @@ def scan(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFra
                     counts[k].append(sum(s[1] == k for s in spans))
                 more = []
                 if t and own is not None and own.automata:
-                    for a, b, token in candidates(t):
+                    for a, b, token in candidates(t, own.least):
                         if not any(s < b and a < e for s, _, e in spans) and own.accepts(token):
                             more.append((a, 3, b))
                 base.append([{"kind": kind_of[k], "start": a, "end": b} for a, k, b in spans])
