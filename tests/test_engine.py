@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from corpus import RULES, base, fill, v
 from pyspark.sql import types as T
@@ -49,19 +51,67 @@ def test_graph_primitives(engine):
         engine.query("? upstream(h, a).")
 
 
-def test_reach_by_joins_equals_reach_on_the_driver(engine, monkeypatch):
+def plain_reach(edges, root, most=None):
+    depth, todo = {root: 0}, [root]
+    for node in todo:
+        for a, b in edges:
+            if a == node and b not in depth and (most is None or depth[node] < most):
+                depth[b] = depth[node] + 1
+                todo.append(b)
+    return {(root, n, d) for n, d in depth.items() if d}
+
+
+@pytest.mark.parametrize("spread", [1, 8])
+def test_reach_of_deep_graphs(engine, spark, monkeypatch, spread):
+    """Chains with side branches, a cycle, a dense part and parallel paths of different lengths."""
+    from tidemark.operators import graph
+
+    monkeypatch.setattr(graph, "SPREAD", spread)
+    rng = random.Random(spread)
+    edges = [(f"a{i}", f"a{i + 1}") for i in range(70)] + [(f"a{i}", f"b{i}") for i in range(0, 70, 3)] + [(f"c{i}", f"c{(i + 1) % 23}") for i in range(23)]
+    edges += [("a69", "c4"), ("a10", "a40"), ("c9", "a5"), ("x", "x")] + [(f"d{rng.randrange(12)}", f"d{rng.randrange(12)}") for _ in range(70)] + [("a30", "d1"), ("d2", "e0")] + [(f"e{i}", f"e{i + 1}") for i in range(40)]
+    e = spark.createDataFrame(edges, "src string, dst string")
+    roots = spark.createDataFrame([("a0",), ("c0",), ("x",), ("nowhere",), (None,), ("a0",)], "root string")
+    for most in (None, 0, 2, 4, 9, 33):
+        got = {tuple(r) for r in graph.reach(engine, roots, e, most).collect()}
+        assert got == set().union(*(plain_reach(edges, r, most) for r in ("a0", "c0", "x", "nowhere")))
+
+
+def test_depth_is_bounded_by_the_body(engine, monkeypatch):
     from tidemark.operators import graph
 
     fill(engine)
-    want = rows(engine.query('? impact("OQ-22", x, d).'))
-    monkeypatch.setattr(graph, "LOCAL_EDGES", 2)
-    assert rows(engine.query('? impact("OQ-22", x, d).')) == want
-    assert ("research-log/2026-04-jit.md",) in rows(engine.query('? downstream("OQ-22", d).'))
+    asked = []
+    real = graph.reach
+    monkeypatch.setattr(graph, "reach", lambda ctx, seeds, edges, most=None: asked.append(most) or real(ctx, seeds, edges, most))
+    for text, most in (("d <= 1", 1), ("d < 2", 1), ("2 > d", 1), ("d = 1", 1), ("d >= 1", None), ("d < 2, d <= 3", 1)):
+        engine.query(f'? neighborhood("OQ-22", d, m), {text}.').collect()
+        assert asked.pop() == most
+    assert rows(engine.query('? impact("OQ-22", x, 1).')) == [("compiler/jit-spec.md",), (v(17),)] and asked.pop() == 1
 
 
 def test_long_chain(engine):
     engine.facts("edge", [{"from": f"n{i}", "to": f"n{i + 1}", "kind": "Cites"} for i in range(4096)])
     assert engine.query('? upstream("n0", a).').count() == 4096
+    assert engine.query('? impact("n9", x, d).').count() == 0
+
+
+@pytest.mark.parametrize("text", ["r(x, z) := r(x, p), *edge{from: p, to: z, kind: \"Cites\"}.", "r(x, z) := *edge{from: x, to: p, kind: \"Cites\"}, r(p, z).", "r(x, z) := *edge{from: p, to: z, kind: \"Cites\"}, r(x, p)."])
+def test_closures_take_few_rounds(engine, monkeypatch, text):
+    engine.facts("edge", [{"from": f"n{i:02}", "to": f"n{i + 1:02}", "kind": "Cites"} for i in range(60)] + [{"from": "n60", "to": "n58", "kind": "Cites"}, {"from": "n60", "to": "z", "kind": "Other"}])
+    writes = []
+    real = engine.written
+    monkeypatch.setattr(engine, "written", lambda df: writes.append(1) or real(df))
+    got = rows(engine.query(f'r(a, b) := *edge{{from: a, to: b, kind: "Cites"}}. {text} ? r(x, y).'))
+    edges = [(f"n{i:02}", f"n{i + 1:02}") for i in range(60)] + [("n60", "n58")]
+    want = {(a, n) for a in {a for a, _ in edges} for _, n, _ in plain_reach(edges, a)} | {(f"n{i}", f"n{i}") for i in (58, 59, 60)}
+    assert set(got) == want and len(writes) <= 12
+
+
+def test_recursion_that_is_no_closure_is_left_alone(engine):
+    engine.load('link("a", "b", 1). link("b", "c", 2). link("c", "d", 1). r(x, y) := link(x, y, w). r(x, z) := r(x, y), link(y, z, 1). back(x, y) := link(x, y, w). back(x, z) := back(x, y), link(z, y, w).')
+    assert rows(engine.query("? r(x, y).")) == [("a", "b"), ("b", "c"), ("b", "d"), ("c", "d")]
+    assert rows(engine.query("? back(x, y).")) == [("a", "a"), ("a", "b")] + [("b", x) for x in "abc"] + [("c", x) for x in "abcd"]
 
 
 AMOUNTS = 'amount("a", 2). amount("b", 2). amount("c", 5). '

@@ -32,8 +32,8 @@ def primitives() -> dict[str, Primitive]:
     known = [
         p("upstream", "h anc", graph.upstream, needs=both, doc="nodes reached along edges"),
         p("downstream", "h desc", graph.downstream, needs=both, doc="nodes that reach h along edges"),
-        p("impact", "h x depth", graph.impact, needs=both, doc="dependents of h and their distance"),
-        p("neighborhood", "h depth member", graph.neighborhood, needs=((0,), (2,)), doc="nodes around h and their distance"),
+        p("impact", "h x depth", graph.impact, needs=both, depth=2, doc="dependents of h and their distance"),
+        p("neighborhood", "h depth member", graph.neighborhood, needs=((0,), (2,)), depth=1, doc="nodes around h and their distance"),
         p("terminal", "h", lifecycle.terminal, soft=True, in_history=True, doc="handles with a terminal status"),
         p("active", "h", lifecycle.active, soft=True, in_history=True, doc="handles that are not terminal"),
         p("settled", "h", lifecycle.settled, soft=True, in_history=True, doc="handles with a settled status"),

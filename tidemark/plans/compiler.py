@@ -9,7 +9,7 @@ distinct outer keys and are grouped by them. Only predicates that a query reache
 from __future__ import annotations
 
 from collections.abc import Iterable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,10 @@ from ..functions import values as V
 from . import syntax as S
 
 
+#: Tables that the rows of a recursive predicate may lie in.
+PARTS = 6
+
+
 class RuleProblem(ValueError):
     """A program that can't be planned."""
 
@@ -47,6 +51,7 @@ class Primitive:
     soft: bool = False  # rules may define it
     in_history: bool = False  # allowed in time blocks
     doc: str = ""
+    depth: int | None = None  # the position of a traversal's depth: build takes an upper bound of it as `most`
 
 
 # Dependencies and strata -----------------------------------------------------------------------------------
@@ -259,43 +264,69 @@ class Compiler:
                 out.append(self.term(t, frame)[0].alias(f"p{i}"))
         return rows.select(*out) if out else rows.select(F.lit(True).alias("p"))
 
+    def doubled(self, name: str) -> list[S.Rule]:
+        """The clauses of a predicate; those of a transitive closure (base rows, extended by one base row at an end)
+        extended by the closure itself, so that rounds grow with the logarithm of the depth."""
+        clauses = self.catalog.rules[name]
+        if len(clauses) != 2 or any(len(r.head) != 2 or not all(isinstance(t, S.Var) for t in r.head) for r in clauses):
+            return clauses
+        base, more = sorted(clauses, key=lambda r: len(r.body))
+        if len(base.body) != 1 or len(more.body) != 2 or any(isinstance(a, S.Call) and a.name == name for a in base.body):
+            return clauses
+        own = [a for a in more.body if isinstance(a, S.Call) and a.name == name]
+        if len(own) != 1 or len(own[0].args) != 2 or own[0].named or not all(isinstance(t, S.Var) for t in own[0].args):
+            return clauses
+        other = next(a for a in more.body if a is not own[0])
+        (x, z), (p, q) = [t.name for t in more.head], [t.name for t in own[0].args]
+        ends = (q, z) if p == x and q != z else (x, p) if q == z and p != x else None
+        first = tuple(t.name for t in base.head)
+        if ends is None or len({x, z, *ends}) != 3 or (S.variables(base.body[0]) - set(first)) & {x, z, *ends}:
+            return clauses
+        if len(set(first)) != 2 or S.renamed(base.body[0], dict(zip(first, ends, strict=True))) != other:
+            return clauses
+        step = S.Call(name, tuple(S.Var(v) for v in ends))
+        return [base, replace(more, body=tuple(a if a is own[0] else step for a in more.body))]
+
     def fixpoint(self, group: list[str]) -> None:
         """Semi-naive evaluation: each round joins only the newest rows of one recursive call with all rows of
-        the others, and keeps what is new. Every round is written, so lineage stays short."""
+        the others, and keeps what is new. Every round is written, so lineage stays short; rows found so far are
+        rewritten as one table whenever they lie in PARTS tables, so a round reads few of them."""
         inside = set(group)
         start: dict[str, DataFrame] = {}
         steps: list[tuple[S.Rule, int]] = []
         for n in group:
-            first = [r for r in self.catalog.rules[n] if not any(c in inside for c, _ in calls(r.body))]
+            clauses = self.doubled(n) if len(group) == 1 else self.catalog.rules[n]
+            first = [r for r in clauses if not any(c in inside for c, _ in calls(r.body))]
             if not first:
                 raise RuleProblem(f"{n} has no clause that doesn't depend on itself")
             start[n] = V.union([self.clause(r) for r in first]).distinct()
-            for r in self.catalog.rules[n]:
+            for r in clauses:
                 steps += [(r, i) for i, a in enumerate(r.body) if isinstance(a, S.Call) and a.name in inside]
         known = {n: self.context.written(df) for n, df in start.items()}
-        newest = dict(known)
-        while True:
+        parts = dict.fromkeys(group, 1)
+        newest = {n: df for n, df in known.items() if not df.isEmpty()}
+        while newest:
             self.built |= known
             self.deltas = newest
             found: dict[str, list[DataFrame]] = {}
             for r, i in steps:
-                if not newest[r.body[i].name].isEmpty():
+                if r.body[i].name in newest:
                     found.setdefault(r.name, []).append(self.clause(r, i))
             self.deltas = {}
             fresh = {}
-            for n, parts in found.items():
-                rows = V.union([known[n].limit(0), *parts]).distinct()
+            for n, rows in found.items():
+                rows = V.union([known[n].limit(0), *rows]).distinct()
                 same = None
                 other = known[n].select(*[F.col(c).alias(f"k_{c}") for c in known[n].columns])
                 for c in rows.columns:
                     one = F.col(c).eqNullSafe(F.col(f"k_{c}"))
                     same = one if same is None else same & one
                 fresh[n] = self.context.written(rows.join(other, same, "left_anti"))
-            fresh = {n: df for n, df in fresh.items() if not df.isEmpty()}
-            if not fresh:
-                break
-            known = {n: known[n].union(fresh[n]) if n in fresh else known[n] for n in group}
-            newest = {n: fresh.get(n, known[n].limit(0)) for n in group}
+            newest = {n: df for n, df in fresh.items() if not df.isEmpty()}
+            for n, df in newest.items():
+                known[n], parts[n] = known[n].union(df), parts[n] + 1
+                if parts[n] >= PARTS:
+                    known[n], parts[n] = self.context.written(known[n]), 1
         self.built |= known
 
     def predicate(self, name: str) -> DataFrame:
@@ -420,7 +451,7 @@ class Compiler:
                 columns.append((F.col(f"`{name}`"), df.schema[name].dataType, t))
             return self.scan(df, columns, frame)
         if isinstance(atom, S.Call):
-            return self.call(atom, frame, newest)
+            return self.call(atom, frame, newest, rest)
         if isinstance(atom, S.Compare):
             return self.comparison(atom, frame)
         if isinstance(atom, S.Not):
@@ -449,7 +480,21 @@ class Compiler:
             raise RuleProblem(f"{atom.name} has {len(params)} parameters ({', '.join(params)}), {len(out)} are given")
         return out
 
-    def call(self, atom: S.Call, frame: Frame, newest: bool) -> Frame:
+    @staticmethod
+    def bound(t, rest: list) -> int | None:
+        """The least upper bound that the other atoms of the body, or the term itself, put on an integer term."""
+        whole = lambda x: isinstance(x, S.Lit) and type(x.value) is int
+        if whole(t):
+            return max(t.value, 0)
+        found = []
+        for a in rest:
+            if isinstance(a, S.Compare) and isinstance(t, S.Var):
+                for left, op, right in ((a.left, a.op, a.right), (a.right, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(a.op, a.op), a.left)):
+                    if left == t and whole(right) and op in ("<", "<=", "="):
+                        found.append(max(right.value - (op == "<"), 0))
+        return min(found, default=None)
+
+    def call(self, atom: S.Call, frame: Frame, newest: bool, rest: Iterable = ()) -> Frame:
         p = self.as_primitive(atom.name)
         if p:
             args = self.positions(atom, p.params)
@@ -457,7 +502,8 @@ class Compiler:
             if p.needs:
                 bound = [i for i in wanted if i in args and not isinstance(args[i], S.Wild) and S.variables(args[i]) <= set(frame.names)]
                 seeds = frame.rows(self.spark).select(*[self.term(args[i], frame)[0].alias(f"p{i}") for i in bound]).distinct()
-            df = p.build(self.context, seeds) if p.needs else p.build(self.context)
+            most = self.bound(args.get(p.depth), rest) if p.depth is not None else None
+            df = p.build(self.context, seeds, **({} if most is None else {"most": most})) if p.needs else p.build(self.context)
         else:
             if atom.name in self.catalog.optional and atom.name not in self.catalog.rules:
                 args = self.positions(atom, self.catalog.params[atom.name])
