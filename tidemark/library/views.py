@@ -28,14 +28,37 @@ def axis_of(lib: Library):
     return lib.ctx.local(sorted((s.name, s.axis) for s in REGISTRY.values()), "predicate string, axis string")
 
 
-def _profile(name: str, title: str, statuses: list[str], doc: str) -> None:
-    text = f"# {title} lifecycle\n" + "\n".join(f'pipeline_position_for("{s}", {i}).' for i, s in enumerate(statuses))
-    table(name, "text", "infrastructure", doc, [text])
-
-
-_profile("profile_doc_corpus", "Document corpus", ["draft", "review", "current", "superseded"], "An example lifecycle for documents.")
-_profile("profile_code_corpus", "Code corpus", ["private", "public", "deprecated"], "An example lifecycle for code.")
-_profile("profile_issue_corpus", "Issue corpus", ["open", "review", "closed"], "An example lifecycle for issues.")
+#: The text of the example lifecycles.
+PROFILES = {
+    "profile_doc_corpus": """# Document corpus lifecycle
+pipeline_position_for("draft", 0).
+pipeline_position_for("review", 1).
+pipeline_position_for("stable", 2).
+terminal(h) := status_of(h, "archived").
+active(h) := status_of(h, "draft").
+active(h) := status_of(h, "review").
+settled(h) := status_of(h, "stable").""",
+    "profile_code_corpus": """# Code corpus lifecycle
+pipeline_position_for("private", 0).
+pipeline_position_for("public", 1).
+pipeline_position_for("deprecated", 2).
+terminal(h) := *meta{handle: h, key: "code.deprecated", value: "true"}.
+active(h) := *meta{handle: h, key: "code.visibility", value: "private"}.
+active(h) := *meta{handle: h, key: "code.visibility", value: "public"}.
+settled(h) := *meta{handle: h, key: "code.visibility", value: "public"}, not terminal(h).""",
+    "profile_issue_corpus": """# Issue corpus lifecycle
+pipeline_position_for("open", 0).
+pipeline_position_for("blocked", 0).
+pipeline_position_for("review", 1).
+pipeline_position_for("closed", 2).
+terminal(h) := status_of(h, "closed").
+active(h) := status_of(h, "open").
+active(h) := status_of(h, "blocked").
+active(h) := status_of(h, "review").
+settled(h) := terminal(h).""",
+}
+for _name, _text in PROFILES.items():
+    table(_name, "text", "infrastructure", "An example lifecycle that a project can copy.", [_text])
 
 
 @predicate("gitignored_scanned_file", "h file", "structure")

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Identity columns.
 IDENTITY = ("corpus", "source", "native_id", "origin_uri", "revision", "generation")
 NUMBERS = {"line", "lines", "tokens", "start_line", "end_line", "ordinal", "generation", "current", "step"}
 
-#: Fields of each relation after its identity columns, where it has them.
+#: Names of relations and of their fields after the identity columns, where a relation has these.
 FIELDS: dict[str, tuple[bool, tuple[str, ...]]] = {
     "handle": (True, ("id", "kind", "status", "namespace", "file", "line", "date", "area", "summary")),
     "edge": (True, ("from", "to", "kind", "file", "line", "assertion_date", "assertion_revision")),
