@@ -3,19 +3,26 @@
 A batch of texts is one byte buffer with row offsets (Arrow's own layout). Words are maximal runs
 of bytes of a class, never across two rows; all classes used here keep every non-ASCII byte together,
 so working on UTF-8 bytes gives the same words as working on code points.
+
+A span's hash mixes its bytes eight at a time, each step not linear in the bytes; spans of more than `LONG` bytes
+take BLAKE2. So equal hashes of different spans are a matter of chance (2**-64 a pair), not of their form. Memory is
+about ten bytes a byte of the longest text, and nothing is kept between batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
+LONG = 512
 _P = np.uint64(0x9E3779B97F4A7C55)
-_P_INV = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 _Q = np.uint64(0xD1342543DE82EF95)
+#: The low bytes of a word of eight that belong to a span.
+_MASK = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
 
 
 def table(*ranges: tuple[int, int]) -> np.ndarray:
@@ -44,20 +51,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
-        n = max(n, SLICE_BYTES + 1)
-        for name, base in (("up", _P), ("down", _P_INV)):
-            out = np.full(n, base, np.uint64)
-            out[0] = 1
-            _powers[name] = np.cumprod(out)
-    return _powers["up"], _powers["down"]
-
-
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets (from 0) of a string column; null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -100,17 +93,24 @@ def spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np
     return starts, np.flatnonzero(ends) + 1, np.searchsorted(offsets, starts, "right") - 1
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(data) + 1)
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=out[1:])
-    return out
-
-
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of the bytes of each span, the same wherever they stand."""
-    _, down = powers(len(prefix))
-    return mix((prefix[ends] - prefix[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _Q)
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _Q + _P)
+    if not len(size):
+        return out
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    at = np.flatnonzero((size > 0) & (size <= LONG))
+    done = 0
+    while len(at):
+        left = size[at] - done
+        out[at] = mix((out[at] ^ (eight[starts[at] + done] & _MASK[np.minimum(left, 8)])) * _P)
+        done += 8
+        at = at[left > 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def runs(hashes: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -63,7 +63,7 @@ class Matcher:
             texts = list(found)
             data = np.frombuffer(b" ".join(texts), np.uint8)
             starts, ends, _ = W.spans(data, np.array([0, len(data)]), data_class(data))
-            hashes = W.span_hash(W.prefix_hash(data), starts, ends)
+            hashes = W.span_hash(data, starts, ends)
             whole, at = W.runs(hashes, np.zeros(len(hashes), np.int64), size)
             whole = whole[at % size == 0]
             bits = np.zeros(1 << _BITS, bool)
@@ -107,7 +107,7 @@ def _pass(docs: DataFrame, text: str, shard: dict[int, dict[bytes, list[str]]],
                 data = W.LOWER[data]
                 starts, ends, rows = W.spans(data, offsets, W.ALNUM)
                 counts[first:end] = np.bincount(rows, minlength=end - first)
-                hashes = W.span_hash(W.prefix_hash(data), starts, ends)
+                hashes = W.span_hash(data, starts, ends)
                 cuts = W.bounds(rows, end - first)
                 for word, size, items in matcher[0].hits(data, starts, ends, rows, hashes):
                     row = int(rows[word])

@@ -58,7 +58,7 @@ def shingle_sets(column: pa.Array, k: int):
     for first, end, data, offsets in W.slices(column):
         data = W.LOWER[data]
         starts, ends, rows = W.spans(data, offsets, W.SPACED)
-        hashes = W.span_hash(W.prefix_hash(data), starts, ends)
+        hashes = W.span_hash(data, starts, ends)
         words = W.bounds(rows, end - first)
         whole, at = W.runs(hashes, rows, k)
         cuts = W.bounds(rows[at], end - first)

@@ -68,8 +68,7 @@ class Lines:
 def measure(data: np.ndarray, offsets: np.ndarray) -> Lines:
     n = len(offsets) - 1
     starts, ends, rows = W.spans(data, offsets, W.SPACED)
-    prefix = W.prefix_hash(data)
-    hashes = W.span_hash(prefix, starts, ends)
+    hashes = W.span_hash(data, starts, ends)
     chars = _sums(_CHAR[data])
     counts = np.zeros((n, len(COUNTS)), np.int64)
     counts[:, 0] = np.bincount(rows, minlength=n)
@@ -89,7 +88,7 @@ def measure(data: np.ndarray, offsets: np.ndarray) -> Lines:
     n_words = np.searchsorted(starts, stops) - first
     has = n_words > 0
     begins, stops, line_rows, n_words, first = begins[has], stops[has], line_rows[has], n_words[has], first[has]
-    _, before = _again(W.span_hash(prefix, begins, stops), line_rows)
+    _, before = _again(W.span_hash(data, begins, stops), line_rows)
     counts[:, 3] = np.bincount(line_rows[before], minlength=n)
 
     per = lambda flags: (s := _sums(flags))[stops] - s[begins]
