@@ -45,9 +45,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch of whole texts.
+BATCH_BYTES = 4 << 20
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole texts: as many rows as the default would not fit small executors. A setting of
-    the session's own stays."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, "2000")
+    """Arrow batches of whole texts bounded by bytes, so that they fit small executors. Results don't depend on it. As
+    plans run later, the setting stays; one that the session was given stays as it is."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if name not in spark.conf.getAll:
+        spark.conf.set(name, str(BATCH_BYTES))

@@ -1,35 +1,45 @@
 """Secret scans: fixed patterns, and probabilistic automata inferred from labelled credentials.
 
 The base kinds are regular expressions. The method infers one stochastic automaton per kind from labelled
-credentials: a prefix tree of their symbol classes, whose states are merged while their outgoing frequencies
-are statistically compatible (Hoeffding bound, recursively, as in ALERGIA), and with it the distribution of
-characters inside each class. Every other token of a text that could be a credential is scored by each
-automaton: the mean log-likelihood a character, relative to a background of the corpus's own ordinary tokens. A token
-that reaches the threshold found on the labelled ones becomes a span of kind `format`. Tokens of 16 characters and
-more are scored, and shorter ones down to the length of the shortest credential learned from (6 at least). A token of
-digits or letters alone passes only the automata of kinds with such a credential, as else every long number, rare as
+credentials. A credential is a sequence of symbols: the literal characters of a prefix that nearly all credentials of
+the kind begin with, then classes of characters, with '+', '/', '_', '.', '=' and '-' as symbols of their own. The
+prefix tree of these sequences is merged, in breadth-first order, where the outgoing frequencies of two states and of
+all states below them are statistically compatible (Hoeffding's bound, as in ALERGIA). States seen fewer than
+`LEAST_SEEN` times give no evidence and are never merged: what little is known of a rare kind stays as it was seen.
+Of several partitions into classes, from fine to coarse, the one is taken whose automaton, inferred from half of the
+credentials, gives the other half the greatest likelihood: so lengths and separators are learned where they are fixed
+and loops where they are not. Characters beyond `DEPTH` are one last symbol with a distribution of their own.
+
+Every token of a text outside base spans, of the length of the shortest credential learned from at least, is scored
+by each automaton: the mean log-likelihood a character, relative to a background of all the corpus's characters. One
+that reaches the threshold found on the credentials held out becomes a span of kind `format`. A token of digits
+or letters alone passes only the automata of kinds with such a credential, as else every long number, rare as
 digits are in the background, would resemble a hexadecimal credential.
 
 Labelled credentials are the values of base spans in a sample of at most `max_labelled` distinct values a
-kind, by a hash of the value. Values of more than 200 characters are not learned from, and a kind with fewer than 8
-distinct values gets no automaton; their base spans are reported all the same.
+kind, by a hash of the value. A value of the kind `assign` that is made of plain words (`token: next_page`) is not
+plausible and not learned from; its base span is reported all the same.
 
-Defined cases: null text is empty; rows are scanned one by one; without labelled credentials only base spans
-are reported; columns with the names of results are replaced, others pass through.
+Defined cases: null text is empty; rows are scanned one by one, so repeated rows agree; without labelled credentials
+only base spans are reported; an empty table gives no rows; texts and tokens of any length are scanned whole; columns
+with the names of results are replaced, others pass through.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from collections.abc import Hashable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import _words as W
 from ._shared import small_batches, written
 
 #: The base kinds in their order, with their patterns and least lengths.
@@ -39,13 +49,22 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _MIN_ASSIGN, _MIN_ACCESS = 6, 20
 _NAMES = ("passw", "secret", "token", "api")  # one is in whatever _ASSIGN matches, once lowered
-LEAST = 16
 MAX_LABELLED = 400
-MAX_VALUE = 200
-MIN_VALUES = 8
 ALPHA = 0.05
+LEAST_SEEN = 30
+DEPTH = 64
+#: A prefix that this part of the credentials share is literal.
+PREFIX_SHARE = 0.8
 RESULTS = ("n_assign", "n_access", "n_hex", "base", "found")
 
+_DIGIT, _LOWER, _UPPER = (48, 57), (97, 122), (65, 90)
+#: Classes of characters, from fine to coarse, each of one or more ranges of bytes.
+PARTITIONS = (((_DIGIT,), ((97, 102),), ((103, 122),), (_UPPER,)), ((_DIGIT,), (_LOWER,), (_UPPER,)), ((_DIGIT,), (_LOWER, _UPPER)), ((_DIGIT, _LOWER, _UPPER),))
+_OWN = b"+/_.=-"
+#: What candidates consist of; dots at their ends are punctuation.
+_TOKEN = W.table(_DIGIT, _LOWER, _UPPER, *((c, c) for c in b"+/_.-"))
+_WORDS = re.compile(r"[A-Z]?[a-z]+(?:[._/-]+[A-Z]?[a-z]*)*")
+
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the base kinds, sorted."""
@@ -64,71 +83,33 @@ def value(text: str, span: tuple[int, int, int]) -> str:
     return _ASSIGN.match(found)[2] if span[1] == 0 else found
 
 
-def _class(c: str) -> str:
-    if c.isdigit():
-        return "0"
-    if "a" <= c <= "f":
-        return "a"
-    if "A" <= c <= "Z":
-        return "A"
-    return "z" if "g" <= c <= "z" else "-"
+def plausible(kind: str, found: str) -> bool:
+    return kind != "assign" or not _WORDS.fullmatch(found)
 
 
-def _mix(token: str) -> tuple[bool, bool]:
-    """Whether it has a digit, and a letter."""
-    return any(c.isdigit() for c in token), any(c.isalpha() for c in token)
+# Inference
 
 
 @dataclass
 class State:
     ends: int = 0
-    to: dict[str, list[int]] = field(default_factory=dict)  # symbol: [state, count]
+    to: dict[Hashable, list[int]] = field(default_factory=dict)  # symbol: [state, count]
 
     @property
     def total(self) -> int:
         return self.ends + sum(n for _, n in self.to.values())
 
 
-@dataclass
-class Automaton:
-    """States of a deterministic stochastic automaton over symbol classes, and characters in each class."""
-
-    states: dict[int, State]
-    inside: dict[str, Counter]
-    threshold: float = 0.0
-    mixes: set[tuple[bool, bool]] = field(default_factory=set)
-
-    def score(self, token: str, background: dict[str, float]) -> float:
-        """Mean log-likelihood ratio a character; -inf if the automaton can't produce the token."""
-        at, total = 0, 0.0
-        for c in token:
-            state, k = self.states[at], _class(c)
-            step = state.to.get(k)
-            if step is None:
-                return -math.inf
-            seen = self.inside[k]
-            total += math.log(step[1] / state.total) + math.log((seen[c] + 0.5) / (seen.total() + 0.5 * 26)) - background.get(c, background[""])
-            at = step[0]
-        ends = self.states[at].ends
-        return (total + math.log(ends / self.states[at].total)) / (len(token) + 1) if ends else -math.inf
-
-
-def _differ(n1: int, f1: int, n2: int, f2: int, alpha: float) -> bool:
+def differ(n1: int, f1: int, n2: int, f2: int, alpha: float) -> bool:
     """Hoeffding's bound on two observed frequencies."""
-    if not n1 or not n2:
-        return False
     return abs(f1 / n1 - f2 / n2) > math.sqrt(0.5 * math.log(2 / alpha)) * (1 / math.sqrt(n1) + 1 / math.sqrt(n2))
 
 
-def infer(tokens: list[str], alpha: float = ALPHA) -> Automaton:
-    """Prefix tree of the tokens' classes, then merging of compatible states in breadth-first order."""
+def prefix_tree(words: Sequence[Sequence[Hashable]]) -> dict[int, State]:
     states = {0: State()}
-    inside: dict[str, Counter] = defaultdict(Counter)
-    for token in tokens:
+    for word in words:
         at = 0
-        for c in token:
-            k = _class(c)
-            inside[k][c] += 1
+        for k in word:
             step = states[at].to.get(k)
             if step is None:
                 step = states[at].to[k] = [len(states), 0]
@@ -136,6 +117,13 @@ def infer(tokens: list[str], alpha: float = ALPHA) -> Automaton:
             step[1] += 1
             at = step[0]
         states[at].ends += 1
+    return states
+
+
+def infer(words: Sequence[Sequence[Hashable]], alpha: float = ALPHA, least: int = LEAST_SEEN) -> dict[int, State]:
+    """A deterministic automaton, from 0, with the counts of the words: their prefix tree, whose states are merged in
+    breadth-first order with the first state found before that is compatible."""
+    states = prefix_tree(words)
 
     def compatible(a: int, b: int) -> bool:
         stack = [(a, b)]
@@ -143,11 +131,13 @@ def infer(tokens: list[str], alpha: float = ALPHA) -> Automaton:
             a, b = stack.pop()
             x, y = states[a], states[b]
             n, m = x.total, y.total
-            if _differ(n, x.ends, m, y.ends, alpha):
+            if n < least or m < least:
+                continue
+            if differ(n, x.ends, m, y.ends, alpha):
                 return False
             for k in {*x.to, *y.to}:
                 p, q = x.to.get(k), y.to.get(k)
-                if _differ(n, p[1] if p else 0, m, q[1] if q else 0, alpha):
+                if differ(n, p[1] if p else 0, m, q[1] if q else 0, alpha):
                     return False
                 if p and q and p[0] != q[0]:
                     stack.append((p[0], q[0]))
@@ -167,90 +157,237 @@ def infer(tokens: list[str], alpha: float = ALPHA) -> Automaton:
                 else:
                     x.to[k] = [to, n]
 
-    red, blue = [0], sorted((to, 0, k) for k, (to, _) in states[0].to.items())
+    red, known = [0], {0}
+    blue = [(to, 0, k) for k, (to, _) in states[0].to.items()]
     while blue:
         b, parent, symbol = blue.pop(0)
-        if b not in states or states[parent].to.get(symbol, [None])[0] != b:
+        step = states[parent].to.get(symbol)
+        if step is None or step[0] != b or b in known:
             continue
-        # A state seen too rarely to be told apart joins the first compatible one like any other.
-        target = next((r for r in red if compatible(r, b)), None)
+        seen = states[b].total >= least
+        target = next((r for r in red if states[r].total >= least and compatible(r, b)), None) if seen else None
         if target is None:
             red.append(b)
+            known.add(b)
+            blue += [(to, b, k) for k, (to, _) in states[b].to.items()]
         else:
-            states[parent].to[symbol][0] = target
+            step[0] = target
             fold(target, b)
-        known = set(red)
-        blue = sorted({(to, r, k) for r in red for k, (to, _) in states[r].to.items() if to not in known})
-    return Automaton({r: states[r] for r in red}, dict(inside))
+            # Folding may have given states found before new steps.
+            blue += [(to, r, k) for r in red for k, (to, _) in states[r].to.items() if to not in known]
+    return {r: states[r] for r in red}
 
 
-@dataclass
-class Model:
-    automata: dict[str, Automaton]
-    background: dict[str, float]
-    least: int = LEAST  # characters of a candidate
+# Credentials as words of symbols
 
-    def accepts(self, token: str) -> bool:
-        mix = _mix(token)
-        return any(mix in a.mixes and a.score(token, self.background) >= a.threshold for a in self.automata.values())
 
+def partition(classes) -> np.ndarray:
+    """The symbol of each byte: 1, 2, ... for classes and then for the characters that stand alone; 0 for the rest."""
+    out = np.zeros(256, np.int64)
+    for i, ranges in enumerate(classes):
+        out[W.table(*ranges)] = i + 1
+    out[list(_OWN)] = len(classes) + 1 + np.arange(len(_OWN))
+    return out
 
-def candidates(text: str, least: int = LEAST):
-    """Tokens of at least so many characters."""
-    for m in re.finditer(rf"[A-Za-z0-9+/_=-]{{{least},}}", text):
-        yield m.start(), m.end(), m[0]
 
+def common_prefix(values: list[bytes], least: int = LEAST_SEEN) -> bytes:
+    """The longest prefix that PREFIX_SHARE of the values, and `least` of them, begin with and go on after."""
+    out = b""
+    while True:
+        after = Counter(v[len(out)] for v in values if v.startswith(out) and len(v) > len(out) + 1)
+        if not after or (best := after.most_common(1)[0])[1] < max(least, PREFIX_SHARE * len(values)):
+            return out
+        out += bytes([best[0]])
 
-def fit(labelled: dict[str, list[str]], background: Counter, alpha: float = ALPHA) -> Model:
-    total = sum(background.values()) + 64
-    plain = {c: math.log((n + 1) / total) for c, n in background.items()} | {"": math.log(1 / total)}
-    automata, least = {}, LEAST
-    for kind, tokens in sorted(labelled.items()):
-        tokens = sorted(set(tokens))
-        if len(tokens) < MIN_VALUES:
-            continue
-        least = min(least, *map(len, tokens))
-        # The threshold is set on tokens that the automaton has not seen.
-        half = infer(tokens[::2], alpha)
-        scores = sorted(s for t in tokens[1::2] if (s := half.score(t, plain)) > -math.inf)
-        own = infer(tokens, alpha)
-        own.threshold = max(1.0, scores[len(scores) // 20]) if scores else math.inf
-        own.mixes = {(True, True), *map(_mix, tokens)}
-        automata[kind] = own
-    return Model(automata, plain, least)
+
+class Automaton:
+    """An inferred automaton over the symbols of one partition, with what is needed to score many tokens at once."""
+
+    def __init__(self, values: list[bytes], classes, prefix: bytes, alpha: float = ALPHA, least: int = LEAST_SEEN):
+        self.symbol, self.prefix = partition(classes), prefix
+        own = len(classes) + len(_OWN) + 1
+        self.rest, self.first = own, own + 1  # the symbol of all beyond DEPTH, and of the prefix's first character
+        inside, tail = np.zeros(256), np.zeros(256)
+        for v in values:
+            for c in v[self._literal(v) : DEPTH]:
+                inside[c] += 1
+            for c in v[DEPTH:]:
+                tail[c] += 1
+        states = infer([self.word(v) for v in values], alpha, least)
+        place = {s: i for i, s in enumerate(states)}
+        n, symbols = len(states), self.first + len(prefix)
+        self.to, self.log = np.full((n, symbols), -1), np.full((n, symbols), -np.inf)
+        self.end = np.full(n, -np.inf)
+        for s, i in place.items():
+            total = states[s].total
+            if states[s].ends:
+                self.end[i] = math.log(states[s].ends / total)
+            for k, (to, count) in states[s].to.items():
+                self.to[i, k], self.log[i, k] = place[to], math.log(count / total)
+        # Characters inside their class, smoothed over the class.
+        self.emit = np.zeros(256)
+        for k in range(1, self.rest):
+            at = self.symbol == k
+            self.emit[at] = np.log((inside[at] + 0.5) / (inside[at].sum() + 0.5 * at.sum()))
+        self.tail = np.log((tail + 0.5) / (tail.sum() + 0.5 * 64))
+        self.threshold = math.inf
+        self.mixes: set[tuple[bool, bool]] = {(True, True)}
+
+    def _literal(self, value: bytes) -> int:
+        return next((i for i, (a, b) in enumerate(zip(value, self.prefix, strict=False)) if a != b), min(len(value), len(self.prefix)))
+
+    def word(self, value: bytes) -> tuple[int, ...]:
+        n = min(self._literal(value), DEPTH)
+        out = [self.first + i for i in range(n)] + self.symbol[list(value[n:DEPTH])].tolist()
+        return (*out, self.rest) if len(value) > DEPTH else tuple(out)
+
+    def scores(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, plain: np.ndarray) -> np.ndarray:
+        """Of each span of data the mean log-likelihood ratio a character against the background `plain`; -inf where
+        the automaton can't produce it. All spans take each step together, DEPTH of them at most."""
+        size = ends - starts
+        out = np.full(len(starts), -np.inf)
+        live, state, total, literal = np.arange(len(starts)), np.zeros(len(starts), np.int64), np.zeros(len(starts)), np.ones(len(starts), bool)
+        for i in range(DEPTH + 1):
+            over = size[live] == i
+            at = live[over]
+            out[at] = (total[at] + self.end[state[at]]) / (size[at] + 1)
+            live = live[~over]
+            if not len(live) or i == DEPTH:
+                break
+            c = data[starts[live] + i]
+            k, ratio = self.symbol[c], self.emit[c] - plain[c]
+            if i < len(self.prefix):
+                literal[live] &= c == self.prefix[i]
+                k, ratio = np.where(literal[live], self.first + i, k), np.where(literal[live], -plain[c], ratio)
+            total[live] += self.log[state[live], k] + ratio
+            state[live] = self.to[state[live], k]
+            live = live[state[live] >= 0]
+        if len(live):
+            ratio = self.tail - plain
+            for j in live[self.to[state[live], self.rest] >= 0].tolist():
+                rest = float(ratio[data[starts[j] + DEPTH : ends[j]]].sum())
+                out[j] = (total[j] + self.log[state[j], self.rest] + rest) / (size[j] + 1)
+        return out
+
+    def likelihood(self, values: list[bytes]) -> float:
+        """Sum of the values' log-likelihoods; one that can't be produced counts as random characters and 10 more."""
+        found = self.scores(*spans_of(values), np.zeros(256)) if values else np.zeros(0)
+        size = np.array([len(v) for v in values])
+        return float(np.where(np.isfinite(found), found * (size + 1), -size * math.log(64) - 10).sum())
+
+
+def spans_of(values: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ends = np.cumsum([len(v) for v in values]).astype(np.int64)
+    return np.frombuffer(b"".join(values), np.uint8), np.append(0, ends[:-1]).astype(np.int64), ends
+
+
+def _mix(value: bytes) -> tuple[bool, bool]:
+    """Whether it has a digit, and a letter."""
+    return any(48 <= c <= 57 for c in value), any(65 <= c <= 90 or 97 <= c <= 122 for c in value)
+
+
+def learn(values: list[bytes], plain: np.ndarray, alpha: float = ALPHA, least: int = LEAST_SEEN) -> Automaton:
+    """An automaton of one kind; its partition and threshold come from values that were held out."""
+    half, rest = values[::2], values[1::2]
+    tried = [Automaton(half, classes, common_prefix(half, least), alpha, least) for classes in PARTITIONS]
+    best = max(range(len(tried)), key=lambda i: (tried[i].likelihood(rest), i))
+    seen = np.sort(tried[best].scores(*spans_of(rest), plain)) if rest else np.zeros(0)
+    seen = seen[np.isfinite(seen)]
+    out = Automaton(values, PARTITIONS[best], common_prefix(values, least), alpha, least)
+    out.threshold = max(1.0, float(seen[len(seen) // 100])) if len(seen) else 1.0
+    out.mixes |= set(map(_mix, values))
+    return out
+
+
+@dataclass
+class Model:
+    automata: dict[str, Automaton]
+    plain: np.ndarray  # log of each byte's share of the corpus
+    least: int  # characters of a candidate
+
+    def accepted(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which of these spans are credentials."""
+        out = np.zeros(len(starts), bool)
+        if not len(starts):
+            return out
+        some = lambda *ranges: (s := np.append(0, np.cumsum(W.table(*ranges)[data])))[ends] > s[starts]
+        digit, letter = some(_DIGIT), some(_LOWER, _UPPER)
+        for a in self.automata.values():
+            fits = np.zeros(len(starts), bool)
+            for has_digit, has_letter in a.mixes:
+                fits |= (digit == has_digit) & (letter == has_letter)
+            at = np.flatnonzero(fits & ~out)
+            out[at] = a.scores(data, starts[at], ends[at], self.plain) >= a.threshold
+        return out
+
+
+def fit(labelled: dict[str, list[str]], background: np.ndarray, alpha: float = ALPHA, least: int = LEAST_SEEN) -> Model:
+    """background: the number of each byte in all texts."""
+    plain = np.log((background + 1) / (background.sum() + 64))
+    sizes, automata = [], {}
+    for kind, found in sorted(labelled.items()):
+        values = sorted({v.strip(".").rstrip("=").encode() for v in found if plausible(kind, v)} - {b""})
+        if values:
+            # Shuffled by a fixed rule, so that halves don't depend on the values' order.
+            values = [v for _, v in sorted(zip(W.span_hash(*spans_of(values)).tolist(), values, strict=True))]
+            automata[kind] = learn(values, plain, alpha, least)
+            sizes += map(len, values)
+    return Model(automata, plain, max(min(sizes, default=_MIN_ASSIGN), _MIN_ASSIGN))
 
 
 def train(docs: DataFrame, *, text: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
     """Automata of the base spans' values. Values are gathered from all texts, at most max_labelled distinct
-    ones a kind (the smallest hashes) are learned from; the background counts the characters of all texts."""
+    ones a kind (the smallest hashes) are learned from; the background counts the bytes of all texts."""
 
     def gather(batches):
-        letters: Counter = Counter()
+        seen = np.zeros(256, np.int64)
         for batch in batches:
+            data, _ = W.buffers(batch.column(0))
+            seen += np.bincount(data, minlength=256)
             kinds, values = [], []
             for t in batch.column(0).to_pylist():
-                if t:
-                    letters.update(t)
-                    for span in base_spans(t):
-                        v = value(t, span)
-                        if len(v) <= MAX_VALUE:
-                            kinds.append(KINDS[span[1]])
-                            values.append(v)
+                for span in base_spans(t or ""):
+                    v = value(t, span)
+                    if plausible(KINDS[span[1]], v):
+                        kinds.append(KINDS[span[1]])
+                        values.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array([1] * len(kinds), pa.int64())], names=["kind", "value", "n"])
-        ascii_only = [(c, n) for c, n in letters.items() if c < "\x80"]
-        yield pa.RecordBatch.from_arrays([pa.array([""] * len(ascii_only), pa.string()), pa.array([c for c, _ in ascii_only], pa.string()), pa.array([n for _, n in ascii_only], pa.int64())], names=["kind", "value", "n"])
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([""] * len(at), pa.string()), pa.array([str(i) for i in at.tolist()], pa.string()), pa.array(seen[at])], names=["kind", "value", "n"])
 
     small_batches(docs.sparkSession)
     counted = docs.select(text).mapInArrow(gather, "kind string, value string, n long").groupBy("kind", "value").agg(F.sum("n").alias("n")).withColumn("h", F.xxhash64("value"))
-    background, labelled = Counter(), {}
+    background, labelled = np.zeros(256), {}
     counted = written(counted, "credentials")
-    for r in counted.where("kind = ''").collect():
-        background[r.value] = r.n
+    for r in counted.where("kind = ''").collect():  # 256 rows at most
+        background[int(r.value)] = r.n
     for kind in KINDS:
         labelled[kind] = [r.value for r in counted.where(F.col("kind") == kind).orderBy("h", "value").limit(max_labelled).collect()]
     return fit(labelled, background)
 
 
+# Scanning
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and rows of the candidates of at least so many characters."""
+    starts, ends, rows = W.spans(data, offsets, _TOKEN)
+    while len(dots := np.flatnonzero((ends > starts) & (data[np.maximum(ends - 1, 0)] == 46))):
+        ends[dots] -= 1
+    while len(dots := np.flatnonzero((ends > starts) & (data[np.minimum(starts, len(data) - 1)] == 46))):
+        starts[dots] += 1
+    keep = ends - starts >= least
+    return starts[keep], ends[keep], rows[keep]
+
+
+def _apart(starts: np.ndarray, ends: np.ndarray, base: list[tuple[int, int, int]]) -> np.ndarray:
+    """Which spans overlap none of base, sorted by start."""
+    if not base:
+        return np.ones(len(starts), bool)
+    last = np.append(-1, np.maximum.accumulate([e for _, _, e in base]))
+    return last[np.searchsorted([s for s, _, _ in base], ends, "left")] <= starts
+
+
 def scan(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
     """docs with n_assign, n_access, n_hex, and arrays base and found of (kind, start, end), by start."""
     small_batches(docs.sparkSession)
@@ -264,19 +401,27 @@ def scan(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFra
     def look(batches):
         own = sent.value
         for batch in batches:
-            counts, base, found = [[], [], []], [], []
-            for t in batch.column(batch.schema.get_field_index(text)).to_pylist():
-                spans = base_spans(t or "")
-                for k in range(3):
-                    counts[k].append(sum(s[1] == k for s in spans))
-                more = []
-                if t and own is not None and own.automata:
-                    for a, b, token in candidates(t, own.least):
-                        if not any(s < b and a < e for s, _, e in spans) and own.accepts(token):
-                            more.append((a, 3, b))
-                base.append([{"kind": kind_of[k], "start": a, "end": b} for a, k, b in spans])
-                found.append([{"kind": kind_of[k], "start": a, "end": b} for a, k, b in sorted(spans + more)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(c, pa.int64()) for c in counts], pa.array(base, struct), pa.array(found, struct)], names=[*batch.schema.names, *RESULTS])
+            column = batch.column(batch.schema.get_field_index(text))
+            base = [base_spans(t or "") for t in column.to_pylist()]
+            more: list[list] = [[] for _ in base]
+            for first, _, data, offsets in W.slices(column) if own is not None and own.automata else ():
+                starts, ends, rows = tokens(data, offsets, own.least)
+                good = own.accepted(data, starts, ends)
+                if not good.any():
+                    continue
+                # Positions are code points: bytes that begin one, from the row's first.
+                points = np.append(0, np.cumsum((data & 0xC0) != 0x80))
+                starts, ends, rows = starts[good], ends[good], rows[good]
+                starts, ends = points[starts] - points[offsets[rows]], points[ends] - points[offsets[rows]]
+                cuts = W.bounds(rows, len(offsets) - 1)
+                for row in np.unique(rows).tolist():
+                    a, b = starts[cuts[row] : cuts[row + 1]], ends[cuts[row] : cuts[row + 1]]
+                    free = _apart(a, b, base[first + row])
+                    more[first + row] = [(x, 3, y) for x, y in zip(a[free].tolist(), b[free].tolist(), strict=True)]
+            counts = [pa.array([sum(s[1] == k for s in spans) for spans in base], pa.int64()) for k in range(3)]
+            named = lambda spans: [{"kind": kind_of[k], "start": a, "end": b} for a, k, b in spans]
+            found = pa.array([named(sorted(x + y)) for x, y in zip(base, more, strict=True)], struct)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *counts, pa.array(map(named, base), struct), found], names=[*batch.schema.names, *RESULTS])
 
     return docs.mapInArrow(look, schema)
 
