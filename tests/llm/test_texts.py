@@ -306,6 +306,82 @@ def test_quality_learns(spark, documents):
     assert quality.train(docs, labels.limit(0)) is None
 
 
+def random_sample(rng, sizes):
+    parts = [(rng.random((n, quality.FEATURES)) < 0.4) for n in sizes]
+    return quality.Sample.of(parts, [i % 2 for i in range(len(sizes))])
+
+
+def test_field_likelihood_and_gradients():
+    rng = np.random.default_rng(23)
+    sample = random_sample(rng, [5, 1, 3, 6, 2])
+    content = rng.random(17)
+    parameters = rng.normal(size=quality.FEATURES + 4) * 0.5
+    value, grad = quality.likelihood(parameters, sample, content, prior=0.01)
+    # By all label sequences.
+    weights, move = parameters[: quality.FEATURES], parameters[quality.FEATURES :].reshape(2, 2)
+    rows, w = quality._balance(sample)
+    total = 0.0
+    for first, n in zip(sample.first, sample.size, strict=True):
+        score = sample.features[first : first + n] @ weights
+        r = content[first : first + n]
+        paths = [[(m >> i) & 1 for i in range(n)] for m in range(2**n)]
+        of = [sum(score[i] * p[i] for i in range(n)) + sum(move[p[i], p[i + 1]] for i in range(n - 1)) for p in paths]
+        told = sum(r[i] * score[i] for i in range(n)) + sum([1 - r[i], r[i]][a] * [1 - r[i + 1], r[i + 1]][b] * move[a, b] for i in range(n - 1) for a in (0, 1) for b in (0, 1))
+        total += w[first] * (told - np.log(np.exp(of).sum()))
+    assert value == pytest.approx(total / w.sum() - 0.005 * (parameters**2).sum())
+    for f, p, g in ((lambda x: quality.likelihood(x, sample, content, 0.01)[0], parameters, grad), (lambda x: quality.evidence(x, sample)[0], weights, quality.evidence(weights, sample)[1])):
+        for i in range(len(p)):
+            h = np.zeros(len(p))
+            h[i] = 1e-5
+            assert (f(p + h) - f(p - h)) / 2e-5 == pytest.approx(g[i], abs=1e-7)
+
+
+def test_lines_are_labelled_inside_documents(spark, documents):
+    """Good documents have menus around their prose, poor ones are menus with a little prose: lines are told apart."""
+    rng = random.Random(24)
+    menu = lambda: " | ".join(f"Item{rng.randrange(10**6)}!!" for _ in range(rng.randrange(3, 12)))
+    say = lambda: prose(rng, rng.randrange(20, 40), 4000) + "."
+    texts, truth = [], []
+    for i in range(300):
+        n = rng.randrange(8, 16)
+        inside = 2 if i % 2 else n - 3
+        at = rng.randrange(0, n - inside)
+        kinds = [at <= j < at + inside for j in range(n)]
+        texts.append("\n".join(say() if k else menu() for k in kinds))
+        truth.append(kinds)
+    docs = documents([(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "doc_id long, quality int")
+    field = quality.train(docs, labels)
+    data, offsets = W.buffers(pa.array(texts[200:]))
+    lines = quality.measure(data, offsets)
+    got = quality.viterbi(lines, field)
+    want = np.array([k for kinds in truth[200:] for k in kinds])
+    assert (got == want).mean() > 0.97
+    mixed = [len(set(got[a:b].tolist())) == 2 for a, b in zip(lines.cuts[:-1], lines.cuts[1:], strict=True)]
+    assert np.mean(mixed) > 0.9
+    rows = {r.doc_id: r for r in quality.judge(docs, field).collect()}
+    for i in range(200, 300):
+        n = [len(spaced(line)) for line in texts[i].split("\n")]
+        good = sum(x for x, k in zip(n, truth[i], strict=True) if k)
+        assert rows[i].content_share == pytest.approx(good / sum(n)) and rows[i].kept == (not rows[i].base_failed and 2 * good >= sum(n))
+
+
+def test_odd_tables_of_quality(spark, documents):
+    """No rows, rows and labels that repeat, documents labelled both ways, null ids, and long documents learned from."""
+    empty = documents([])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (3, 1), (None, 1), (4, None)], "doc_id long, quality int")
+    assert quality.train(empty, labels) is None and quality.judge(empty, None).count() == 0
+    rng = random.Random(25)
+    long = "\n".join(prose(rng, 12, 900) for _ in range(700))
+    docs = documents([(1, long, None, None, None)] * 3 + [(2, "A!! | B!!\n" * 30, None, None, None), (None, None, None, None, None), (3, "x", None, None, None)])
+    field = quality.train(docs, labels)
+    assert field is not None
+    got = [(r.doc_id, r.n_words, r.kept) for r in quality.judge(docs, field).collect()]
+    assert got.count((1, 8400, True)) == 3 and (2, 90, False) in got and (None, 0, False) in got
+    even = quality.Field(np.zeros(quality.FEATURES), np.zeros((2, 2)))
+    assert {r.content_share for r in quality.judge(docs.where("doc_id = 1"), even).collect()} == {0.0}  # ties
+
+
 # Secrets
 
 

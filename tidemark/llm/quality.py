@@ -2,13 +2,24 @@
 
 Every line with a word is an observation; the field's two labels are content and boilerplate. Viterbi
 decoding finds the best label sequence of the whole text, and the share of words in content lines decides
-whether the text is kept. The field is trained here: line labels come from document labels (quality 0 or 1)
-of a sample of at most `max_docs` labelled documents; weights maximise the regularised conditional likelihood
-(forward-backward over all sampled texts at once).
+whether the text is kept.
+
+The field is trained here, from document labels (quality 0 or 1); lines have no labels of their own. First lines are
+told apart one by one: a document's label is evidence on each of its lines, right with probability `TRUST`, and a
+logistic model of the lines' features maximises the likelihood of the evidence. A line's label then is a probability
+given its features and the evidence, so lines of a poor document that look like those of good ones are mostly content,
+and the other way round. On these labels the field's weights and transitions maximise the regularised conditional
+likelihood, by forward-backward over all sampled lines at once: transitions are learned from inside documents.
+
+The sample: at most `max_docs` labelled documents, half of each label, the smallest hashes of their ids; of a document
+of more than `max_lines` lines that many consecutive ones, from a place given by the hash. Texts are measured whole
+on executors, and only the lines' features travel.
 
 Defined cases: null text has no words (base_failed, not kept); empty texts likewise; rows are judged one by
-one, so repeated rows agree; without labels a line's label follows the base counts alone and the field keeps
-everything; columns of the input that bear the names of results are replaced, others pass through.
+one, so repeated rows agree, and of rows that repeat an id in training one is learned from; a document labelled both
+ways is not learned from; without documents of both labels the field is none and keeps everything that does not fail;
+between equally good label sequences the one with boilerplate at the last line where they differ is taken; texts of
+any length are judged whole; columns of the input that bear the names of results are replaced, others pass through.
 """
 
 from __future__ import annotations
@@ -25,6 +36,9 @@ from . import _words as W
 from ._shared import small_batches
 
 MAX_DOCS = 3000
+MAX_LINES = 200
+#: How far a document's label is trusted for one of its lines.
+TRUST = 0.8
 MIN_SHARE = (1, 2)
 MIN_WORDS = 50
 _SYMBOL = np.zeros(256, bool)
@@ -107,45 +121,89 @@ class Field:
     move: np.ndarray  # 2 by 2: from label to label
 
 
-def _padded(lines: Lines, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    size = np.diff(lines.cuts)[keep]
-    x = np.zeros((len(keep), int(size.max(initial=1)), FEATURES))
-    for i, row in enumerate(keep.tolist()):
-        x[i, : size[i]] = lines.features[lines.cuts[row] : lines.cuts[row + 1]]
-    return x, size
-
+@dataclass
+class Sample:
+    """Lines of the documents learned from, one after the other, longest documents first."""
 
-def fit(lines: Lines, quality: np.ndarray, *, rounds: int = 150, rate: float = 0.1, prior: float = 1e-3) -> Field:
-    """Maximum likelihood of the labels by Adam; every line of a document bears the document's label."""
-    keep = np.flatnonzero(np.diff(lines.cuts) > 0)
-    x, size = _padded(lines, keep)
-    y = quality[keep].astype(int)
-    inside = np.arange(x.shape[1])[None, :] < size[:, None]
-    weights, move = np.zeros(FEATURES), np.zeros((2, 2))
-    weigh = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))  # both labels count alike
-    m = v = np.zeros(FEATURES + 4)
+    features: np.ndarray  # of each line
+    first: np.ndarray  # line of each document
+    size: np.ndarray
+    quality: np.ndarray  # of each document, 0 or 1
+
+    @classmethod
+    def of(cls, parts: list[np.ndarray], quality: list[int]) -> Sample:
+        order = sorted(range(len(parts)), key=lambda i: -len(parts[i]))
+        size = np.array([len(parts[i]) for i in order])
+        return cls(np.concatenate([parts[i] for i in order]).astype(float), np.append(0, np.cumsum(size)[:-1]), size, np.array([quality[i] for i in order]))
+
+
+def _balance(sample: Sample) -> tuple[np.ndarray, np.ndarray]:
+    """Document of each line, and weights of lines by which both document labels count alike."""
+    rows = np.repeat(np.arange(len(sample.size)), sample.size)
+    share = np.bincount(sample.quality[rows], minlength=2) / max(len(rows), 1)
+    return rows, (0.5 / np.maximum(share, 1e-9))[sample.quality[rows]]
+
+
+def evidence(weights: np.ndarray, sample: Sample, trust: float = TRUST, prior: float = 1e-3) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean log-likelihood a line of the documents' labels, less the prior, its gradient, and each line's probability
+    of content given its features and its document's label."""
+    rows, w = _balance(sample)
+    p = 1 / (1 + np.exp(-(sample.features @ weights)))
+    good = np.where(sample.quality[rows] == 1, trust, 1 - trust)
+    seen = p * good + (1 - p) * (1 - good)
+    content = p * good / seen
+    grad = sample.features.T @ (w * (content - p)) / w.sum() - prior * weights
+    return float((w * np.log(seen)).sum() / w.sum() - prior / 2 * (weights**2).sum()), grad, content
+
+
+def likelihood(parameters: np.ndarray, sample: Sample, content: np.ndarray, prior: float = 1e-3) -> tuple[float, np.ndarray]:
+    """Mean log-likelihood a line of the field, less the prior, and its gradient. content: each line's probability
+    of content; parameters: the features' weights, then the transitions by rows."""
+    x, first, size = sample.features, sample.first, sample.size
+    weights, move = parameters[:FEATURES], parameters[FEATURES:].reshape(2, 2)
+    rows, w = _balance(sample)
+    step, score = np.exp(move), x @ weights
+    # Potentials of both labels; the greater one is 1.
+    top = np.maximum(score, 0)
+    e = np.exp(np.stack([-top, score - top], 1))
+    ahead, scale, back = np.zeros_like(e), np.zeros(len(e)), np.ones_like(e)
+    active = np.searchsorted(-size, -np.arange(1, int(size.max(initial=0)) + 1), "right")
+    for t, k in enumerate(active.tolist()):
+        at = first[:k] + t
+        a = e[at] * (ahead[at - 1] @ step if t else 1)
+        scale[at] = a.sum(1)
+        ahead[at] = a / scale[at][:, None]
+    for t in range(len(active) - 1, 0, -1):
+        at = first[: active[t]] + t
+        back[at - 1] = (e[at] * back[at] / scale[at][:, None]) @ step.T
+    inner = np.ones(len(x), bool)
+    inner[first[size > 0]] = False
+    at = np.flatnonzero(inner)
+    told = np.stack([1 - content, content], 1)
+    pairs = told[at - 1][:, :, None] * told[at][:, None, :]
+    free = ahead[at - 1][:, :, None] * step * (e[at] * back[at] / scale[at][:, None])[:, None, :]
+    grad = np.append(x.T @ (w * (content - (ahead * back)[:, 1])), (w[at][:, None, None] * (pairs - free)).sum(0))
+    # A document's lines all have its weight.
+    value = (w * (content * score - np.log(scale) - top)).sum() + (w[at][:, None, None] * pairs * move).sum()
+    n = w.sum()
+    return float(value / n - prior / 2 * (parameters**2).sum()), grad / n - prior * parameters
+
+
+def _climb(gradient, size: int, rounds: int, rate: float) -> np.ndarray:
+    """Adam, from 0."""
+    out = m = v = np.zeros(size)
     for step in range(1, rounds + 1):
-        e = np.stack([np.zeros(x.shape[:2]), x @ weights], 2)
-        a, b = np.zeros_like(e), np.zeros_like(e)
-        a[:, 0] = e[:, 0]
-        for t in range(1, x.shape[1]):
-            a[:, t] = np.where(inside[:, t, None], e[:, t] + np.logaddexp(a[:, t - 1, :1] + move[0], a[:, t - 1, 1:] + move[1]), a[:, t - 1])
-        for t in range(x.shape[1] - 2, -1, -1):
-            after = e[:, t + 1] + b[:, t + 1]
-            b[:, t] = np.where(inside[:, t + 1, None], np.logaddexp(move[:, 0] + after[:, :1], move[:, 1] + after[:, 1:]), 0)
-        z = np.logaddexp(a[:, -1, 0], a[:, -1, 1])
-        p = np.exp(a[:, :, 1] + b[:, :, 1] - z[:, None])
-        g = np.einsum("dt,dtf->f", weigh[:, None] * inside * (y[:, None] - p), x)
-        gm = np.zeros((2, 2))
-        for i in range(2):
-            for j in range(2):
-                both = np.exp(a[:, :-1, i] + move[i, j] + e[:, 1:, j] + b[:, 1:, j] - z[:, None])
-                gm[i, j] = (weigh[:, None] * inside[:, 1:] * (((y == i) & (y == j))[:, None] - both)).sum()
-        grad = np.append(g, gm) / inside.sum() - prior * np.append(weights, move)
+        grad = gradient(out)
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-        weights, move = weights + change[:FEATURES], move + change[FEATURES:].reshape(2, 2)
-    return Field(weights, move)
+        out = out + rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return out
+
+
+def fit(sample: Sample, *, rounds: int = 150, rate: float = 0.1, trust: float = TRUST, prior: float = 1e-3) -> Field:
+    alone = _climb(lambda p: evidence(p, sample, trust, prior)[1], FEATURES, rounds, rate)
+    content = evidence(alone, sample, trust, prior)[2]
+    found = _climb(lambda p: likelihood(p, sample, content, prior)[1], FEATURES + 4, rounds, rate)
+    return Field(found[:FEATURES], found[FEATURES:].reshape(2, 2))
 
 
 def viterbi(lines: Lines, field: Field) -> np.ndarray:
@@ -176,26 +234,33 @@ def viterbi(lines: Lines, field: Field) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", max_docs: int = MAX_DOCS, max_bytes: int = 4000) -> Field | None:
-    """A field from at most max_docs labelled documents, chosen by a hash among those of at most max_bytes
-    bytes (whole texts; the bound keeps the sample small)."""
-    wanted = labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg(F.max(quality).alias("q"), F.min(quality).alias("q0")).where("q = q0")
-    wanted = wanted.withColumn("h", F.xxhash64(F.col("i").cast("string"), F.lit("quality")))
-    both = wanted.groupBy("q").count().collect()
-    if len(both) < 2:
-        return None
-    # Half of the sample for each label: narrow it by hash before the texts are read.
-    chosen = wanted.where(F.lit(False))
-    for row in both:
-        cut = int((min(1.0, 2.0 * max_docs / row["count"]) - 0.5) * 2**64)
-        chosen = chosen.union(wanted.where((F.col("q") == row.q) & (F.col("h") <= min(cut, 2**63 - 1))))
-    texts = docs.where(F.octet_length(text) <= max_bytes).select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(chosen.select("i", "q", "h"), "i")
-    by = texts.where("q = 0").orderBy("h").limit(max_docs // 2).union(texts.where("q <> 0").orderBy("h").limit(max_docs // 2)).select("t", "q").collect()
-    if len({r.q for r in by}) < 2:
+def train(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", max_docs: int = MAX_DOCS, max_lines: int = MAX_LINES) -> Field | None:
+    """A field from at most max_docs labelled documents and max_lines lines of each; None without both labels."""
+    small_batches(docs.sparkSession)
+    wanted = labels.where(F.col(doc_id).isNotNull() & F.col(quality).isNotNull()).groupBy(F.col(doc_id).alias("i")).agg(F.max(F.col(quality) != 0).alias("q"), F.min(F.col(quality) != 0).alias("q0")).where("q = q0")
+    wanted = wanted.select("i", "q", F.xxhash64(F.col("i").cast("string"), F.lit("quality")).alias("h"))
+    chosen = wanted.where("q").orderBy("h", "i").limit(max_docs // 2).union(wanted.where("not q").orderBy("h", "i").limit(max_docs // 2))
+
+    def lines(batches):
+        for batch in batches:
+            found = []
+            for first, end, data, offsets in W.slices(batch.column(1)):
+                measured = measure(data, offsets)
+                for i in range(end - first):
+                    a, b = int(measured.cuts[i]), int(measured.cuts[i + 1])
+                    if b - a > max_lines:
+                        a += batch.column(3)[first + i].as_py() % (b - a - max_lines + 1)
+                        b = a + max_lines
+                    found.append(measured.features[a:b].astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(2), pa.array(found, pa.binary())], names=["i", "q", "lines"])
+
+    # At most max_docs rows, so broadcasting them is bounded.
+    texts = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i").select("i", "t", "q", "h")
+    found = texts.mapInArrow(lines, "i string, q boolean, lines binary").where(F.length("lines") > 0)
+    rows = found.groupBy("i").agg(F.max("q").alias("q"), F.max("lines").alias("lines")).orderBy("i").collect()
+    if len({r.q for r in rows}) < 2:
         return None
-    parts = [(a, b, measure(data, offsets)) for a, b, data, offsets in W.slices(pa.array([r.t for r in by], pa.string()))]
-    whole = Lines(np.concatenate([p.counts for _, _, p in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(p.cuts) for _, _, p in parts]))), np.concatenate([p.words for _, _, p in parts]), np.concatenate([p.features for _, _, p in parts]))
-    return fit(whole, np.array([int(r.q != 0) for r in by]))
+    return fit(Sample.of([np.frombuffer(r.lines, np.uint8).reshape(-1, FEATURES) for r in rows], [int(r.q) for r in rows]))
 
 
 def judge(docs: DataFrame, field: Field | None, *, text: str = "text", min_share: tuple[int, int] = MIN_SHARE, min_words: int = MIN_WORDS) -> DataFrame:
