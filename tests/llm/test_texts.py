@@ -133,6 +133,29 @@ def test_items_without_an_id_hit(spark, documents, tmp_path, most):
     assert sorted(tuple(r) for r in result.collect()) == sorted(db.execute(f"SELECT {', '.join(result.columns)} FROM ({decontaminate.OP6_SQL})").fetchall())
 
 
+def test_many_shards_and_shared_windows(spark, documents, monkeypatch):
+    """A window that all items share, items whose ids repeat, and memory for one shard at a time."""
+    rng = random.Random(26)
+    common = prose(rng, 13, 900)
+    items = [(str(i % 30), f"{common} own{i} {prose(rng, 4, 900)}") for i in range(40)]
+    texts = [common, f"x {items[3][1]} y", f"{common} {items[7][1]}", "clean", None]
+    docs = documents([(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    seen = []
+    real = decontaminate.Shard.__init__
+    monkeypatch.setattr(decontaminate.Shard, "__init__", lambda self, size, words, names: seen.append(len(words)) or real(self, size, words, names))
+    for most in (20, 1_000_000):
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.report(docs, bench, max_windows=most).collect()}
+        assert got == {i: plain_hits_of_ids(t, items) for i, t in enumerate(texts)}
+        if most == 20:
+            assert len(seen) > 5 and max(seen) <= 60
+
+
+def plain_hits_of_ids(text, items):
+    n, hit, found = plain_hits(text, items)
+    return n, hit, sorted(set(found))
+
+
 # Jaccard join
 
 

@@ -5,12 +5,17 @@ Windows are `n` consecutive words of an item (an item of 1 to n-1 words is one w
 Executors slide over every document word, look each window's 64-bit hash up in the set and then compare
 the bytes of the words, so that a hash collision never counts as a hit.
 
-The set is broadcast only in shards of at most `max_windows` windows: a benchmark beyond that bound is
-scanned in several passes that append to the same hit list, with the same result.
+The benchmark's windows are cut and made distinct on executors. The set is broadcast only in shards of about
+`max_windows` pairs of a window and an item, as plain arrays; pairs are dealt out by hash, so that a window that many
+items share is no heavier than others. A benchmark beyond that bound is scanned in several passes with the same result:
+documents with their hits are written between passes and the last shard is let go, so memory is that of one shard. A
+document's hits are merged ranges, and its items are listed once.
 
 Defined cases: null and wordless texts (documents or items) have no words and no hits; items with a null id hit
 like any other, and all of them together count as one item, which is null and last in `items`; repeated rows are
-scanned one by one; an empty benchmark leaves every document clean; extra columns pass through.
+scanned one by one, and rows repeating an item's id are one item; an empty table of documents gives no rows, an empty
+benchmark leaves every document clean; texts of any length are scanned whole; extra columns pass through, those that
+bear the names of results give way to them.
 """
 
 from __future__ import annotations
@@ -24,12 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _words as W
-from ._shared import small_batches
+from ._shared import small_batches, written
 
 N = 13
-MAX_WINDOWS = 1_000_000
+MAX_WINDOWS = 500_000
 _BITS = 22
-_HITS = T.ArrayType(T.StructType([*[T.StructField(c, T.LongType()) for c in ("start", "end", "begin_byte", "end_byte")], T.StructField("items", T.ArrayType(T.StringType()))]))
+_PLACE = ("start", "end", "begin_byte", "end_byte")
+_FOUND = [T.StructField("_td_words", T.LongType()), T.StructField("_td_hits", T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in _PLACE]))), T.StructField("_td_items", T.ArrayType(T.StringType()))]
 _OWN = ("n_words", "n_hit", "n_items", "items", "contaminated")
 
 
@@ -39,117 +45,123 @@ def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b" ".join(raw[s - base : e - base] for s, e in zip(starts.tolist(), ends.tolist(), strict=True))
 
 
-def windows(texts: list[str | None], ids: list[str | None], n: int = N) -> dict[int, dict[bytes, set[str | None]]]:
-    """By window length: the words of each window, joined by a blank, and the items that have it."""
-    out: dict[int, dict[bytes, set[str]]] = {}
-    for first, end, data, offsets in W.slices(pa.array(texts, pa.string())):
-        data = W.LOWER[data]
-        starts, ends, rows = W.spans(data, offsets, W.ALNUM)
-        cuts = W.bounds(rows, end - first)
-        for i in range(end - first):
-            a, b = int(cuts[i]), int(cuts[i + 1])
-            size = min(n, b - a)
-            for j in range(a, b - size + 1) if size else ():
-                out.setdefault(size, {}).setdefault(_joined(data, starts[j : j + size], ends[j : j + size]), set()).add(ids[first + i])
-    return out
-
+def windows(benchmark: DataFrame, item_id: str, text: str, n: int = N) -> DataFrame:
+    """k (number of words), words (joined by a blank) and i (item) of all windows, each once."""
 
-class Matcher:
-    """The windows of one shard, hashed; built once in each Python worker."""
-
-    def __init__(self, by_length: dict[int, dict[bytes, list[str]]]):
-        self.by_length = []
-        for size, found in sorted(by_length.items()):
-            texts = list(found)
-            data = np.frombuffer(b" ".join(texts), np.uint8)
-            starts, ends, _ = W.spans(data, np.array([0, len(data)]), data_class(data))
-            hashes = W.span_hash(data, starts, ends)
-            whole, at = W.runs(hashes, np.zeros(len(hashes), np.int64), size)
-            whole = whole[at % size == 0]
-            bits = np.zeros(1 << _BITS, bool)
-            bits[(whole >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            index: dict[int, list[bytes]] = {}
-            for h, text in zip(whole.tolist(), texts, strict=True):
-                index.setdefault(h, []).append(text)
-            self.by_length.append((size, bits, index, found))
-
-    def hits(self, data, starts, ends, rows, hashes) -> Iterator[tuple[int, int, list[str]]]:
-        """(first word, number of words, items) of each verified window."""
-        for size, bits, index, found in self.by_length:
-            whole, at = W.runs(hashes, rows, size)
-            for i in np.flatnonzero(bits[(whole >> np.uint64(64 - _BITS)).astype(np.int64)]).tolist():
-                texts = index.get(int(whole[i]))
-                if texts:
-                    first = int(at[i])
-                    seen = _joined(data, starts[first : first + size], ends[first : first + size])
-                    if seen in texts:
-                        yield first, size, found[seen]
-
-
-def data_class(data: np.ndarray) -> np.ndarray:
-    """Word class of already normalised, blank-joined words."""
-    return ~W.table((0x20, 0x20))
-
-
-def _pass(docs: DataFrame, text: str, shard: dict[int, dict[bytes, list[str]]], last: str | None) -> DataFrame:
-    sent = docs.sparkSession.sparkContext.broadcast(shard)
-    schema = docs.schema if last else T.StructType([*docs.schema.fields, T.StructField("_td_words", T.LongType()), T.StructField("_td_hits", _HITS)])
-    matcher: list[Matcher] = []
-    hit_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("begin_byte", pa.int64()), ("end_byte", pa.int64()), ("items", pa.list_(pa.string()))]))
+    def cut(batches):
+        for batch in batches:
+            for first, end, data, offsets in W.slices(batch.column(1)):
+                data = W.LOWER[data]
+                starts, ends, rows = W.spans(data, offsets, W.ALNUM)
+                cuts = W.bounds(rows, end - first)
+                for row in range(end - first):
+                    a, b = int(cuts[row]), int(cuts[row + 1])
+                    size = min(n, b - a)
+                    for at in range(a, b if size else a, 1 << 14):
+                        last = min(at + (1 << 14), b - size + 1)
+                        found = [_joined(data, starts[j : j + size], ends[j : j + size]) for j in range(at, last)]
+                        yield pa.RecordBatch.from_arrays([pa.array([size] * len(found), pa.int32()), pa.array(found, pa.binary()), pa.array([batch.column(0)[first + row].as_py()] * len(found), pa.string())], names=["k", "words", "i"])
+
+    return benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null").mapInArrow(cut, "k int, words binary, i string").distinct()
+
+
+class Shard:
+    """Windows of one length with their items, as arrays: hashes in order, the words of each, and items by number."""
+
+    def __init__(self, size: int, words: pa.Array, items: pa.Array):
+        coded = words.dictionary_encode()
+        data, offsets = W.buffers(coded.dictionary.cast(pa.string()))
+        starts, ends, rows = W.spans(data, offsets, ~W.table((0x20, 0x20)))
+        whole, _ = W.runs(W.span_hash(data, starts, ends), rows, size)
+        order = np.argsort(whole, kind="stable")
+        self.size, self.hashes = size, whole[order]
+        self.data, self.begin, self.end = data.copy(), offsets[:-1][order], offsets[1:][order]
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        # Items by window.
+        named = items.dictionary_encode()
+        self.names = [*named.dictionary.to_pylist(), None]
+        code = place[coded.indices.to_numpy()]
+        by = np.argsort(code, kind="stable")
+        self.items = named.indices.fill_null(len(self.names) - 1).to_numpy(zero_copy_only=False)[by]
+        self.cuts = np.searchsorted(code[by], np.arange(len(order) + 1))
+
+    def bits(self) -> np.ndarray:
+        out = np.zeros(1 << _BITS, bool)
+        out[(self.hashes >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+        return out
+
+    def find(self, hashed: int, words: bytes) -> np.ndarray | None:
+        """Numbers of the items of the window with these words."""
+        at = int(np.searchsorted(self.hashes, np.uint64(hashed)))
+        while at < len(self.hashes) and int(self.hashes[at]) == hashed:
+            if self.data[self.begin[at] : self.end[at]].tobytes() == words:
+                return self.items[self.cuts[at] : self.cuts[at + 1]]
+            at += 1
+        return None
+
+
+def _pass(docs: DataFrame, text: str, shards: list[Shard], first_pass: bool):
+    """docs with the hits of these windows, beside those that earlier passes found; and the broadcast."""
+    sent = docs.sparkSession.sparkContext.broadcast(shards)
+    schema = T.StructType([*docs.schema.fields, *_FOUND]) if first_pass else docs.schema
+    hit_type = pa.list_(pa.struct([(c, pa.int64()) for c in _PLACE]))
+    filters: list[np.ndarray] = []
 
     def scan(batches):
-        if not matcher:
-            matcher.append(Matcher(sent.value))
+        if not filters:
+            filters.extend(s.bits() for s in sent.value)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            counts, hits = np.zeros(len(column), np.int64), [[] for _ in range(len(column))]
+            counts, hits, items = np.zeros(len(column), np.int64), [[] for _ in range(len(column))], [set() for _ in range(len(column))]
             for first, end, data, offsets in W.slices(column):
                 data = W.LOWER[data]
                 starts, ends, rows = W.spans(data, offsets, W.ALNUM)
                 counts[first:end] = np.bincount(rows, minlength=end - first)
                 hashes = W.span_hash(data, starts, ends)
                 cuts = W.bounds(rows, end - first)
-                for word, size, items in matcher[0].hits(data, starts, ends, rows, hashes):
-                    row = int(rows[word])
-                    at = word - int(cuts[row])
-                    base = int(offsets[row])
-                    hits[first + row].append({"start": at, "end": at + size, "begin_byte": int(starts[word]) - base, "end_byte": int(ends[word + size - 1]) - base, "items": items})
-            if last is None:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts), pa.array(hits, hit_type)], names=[*batch.schema.names, "_td_words", "_td_hits"])
-            else:
-                at = batch.schema.get_field_index("_td_hits")
-                more = [a.as_py() + b for a, b in zip(batch.column(at), hits, strict=True)]
-                yield batch.set_column(at, "_td_hits", pa.array(more, hit_type))
-
-    return docs.mapInArrow(scan, schema)
-
-
-def _shards(benchmark: DataFrame, item_id: str, text: str, n: int, max_windows: int) -> Iterator[dict[int, dict[bytes, list[str]]]]:
-    """The benchmark's windows, at most max_windows at a time; items stream to the driver one by one."""
-    held, size = {}, 0
-    for row in benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("t is not null").toLocalIterator(prefetchPartitions=True):
-        for k, found in windows([row.t], [row.i], n).items():
-            own = held.setdefault(k, {})
-            for words in found:
-                if words not in own:
-                    if size >= max_windows:
-                        yield held
-                        held, size = {}, 0
-                        own = held.setdefault(k, {})
-                    own[words] = []
-                    size += 1
-                if row.i not in own[words]:
-                    own[words].append(row.i)
-    yield held
+                for shard, bits in zip(sent.value, filters, strict=True):
+                    whole, at = W.runs(hashes, rows, shard.size)
+                    for i in np.flatnonzero(bits[(whole >> np.uint64(64 - _BITS)).astype(np.int64)]).tolist():
+                        word = int(at[i])
+                        found = shard.find(int(whole[i]), _joined(data, starts[word : word + shard.size], ends[word : word + shard.size]))
+                        if found is None:
+                            continue
+                        row = int(rows[word])
+                        items[first + row].update(shard.names[k] for k in found.tolist())
+                        own, a, b = hits[first + row], word - int(cuts[row]), int(ends[word + shard.size - 1]) - int(offsets[row])
+                        # Windows of one length come in order: one that meets the last hit lengthens it.
+                        if own and own[-1]["start"] <= a <= own[-1]["end"]:
+                            own[-1]["end"], own[-1]["end_byte"] = max(own[-1]["end"], a + shard.size), max(own[-1]["end_byte"], b)
+                        else:
+                            own.append({"start": a, "end": a + shard.size, "begin_byte": int(starts[word]) - int(offsets[row]), "end_byte": b})
+            columns = list(batch.columns)
+            if not first_pass:
+                columns, (old_hits, old_items) = columns[:-3], columns[-2:]
+                hits = [a.as_py() + b for a, b in zip(old_hits, hits, strict=True)]
+                items = [set(a.as_py()) | b for a, b in zip(old_items, items, strict=True)]
+            listed = [sorted(x - {None}) + [None] * (None in x) for x in items]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts), pa.array(hits, hit_type), pa.array(listed, pa.list_(pa.string()))], names=schema.names)
+
+    return docs.mapInArrow(scan, schema), sent
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """docs with `_td_words` and `_td_hits` (word range, byte range, item ids) of every verified window."""
+    """docs with `_td_words` (their number), `_td_hits` (word and byte ranges inside verified windows, which may
+    overlap) and `_td_items` (ids of the items hit, sorted, a null id last)."""
     small_batches(docs.sparkSession)
-    out, last = docs, None
-    for shard in _shards(benchmark, item_id, item_text, n, max_windows):
-        out = _pass(out, text, {k: v for k, v in shard.items() if v}, last)
-        last = "_td_hits"
+    found = written(windows(benchmark, item_id, item_text, n), "windows")
+    shards = max(1, -(-found.count() // max_windows))
+    found = found.withColumn("shard", F.pmod(F.xxhash64("k", "words", "i"), F.lit(shards)))
+    out, sent = docs, None
+    for at in range(shards):
+        held = found.where(F.col("shard") == at).select("k", "words", "i").toArrow().combine_chunks()
+        sizes = held["k"].to_numpy()
+        parts = [(k, held.take(pa.array(np.flatnonzero(sizes == k))).combine_chunks()) for k in np.unique(sizes).tolist()]
+        if sent is not None:
+            out = written(out, "pass")
+            sent.destroy()
+        out, sent = _pass(out, text, [Shard(k, t["words"].combine_chunks(), t["i"].combine_chunks()) for k, t in parts], at == 0)
     return out
 
 
@@ -169,7 +181,7 @@ def report(docs: DataFrame, benchmark: DataFrame, *, share: tuple[int, int] = (1
     return (
         annotate(docs.drop(*_OWN), benchmark, **options)
         .withColumn("n_hit", hit_words())
-        .withColumn("items", F.expr("array_sort(array_distinct(flatten(transform(_td_hits, h -> h.items))))"))
+        .withColumn("items", F.col("_td_items"))
         .withColumn("n_items", F.size("items").cast("long"))
         .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share[1] >= F.col("_td_words") * share[0]))
         .withColumnRenamed("_td_words", "n_words")
