@@ -192,3 +192,37 @@ def test_rollups(spark):
     with pytest.raises(Exception, match="unknown op"):
         again.apply(3, change(("a", "en", "t1", "upsert", 1, None)))
     assert rows(again) == want
+
+
+def test_many_batches(spark):
+    """A thousand commits are folded, their markers go, and their ids stay known; columns of other names are ignored."""
+    import json
+    import os
+
+    path = new_path(spark, "rollup")
+    r = tokens.Rollup(spark, path)
+    change = spark.createDataFrame([("a", "en", "t", "insert", 2, None, "x", 7)], "source string, lang string, tokenizer string, op string, tokens long, old_tokens long, docs string, batch long")
+    assert r.apply(7, change)
+    local = path.removeprefix("file:")
+    local = local[local.index("/tmp") :]
+    with open(f"{local}/commits/7.json") as f:
+        sums = json.load(f)["sums"]
+    for i in [*range(1000), 5000]:
+        if i != 7:
+            with open(f"{local}/commits/{i}.json", "w") as f:
+                json.dump({"batch": i, "sums": sums, "folds": []}, f)
+    total = lambda: [tuple(x) for x in r.totals().collect()]
+    assert total() == [("a", "en", "t", 1001, 2002)]
+    r.compact()
+    assert total() == [("a", "en", "t", 1001, 2002)] and r.committed() == [-2]
+    assert sum(x.endswith(".json") for x in os.listdir(f"{local}/commits")) == 1
+    assert r.seen(999) and r.seen(5000) and not r.seen(1000) and not r.apply(500, change)
+    # A marker that a stopped compaction left counts once.
+    with open(f"{local}/commits/3.json", "w") as f:
+        json.dump({"batch": 3, "sums": sums, "folds": []}, f)
+    assert total() == [("a", "en", "t", 1001, 2002)]
+    assert r.apply(1000, change)
+    r.compact()
+    assert total() == [("a", "en", "t", 1002, 2004)] and r.committed() == [-3] and r.seen(0) and r.seen(1000)
+    r.vacuum()
+    assert total() == [("a", "en", "t", 1002, 2004)] and sum(not x.startswith(".") for x in os.listdir(f"{local}/sums")) == 1
