@@ -87,6 +87,27 @@ def test_archive_round_trip(spark):
     assert warc.read_records(spark, empty).count() == 0
 
 
+def test_files_are_bounded_by_bytes(spark):
+    import os
+
+    rng = random.Random(5)
+    sizes = [rng.choice([10, 90, 700, 1500, 20_000, 60_000, 150_000]) for _ in range(300)] + [250_000]
+    rows = [(i, f"http://a/{i}", chr(97 + i % 26) * n, "r") for i, n in enumerate(sizes)]
+    path = new_path(spark, "sizes")
+    warc.write_pages(pages(spark, rows).coalesce(1), path, file_bytes=200_000, revisit_bytes=10**9)
+    local = path.removeprefix("file:")
+    local = local[local.index("/tmp") :]
+    held, n = [], 0
+    for name in os.listdir(local):
+        if name.endswith(".gz") and not name.startswith("."):
+            with open(f"{local}/{name}", "rb") as f:
+                found = [len(b.partition(b"\r\n\r\n")[2]) for h, b in warc.parse(f.read()) if h["warc-type"] == "response"]
+            held.append((sum(found), len(found)))
+            n += len(found)
+    assert n == len(sizes) and all(total <= 200_000 or count == 1 for total, count in held) and len(held) < 200
+    assert sorted(len(r.payload) for r in warc.read_records(spark, path).where("type = 'response'").collect()) == sorted(sizes)
+
+
 def test_parsing_of_archives():
     record = lambda n: b"WARC/1.0\r\nWARC-Record-ID: <%d>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n" % n
     members = gzip.compress(record(1)) + gzip.compress(record(2))

@@ -2,9 +2,12 @@ r"""WARC archives: writing pages as transactions, reading records, assembling on
 
 write_pages() stores each page as a request, a response or revisit, and a metadata record; the latter two
 name the response through WARC-Concurrent-To. Spark's own text writer makes the files (a record ends in
-CRLF CRLF, which is its line separator), so any file system Spark can write will do. read_records() parses
-archives, plain or gzip (one member or one a record), from whole files of bounded size. assemble() joins
-request, response and metadata records through their concurrent-to identifiers in either direction.
+CRLF CRLF, which is its line separator), so any file system Spark can write will do. A file holds payloads of
+`file_bytes` bytes at most, or one capture: pages are written by classes of size, each with its number of records a
+file. read_records() parses archives, plain or gzip (one member or one a record), record by record from a stream
+that is unpacked as it is read; a task holds one packed file (Spark reads files below 2 GB), one record and one batch of
+rows. assemble() joins request, response and metadata records through their concurrent-to identifiers in either
+direction.
 
 Of pages with equal payloads of at least `revisit_bytes` bytes, the one with the largest page_id is a response
 and the others revisit it (profile identical-payload-digest).
@@ -18,15 +21,19 @@ empty table writes and reads no records; extra columns are ignored.
 from __future__ import annotations
 
 import gzip
+import io
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import new_path, written
 
 REVISIT_BYTES = 1000
-RECORDS_PER_FILE = 6000
+FILE_BYTES = 128 << 20
+#: Captures a file of pages of each class of size.
+_CAPTURES = (2000, 128, 8, 1)
+_BATCH_ROWS, _BATCH_BYTES = 1000, 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _RECORD = "record_id string, type string, uri string, date string, concurrent_to array<string>, digest string, headers map<string,string>, http string, payload binary"
 
@@ -51,9 +58,10 @@ def _record(kind, record_id, uri, date: str, block, mime: str, *more):
     )
 
 
-def write_pages(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES, compression: str = "gzip") -> None:
+def write_pages(pages: DataFrame, path: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "2024-01-01T00:00:00Z", revisit_bytes: int = REVISIT_BYTES, compression: str = "gzip", file_bytes: int = FILE_BYTES) -> None:
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html")).withColumns({"digest": F.sha1("html"), "bytes": F.octet_length("html").cast("long")})
-    same = rows.where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("kept")).where("n > 1")
+    longest = Observation()
+    same = rows.observe(longest, F.max("bytes").alias("bytes")).where(F.col("bytes") >= revisit_bytes).groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct("page_id", "url")).alias("kept")).where("n > 1")
     # Written first, so that its size is known: a small table is broadcast, a large one is shuffled.
     same = written(same.select("digest", "kept"), "payloads")
     again = F.col("kept").isNotNull() & F.col("kept.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept.page_id"))
@@ -72,44 +80,54 @@ def write_pages(pages: DataFrame, path: str, *, page_id: str = "page_id", url: s
         _record(F.when(F.col("again"), "revisit").otherwise("response"), F.col("main"), F.col("url"), date, F.when(F.col("again"), http).otherwise(F.concat(http, F.col("html"))), "application/http; msgtype=response", digest, profile),
         _record(F.lit("metadata"), F.col("about"), F.col("url"), date, fields, "application/warc-fields", together),
     )
-    rows.select(F.explode(records).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    most, least = longest.get["bytes"] or 0, -1
+    for captures in _CAPTURES:
+        upto = most if captures == 1 else file_bytes // captures
+        part = rows.where((F.col("bytes") > least) & (F.col("bytes") <= upto)).select(F.explode(records).alias("value"))
+        part.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", 3 * captures).text(path)
+        least = upto
+        if upto >= most:
+            break
 
 
 def parse(data: bytes):
-    """(headers, block) of each record; header names are lowered, concurrent-to values are a list."""
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        if data[at : at + 2] == b"\r\n":
-            at += 2
+    """(headers, block) of each record, read as a stream; header names are lowered, concurrent-to values are a list."""
+    raw = io.BytesIO(data)
+    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw)) if data[:2] == b"\x1f\x8b" else raw
+    n = 0
+    while line := stream.readline():
+        if line == b"\r\n":
             continue
-        end = data.find(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8").split("\r\n") if end >= 0 else [""]
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record after {n} records")
         headers: dict = {"warc-concurrent-to": []}
-        for line in lines[1:]:
-            name, _, value = line.partition(":")
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"truncated WARC record after {n} records")
+            name, _, value = line.decode("utf-8").rstrip("\r\n").partition(":")
             if name.lower() == "warc-concurrent-to":
                 headers["warc-concurrent-to"].append(value.strip())
             else:
                 headers[name.lower()] = value.strip()
         size = int(headers["content-length"])
-        block = data[end + 4 : end + 4 + size]
+        block = stream.read(size)
         if len(block) < size:
-            raise ValueError(f"truncated WARC record at byte {at}")
+            raise ValueError(f"truncated WARC record after {n} records")
         yield headers, block
-        at = end + 4 + size
+        n += 1
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: identifiers, headers, and of HTTP records the header and the payload apart."""
+    s = pa.string()
+    kinds = (s, s, s, s, pa.list_(s), s, pa.map_(s, s), s, pa.binary())
+    names = ["record_id", "type", "uri", "date", "concurrent_to", "digest", "headers", "http", "payload"]
 
     def read(batches):
         for batch in batches:
             for content in batch.column(0):
-                columns: list[list] = [[] for _ in range(9)]
+                rows, held = [], 0
+                made = lambda: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)  # noqa: B023, E731
                 for h, block in parse(content.as_py()):
                     http, payload = None, block
                     if h.get("content-type", "").startswith("application/http"):
@@ -117,14 +135,13 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                         http = head.decode("utf-8", "replace")
                     digest = h.get("warc-payload-digest")
                     plain = [(k, v) for k, v in h.items() if k != "warc-concurrent-to"]
-                    row = (h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h["warc-concurrent-to"], digest and digest.removeprefix("sha1:"), plain, http, payload)
-                    for c, v in zip(columns, row, strict=True):
-                        c.append(v)
-                s = pa.string()
-                kinds = (s, s, s, s, pa.list_(s), s, pa.map_(s, s), s, pa.binary())
-                names = ("record_id", "type", "uri", "date", "concurrent_to", "digest", "headers", "http", "payload")
-                for i in range(0, len(columns[0]), 1000):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 1000], k) for c, k in zip(columns, kinds, strict=True)], names=list(names))
+                    rows.append((h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h["warc-concurrent-to"], digest and digest.removeprefix("sha1:"), plain, http, payload))
+                    held += len(block)
+                    if len(rows) >= _BATCH_ROWS or held >= _BATCH_BYTES:
+                        yield made()
+                        rows, held = [], 0
+                if rows:
+                    yield made()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt*").load(path)
     return files.select("content").mapInArrow(read, _RECORD)
