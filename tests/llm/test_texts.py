@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import _words as W
 from tidemark.llm import decontaminate, jaccard, language, quality, secrets
@@ -261,21 +262,64 @@ def test_every_label_is_learned(documents):
     assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(rows)
 
 
-def test_folded_scores_equal_kernel_regression():
-    rng = np.random.default_rng(6)
-    bits, langs = [], []
-    for i in range(60):
-        flags = np.zeros(language._SIZE, bool)
-        flags[rng.choice(np.arange((i % 3) * 50, (i % 3) * 50 + 200), 60, replace=False)] = True
-        bits.append(zlib.compress(np.packbits(flags).tobytes()))
-        langs.append("abc"[i % 3])
-    model = language.fit(bits, langs, landmarks=20)
-    text = b"some text of a few words"
-    data, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
-    present = np.zeros(len(model.weights) + 1)
-    present[model.column[language.grams(data, offsets)[0]]] = 1
-    want = present[:-1] @ model.weights / max(np.sqrt(present[:-1].sum()), 1) + model.bias
-    assert np.allclose(model.scores(data, offsets)[0], want, atol=1e-5)
+def plain_grams(text):
+    """Distinct n-grams of 1 to 3 symbols, as their definition has them."""
+    sym = []
+    for c in (text or "").translate(LOWER):
+        if "a" <= c <= "z":
+            sym.append(c)
+        elif c < "\x80":
+            if not sym or sym[-1] != " ":
+                sym.append(" ")
+        else:
+            low = c.lower() if "À" <= c <= "Þ" and c != "×" else c
+            sym += [b & 31 for b in low.encode()]
+    return {tuple(sym[i : i + n]) for n in (1, 2, 3) for i in range(len(sym) - n + 1)}
+
+
+def test_ngrams_of_long_and_odd_texts(monkeypatch):
+    rng = random.Random(27)
+    texts = ["", "a", "Éa ÀB×c", "  ", "a  b--c", "дом 12 и", "".join(rng.choice("abé -Éж") for _ in range(500))]
+    want = [len(plain_grams(t)) for t in texts]
+    for stretch in (1 << 20, 7):
+        monkeypatch.setattr(language, "_STRETCH", stretch)
+        assert language.presence(*W.buffers(pa.array(texts))).sum(1).tolist() == want
+
+
+def test_scores_equal_kernel_ridge_regression():
+    """The folded product against the regression as stated: kernel matrices of sets, Nystroem features, one
+    least-squares problem, for texts with n-grams that no landmark has."""
+    rng = random.Random(6)
+    parts = {"aa": ["ba", "na", "ta", "mo"], "bb": ["schr", "ung", "keit", "ei"], "cc": ["ción", "ñe", "os", "ar"]}
+    langs = [list(parts)[i % 3] for i in range(45)]
+    texts = [" ".join("".join(rng.choice(parts[lang]) for _ in range(3)) for _ in range(rng.randrange(3, 9))) for lang in langs]
+    bits = [zlib.compress(np.packbits(language.presence(*W.buffers(pa.array([t])))[0]).tobytes()) for t in texts]
+    marks, ridge, names = 20, 0.01, sorted(parts)
+    model = language.fit(bits, langs, landmarks=marks, ridge=ridge)
+    sets = [plain_grams(t) for t in texts]
+    kernel = lambda a, b: np.array([[len(x & y) / (len(x) * len(y)) ** 0.5 for y in b] for x in a])
+    value, vector = np.linalg.eigh(kernel(sets[:marks], sets[:marks]))
+    keep = value > value[-1] * 1e-6
+    root = vector[:, keep] @ np.diag(value[keep] ** -0.5)
+    feature = lambda some: kernel(some, sets[:marks]) @ root
+    y = np.array([[float(a == b) for b in names] for a in langs])
+    x = feature(sets)
+    coef = np.linalg.lstsq(np.vstack([x, np.sqrt(ridge * len(texts) / len(names)) * np.eye(x.shape[1])]), np.vstack([y - y.mean(0), np.zeros((x.shape[1], 3))]), rcond=None)[0]
+    new = ["bana tamo schrung", "ción bana жжж дом", "qqq xxx zzz www", "keitung eiei"]
+    want = feature([plain_grams(t) for t in new]) @ coef + y.mean(0)
+    assert np.allclose(model.scores(*W.buffers(pa.array(new))), want, atol=1e-3)
+
+
+def test_odd_tables_of_languages(spark, documents):
+    """Null ids with labels, results' names among the columns, repeated rows, and a tie."""
+    docs = documents([(None, "bana tamo", "aa", "s", 0)] * 3 + [(None, "schrung", "bb", "s", 0)] * 3 + [(4, "дом", None, None, None)] * 2)
+    docs = docs.withColumnsRenamed({"source": "lang_pred", "n_chars": "score"}).withColumn("held_out", F.lit("x"))
+    got = language.identify(docs).collect()
+    assert sorted(r.lang_pred for r in got if r.doc_id is None) == ["aa"] * 3 + ["bb"] * 3
+    assert len({(r.lang_pred, r.score) for r in got if r.doc_id == 4}) == 1
+    same = documents([(i, "ab ab", lang, None, None) for i, lang in enumerate(["y", "x", "y", "x"])])
+    assert {r.lang_pred for r in language.predict(same, language.train(same)).collect()} == {"x"}
+    assert language.identify(documents([])).count() == 0
 
 
 # Quality

@@ -3,7 +3,8 @@
 A text's features are the presence of its n-grams of 1 to 3 symbols (a blended spectrum). Symbols are classes
 of UTF-8 bytes: letters a-z without case, one symbol for every run of other ASCII characters, and 32 symbols
 for the bytes of non-ASCII characters (Latin-1 capitals are lowered first). The kernel of two texts is the
-number of n-grams present in both over the square root of the product of their numbers of n-grams.
+number of n-grams present in both over the square root of the product of their numbers of distinct n-grams, those that
+no landmark has among them.
 
 Training: labelled rows are sampled by a hash of their id, equally for each language, at most `max_rows` in
 all, or two a language where that is more; executors send each sampled row as a bit set of fixed size. The first of each language are Nystroem
@@ -12,8 +13,9 @@ is linear in the presence bits, the landmarks and coefficients fold into one mat
 scoring a batch of whole texts is one product of its presence matrix with that matrix.
 
 Defined cases: null text or text without any letter is `und` with score 0; without labelled rows every text
-is; rows are predicted one by one, so repeated rows get the same prediction; extra columns pass through, but
-lang_pred and score are replaced.
+is, and a table without rows gives none; rows are predicted one by one, so repeated rows get the same prediction; of
+languages with equal scores the first by name is taken; texts are read whole, a text of any length a stretch of symbols
+at a time; extra columns pass through, but lang_pred, score and held_out are replaced.
 """
 
 from __future__ import annotations
@@ -46,64 +48,81 @@ def _symbols() -> np.ndarray:
     return out
 
 
-_SYMBOL = _symbols()
+_SYMBOL = _symbols().astype(np.uint8)
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all n-grams of each row (with repeats), and their rows."""
+_STRETCH = 1 << 20
+
+
+def symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all rows, runs of other characters as one, and the offsets of rows among them."""
     if not len(data):
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint8), np.zeros(len(offsets), np.int64)
     capital = np.zeros(len(data), bool)
     capital[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-    sym = _SYMBOL[data + (capital * np.uint8(32)).astype(np.uint8)]
+    out = _SYMBOL[data + (capital * np.uint8(32)).astype(np.uint8)]
+    keep = np.ones(len(out), bool)
+    keep[1:] = (out[1:] != 0) | (out[:-1] != 0)
+    keep[offsets[:-1][offsets[:-1] < len(out)]] = True
+    return out[keep], np.append(0, np.cumsum(keep))[offsets]
+
+
+def grams(sym: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all n-grams of each row of symbols (with repeats), and their rows."""
+    sym = sym.astype(np.int32)
     rows = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
-    keep = np.ones(len(sym), bool)
-    keep[1:] = (sym[1:] != 0) | (sym[:-1] != 0) | (rows[1:] != rows[:-1])
-    sym, rows = sym[keep], rows[keep]
     two, three = rows[1:] == rows[:-1], rows[2:] == rows[:-2]
     pair = sym[:-1] * 64 + sym[1:]
-    triple = (pair[:-1] * 64 + sym[2:])[three] if len(sym) > 2 else np.zeros(0, np.int32)
-    return (
-        np.concatenate([sym, pair[two] + 64, triple + 64 + 64**2]),
-        np.concatenate([rows, rows[:-1][two], rows[:-2][three] if len(sym) > 2 else np.zeros(0, np.int32)]),
-    )
+    triple = (pair[:-1] * 64 + sym[2:])[three]
+    return np.concatenate([sym, pair[two] + 64, triple + 64 + 64**2]), np.concatenate([rows, rows[:-1][two], rows[:-2][three]])
+
+
+def presence(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Flags of the n-grams present in each row. Long rows are taken in stretches that share two symbols, so that no
+    n-gram is missed."""
+    sym, cuts = symbols(data, offsets)
+    out = np.zeros((len(offsets) - 1, _SIZE), bool)
+    if len(sym) <= _STRETCH:
+        features, rows = grams(sym, cuts)
+        out[rows, features] = True
+        return out
+    for row in range(len(out)):
+        for at in range(int(cuts[row]), int(cuts[row + 1]), _STRETCH):
+            part = sym[at : min(at + _STRETCH + 2, int(cuts[row + 1]))]
+            out[row, grams(part, np.array([0, len(part)]))[0]] = True
+    return out
 
 
 @dataclass
 class Model:
     languages: list[str]
-    column: np.ndarray  # of each feature: its column among those that landmarks have, or the spare last one
-    weights: np.ndarray  # columns by languages
+    used: np.ndarray  # features that landmarks have
+    weights: np.ndarray  # these features by languages
     bias: np.ndarray
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray, group: int = 128) -> np.ndarray:
+    def scores(self, data: np.ndarray, offsets: np.ndarray, group: int = 64) -> np.ndarray:
         n = len(offsets) - 1
         out = np.zeros((n, len(self.languages)), np.float32)
         for a in range(0, n, group):
             b = min(n, a + group)
-            features, rows = grams(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            present = np.zeros((b - a, len(self.weights) + 1), np.uint8)
-            present[rows, self.column[features]] = 1
-            present = present[:, :-1].astype(np.float32)
-            norm = np.sqrt(np.maximum(present.sum(1, keepdims=True), 1))
-            out[a:b] = (present @ self.weights) / norm + self.bias
+            present = presence(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            norm = np.sqrt(np.maximum(np.count_nonzero(present, 1), 1))[:, None]
+            out[a:b] = (present[:, self.used].astype(np.float32) @ self.weights) / norm + self.bias
         return out
 
 
 def fit(bits: list[bytes], languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """bits: compressed presence bit sets, ordered so that any first part holds all languages about equally."""
     names = sorted(set(languages))
-    bitset = lambda b: np.frombuffer(zlib.decompress(b), np.uint8)
-    seen = np.zeros(-(-_SIZE // 8), np.uint8)
+    bitset = lambda b: np.unpackbits(np.frombuffer(zlib.decompress(b), np.uint8))[:_SIZE]
+    seen = np.zeros(_SIZE, bool)
     for b in bits[:landmarks]:
-        seen |= bitset(b)
-    used = np.flatnonzero(np.unpackbits(seen)[:_SIZE])
-    column = np.full(_SIZE, len(used), np.int32)
-    column[used] = np.arange(len(used))
+        seen |= bitset(b).astype(bool)
+    used = np.flatnonzero(seen)
 
     def dense(some: list[bytes]) -> np.ndarray:
-        x = np.stack([np.unpackbits(bitset(b))[used] for b in some]).astype(np.float32)
-        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        x = [bitset(b) for b in some]
+        return np.stack([b[used] / np.sqrt(max(int(b.sum()), 1)) for b in x]).astype(np.float32)
 
     marks = dense(bits[:landmarks])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -113,19 +132,19 @@ def fit(bits: list[bytes], languages: list[str], landmarks: int = LANDMARKS, rid
     y = np.array([[float(a == b) for b in names] for a in languages])
     bias = y.mean(0)
     coef = np.linalg.solve(phi.T @ phi + ridge * len(bits) / len(names) * np.eye(phi.shape[1]), phi.T @ (y - bias))
-    return Model(names, column, (marks.T @ (root @ coef)).astype(np.float32), bias.astype(np.float32))
+    return Model(names, used, (marks.T @ (root @ coef)).astype(np.float32), bias.astype(np.float32))
 
 
 def train(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS) -> Model | None:
     """A model of all labels in rows. Counts of labels cover all rows; the texts learned from are a sample of at
-    most max_rows rows, or of two rows a label where that is more, chosen by a hash of doc_id."""
+    most max_rows rows, or of two rows a label where that is more, chosen by a hash of doc_id (of the text where it is null)."""
     small_batches(rows.sparkSession)
     rows = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l"))
     counts = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
     if not counts:
         return None
     each = max(2, max_rows // len(counts))
-    place = F.xxhash64(F.col("i").cast("string"), F.lit("sample")) / F.lit(2.0**64) + 0.5
+    place = F.xxhash64(F.coalesce(F.col("i").cast("string"), F.col("t")), F.lit("sample")) / F.lit(2.0**64) + 0.5
     share = F.element_at(F.create_map(*[F.lit(x) for k, v in counts.items() for x in (k, min(1.0, max(1.3 * each, each + 25) / v))]), F.col("l"))
     sample = rows.withColumn("h", place).where(F.col("h") < share)
 
@@ -134,9 +153,8 @@ def train(rows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
             packed = []
             for first, end, data, offsets in W.slices(batch.column(0)):
                 for i in range(end - first):
-                    flags = np.zeros(_SIZE, bool)
-                    flags[grams(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))[0]] = True
-                    packed.append(zlib.compress(np.packbits(flags).tobytes(), 1))
+                    flags = presence(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
+                    packed.append(zlib.compress(np.packbits(flags[0]).tobytes(), 1))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(packed, pa.binary())], names=["l", "h", "b"])
 
     found = sample.select("t", "l", "h").mapInArrow(bits, "l string, h double, b binary").withColumn("at", F.row_number().over(Window.partitionBy("l").orderBy("h"))).where(F.col("at") <= each).orderBy("h").collect()
