@@ -63,6 +63,43 @@ def test_packing(documents):
         packing.pack(documents(rows), max_len=10, budget=5)
 
 
+def plain_places(rows, max_len, buckets, budget):
+    """Number of rows of each bucket in full and in last batches, by the definition."""
+    sizes = sorted(n for r in rows for n in [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))] for n in [max_len] * (n // max_len) + [n % max_len] * (n % max_len > 0))
+    lengths = sorted(set(sizes))
+    bounds = packing.boundaries(lengths, [sizes.count(x) for x in lengths], buckets)
+    out, low = {}, 0
+    for b in bounds:
+        n = sum(low < x <= b for x in sizes)
+        out |= {f"{b}-{i}": min(budget // b, n - i * (budget // b)) for i in range(-(-n // (budget // b)))}
+        low = b
+    return out
+
+
+def test_pieces_have_the_whole_text(documents):
+    rng = random.Random(7)
+    texts = [None, "", " \n", "é", " a", "a b c", "  x  y\n\nz é w  ", "u " * 5000] + ["".join(rng.choice("ab é\n\t") for _ in range(rng.randrange(80))) for _ in range(60)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    docs = documents(rows).withColumnsRenamed({"lang": "batch", "source": "piece", "n_chars": "bucket"})
+    got = packing.pack(docs, max_len=4, buckets=3, budget=20).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    for i, t in enumerate(texts):
+        pieces = sorted(by[i], key=lambda r: r.piece)
+        assert (None if t is None else "".join(r.text for r in pieces)) == t and (t is not None or pieces[0].text is None)
+        for r in pieces:
+            words = re.findall(r"[^\x20\x09-\x0D]+", t or "")[r.first_token : r.first_token + 4]
+            assert re.findall(r"[^\x20\x09-\x0D]+", r.text or "") == words and r.n_tokens == len(words)
+    batches: dict = {}
+    for r in got:
+        if r.batch:
+            batches[r.batch] = batches.get(r.batch, 0) + 1
+    assert batches == plain_places(rows, 4, 3, 20)
+    counted = packing.pack(docs, count=F.char_length("text"), max_len=10, budget=50).collect()
+    assert all(r.text is None for r in counted) and sum(r.n_tokens for r in counted) == sum(len(t or "") for t in texts)
+
+
 # Archives
 
 
