@@ -34,10 +34,12 @@ a null doc_id keeps its n_shingles and gets a null component_id. Extra columns a
 
 from __future__ import annotations
 
+import zlib
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,7 @@ from ._shared import small_batches, written
 K = 4
 THRESHOLD = (85, 100)
 SKETCH_BITS = 19
+BLOCKS = 128
 CHUNK_DOCS = 128
 CHUNK_SHINGLES = 50_000
 PAIRED = 32
@@ -77,9 +80,12 @@ def prefix_length(n: int, threshold: tuple[int, int]) -> int:
 
 
 def _sketch(docs: DataFrame, text: str, k: int, bits: int) -> np.ndarray:
-    """Twice the logarithm of the number of documents with a shingle in each of 2**bits cells. Few tasks, so
-    that the partial counts sent stay within tasks * 2**bits rows whatever the size of the input."""
+    """Twice the logarithm of the number of documents with a shingle in each of 2**bits cells. Every task of the scan
+    counts into cells of its own and sends them as BLOCKS packed arrays, which are added up in three steps of at most
+    some hundred arrays a group, for up to millions of tasks."""
     size, shift = 1 << bits, np.uint64(64 - bits)
+    blocks = min(BLOCKS, size)
+    pack = lambda x: zlib.compress(x.tobytes(), 1)
 
     def count(batches):
         cells, held, n = np.zeros(size, np.int64), [], 0
@@ -92,16 +98,23 @@ def _sketch(docs: DataFrame, text: str, k: int, bits: int) -> np.ndarray:
                     held, n = [], 0
         if n:
             cells += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=size)
-        at = np.flatnonzero(cells)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(cells[part])], names=["cell", "n"])
-
-    tasks = docs.sparkSession.sparkContext.defaultParallelism
-    found = docs.select(text).coalesce(tasks).mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return np.ceil(2 * np.log2(out + 1)).astype(np.uint8)
+        parts = cells.reshape(blocks, -1)
+        some = np.flatnonzero(parts.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([TaskContext.get().partitionId()] * len(some), pa.int32()), pa.array([pack(parts[i]) for i in some], pa.binary())], names=["block", "task", "cells"])
+
+    def add(key, table):
+        total = np.zeros(size // blocks, np.int64)
+        for x in table["cells"]:
+            total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([pack(total)], pa.binary())})
+
+    found = docs.select(text).mapInArrow(count, "block int, task int, cells binary")
+    for _ in range(3):
+        found = found.withColumn("task", F.expr("cast(task div 128 as int)")).groupBy("block", "task").applyInArrow(add, "block int, task int, cells binary")
+    out = np.zeros((blocks, size // blocks))
+    for r in found.collect():  # BLOCKS rows, for up to 128 ** 3 tasks
+        out[r.block] += np.frombuffer(zlib.decompress(r.cells), np.int64)
+    return np.ceil(2 * np.log2(out.ravel() + 1)).astype(np.uint8)
 
 
 def _prefix(one: np.ndarray, order: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
