@@ -193,6 +193,92 @@ def test_pseudonyms(documents):
     assert pii.pseudonymise(docs.limit(0), "k").count() == 0
 
 
+def plain_feistel(x, a, b, key, tweak):
+    import hashlib
+
+    half = lambda i, v: int(hashlib.sha256(f"{key}|{tweak}|{i}|{v}".encode()).hexdigest()[:15], 16)
+    left, right = divmod(x, b)
+    for i in range(1, pii.ROUNDS + 1):
+        if i % 2:
+            left = (left + half(i, right) % a) % a
+        else:
+            right = (right + half(i, left) % b) % b
+    return left * b + right
+
+
+def plain_digits(digits, key, tweak):
+    u = len(digits) // 2
+    return str(plain_feistel(int(digits), 10**u, 10 ** (len(digits) - u), key, tweak)).zfill(len(digits))
+
+
+def plain_pseudonyms(text, key):
+    """The text with its personal data replaced, from the definitions of the kinds."""
+    import datetime
+    import hashlib
+
+    def into(template, digits):
+        it = iter(digits)
+        return "".join(next(it) if c.isdigit() else c for c in template)
+
+    def one(m):
+        m = m[0]
+        digits = re.sub("[^0-9]", "", m)
+        if "@" in m:
+            user = hashlib.sha256(f"{key}|email|{m.lower()}".encode()).hexdigest()[:16]
+            return f"u{user}@{hashlib.sha256(f'{key}|domain|{m.lower().split(chr(64))[-1]}'.encode()).hexdigest()[:8]}.invalid"
+        if m[0] in "+(" or re.fullmatch(r"\d{3}[.-]\d{3}[ .-]\d{4}", m):
+            rest = re.sub(r"^\+\d{1,3}[ .-]?", "", m)
+            return m[: len(m) - len(rest)] + into(rest, plain_digits(re.sub("[^0-9]", "", rest), key, "phone"))
+        if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m):
+            return into(m, plain_digits(digits, key, "ssn"))
+        if re.fullmatch(r"\d{1,3}(\.\d{1,3}){3}", m):
+            p = [int(o) for o in m.split(".")]
+            if max(p) > 255:
+                return m
+            y = plain_feistel(p[0] << 24 | p[1] << 16 | p[2] << 8 | p[3], 65536, 65536, key, "ipv4")
+            return ".".join(str(o).zfill(3 if len(w) > 1 and w[0] == "0" else 1) for o, w in zip([y >> 24, y >> 16 & 255, y >> 8 & 255, y & 255], m.split("."), strict=True))
+        if len(m) == 10 and re.match(r"\d{4}[-/]|\d{2}\.", m):
+            form = "%Y-%m-%d" if m[4] == "-" else "%Y/%m/%d" if m[4] == "/" else "%d.%m.%Y"
+            try:
+                d = datetime.datetime.strptime(m, form).date()
+            except ValueError:
+                return m
+            zero = datetime.date(1800, 1, 1)
+            return (zero + datetime.timedelta(plain_feistel((d - zero).days, 189, 773, key, "date"))).strftime(form) if 1800 <= d.year <= 2199 else m
+        if not luhn(digits):
+            return m
+        new = plain_digits(digits[:-1], key, "card")
+        return into(m, next(new + c for c in "0123456789" if luhn(new + c)))
+
+    return None if text is None else re.sub(pii.PATTERN.replace("++", "+"), one, text)
+
+
+def test_pseudonyms_equal_their_definition(documents):
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+
+    def card(groups):
+        body = "4" + number(sum(groups) - 2)
+        digits = iter(next(body + c for c in "0123456789" if luhn(body + c)))
+        return rng.choice(" -").join("".join(next(digits) for _ in range(n)) for n in groups) if len(groups) > 1 else "".join(digits)
+
+    makers = [
+        lambda: card([16]), lambda: card([4, 4, 4, 4]), lambda: card([15]), lambda: card([4, 6, 5]), lambda: card([19]), lambda: number(16),
+        lambda: f"({number(3)}) {number(3)}-{number(4)}", lambda: f"+49 30 {number(4)} {number(3)}", lambda: f"+33 1 {number(2)} {number(2)} {number(2)} {number(2)}", lambda: f"+44-20-{number(4)}-{number(4)}",
+        lambda: f"{number(3)}-{number(2)}-{number(4)}", lambda: f"{rng.randrange(300)}.{rng.randrange(300)}.1.0", lambda: "010.001.000.255",
+        lambda: f"{rng.randrange(1700, 2300)}-{rng.randrange(1, 14):02}-{rng.randrange(1, 33):02}", lambda: f"{rng.randrange(1, 32):02}.{rng.randrange(1, 13):02}.{rng.randrange(1900, 2100)}", lambda: "1999/02/29",
+        lambda: f"Some.One{number(2)}@mail.Example.org", lambda: "word",
+    ]
+    texts = [None, "", "'" * 3] + [", ".join(rng.choice(makers)() for _ in range(rng.randrange(1, 12))) + rng.choice(["", ".", " é"]) for _ in range(150)]
+    texts += ["x " * 300_000 + makers[0]()] + texts[5:8]
+    docs = documents([(i, t, None, None, None) for i, t in enumerate(texts)])
+    key = "it's a \\ key"
+    out = pii.pseudonymise(docs, key)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert got == {i: plain_pseudonyms(t, key) for i, t in enumerate(texts)}
+    assert "a \\ key" not in out._jdf.queryExecution().toString()
+
+
 def test_feistel_is_a_permutation(spark):
     n = 27 * 7 * 773
     out = spark.range(n).select(F.expr(pii.feistel("id", "189L", "773L", "'k'", "'t'")).alias("y"))

@@ -6,13 +6,15 @@ product of two ranges a x b (ten rounds, each adding a keyed hash of the one hal
 a bijection, so equal values stay equal over all documents and different ones stay different.
 
 * card: the digits before the check digit, 10^u x 10^v, then a new check digit;
-* phone: the ten subscriber digits, 10^5 x 10^5; country code and punctuation stay;
+* phone: the digits after the country code (ten in North America, 10^5 x 10^5); country code and punctuation stay;
 * ssn: nine digits, 10^4 x 10^5;
-* ipv4: 2^16 x 2^16;
+* ipv4: 2^16 x 2^16; where an octet is written with leading zeros its pseudonym has the same width at least;
 * date (YYYY-MM-DD, YYYY/MM/DD, DD.MM.YYYY): the day's number in the 146097 = 189 x 773 days of the Gregorian
   cycle 1800-2199; other years stay;
 * email: no number, so its address becomes a keyed hash under a reserved domain.
 
+The key is a one-row table that expressions read as a scalar subquery, so that plans and event logs don't show it.
+
 Defined cases: null text stays null, with counts 0; values that fail validation stay as they are; rows are
 handled one by one; columns that bear the names of results are replaced, others pass through. A value and
 its pseudonym may by chance be equal; it is counted all the same.
@@ -25,14 +27,14 @@ from pyspark.sql import functions as F
 
 ROUNDS = 10
 KINDS = ("email", "phone", "card", "ssn", "ipv4", "date")
-_DIGITS = r"\d{4}([ -])\d{4}\1\d{4}\1\d{4}"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
-PHONE = r"(?<![\d.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)"
+#: Ten digits as in North America, or a country code and two to five groups.
+PHONE = r"(?<![\d.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w.+-])\+\d{1,3}(?:[ .-]\(?\d{1,4}\)?)(?:[ .-]\d{2,4}){1,4}(?!\d)"
 DATE = r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}\.\d{2}\.\d{4})(?![\d/-]|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
-CARD = r"(?<!\d)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4})(?!\d)"
+CARD = r"(?<!\d)(?:\d{13,19}|\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4} \d{6} \d{5}|\d{4}-\d{6}-\d{5})(?!\d)"
 PATTERN = "|".join((EMAIL, PHONE, DATE, SSN, IPV4, CARD))
 
 
@@ -89,7 +91,7 @@ def pseudonym(m: str, key: str) -> str:
     ssn = of("ssn", _let("q", _permuted(_digits(m), key, "'ssn'"), _into(m, "q")))
     octets = f"transform(split({m}, '[.]'), o -> cast(o as bigint))"
     number = feistel("p[0] * 16777216 + p[1] * 65536 + p[2] * 256 + p[3]", "65536", "65536", key, "'ipv4'")
-    ipv4 = _let("p", octets, f"if(array_max(p) > 255, {as_is}, " + of("ipv4", _let("y", number, "concat_ws('.', cast(y div 16777216 as string), cast(y div 65536 % 256 as string), cast(y div 256 % 256 as string), cast(y % 256 as string))")) + ")")
+    ipv4 = _let("p", octets, f"if(array_max(p) > 255, {as_is}, " + of("ipv4", _let("y", number, f"array_join(transform(array(y div 16777216, y div 65536 % 256, y div 256 % 256, y % 256), (o, j) -> if(split({m}, '[.]')[j] like '0_%', lpad(cast(o as string), greatest(3, length(split({m}, '[.]')[j])), '0'), cast(o as string))), '.')")) + ")")
     form = f"case when substr({m}, 5, 1) = '-' then 'yyyy-MM-dd' when substr({m}, 5, 1) = '/' then 'yyyy/MM/dd' else 'dd.MM.yyyy' end"
     iso = f"case when substr({m}, 5, 1) = '-' then {m} when substr({m}, 5, 1) = '/' then replace({m}, '/', '-') else concat(substr({m}, 7, 4), '-', substr({m}, 4, 2), '-', substr({m}, 1, 2)) end"
     moved = feistel("datediff(d, date'1800-01-01')", "189L", "773L", key, "'date'")
@@ -106,15 +108,15 @@ def pseudonym(m: str, key: str) -> str:
 def pseudonymise(docs: DataFrame, key: str, *, text: str = "text") -> DataFrame:
     """docs with personal data in text replaced, and n_<kind> for each kind."""
     names = [f"n_{k}" for k in KINDS]
-    secret = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    docs = docs.drop(*names)
+    secret = "_td_key"
+    docs = docs.drop(*names).withColumn(secret, docs.sparkSession.createDataFrame([(key,)], "key string").scalar())
     has = F.col(text).rlike(PATTERN)
     found = F.when(has, F.expr(f"transform(regexp_extract_all(`{text}`, {_text(PATTERN)}, 0), m -> {pseudonym('m', secret)})"))
     marked = docs.withColumn("_td_found", found)
     new = F.expr(f"array_join(zip_with(split(`{text}`, {_text(PATTERN)}, -1), _td_found, (p, o) -> concat(p, coalesce(o.value, ''))), '')")
     counts = {f"n_{k}": F.coalesce(F.expr(f"size(filter(_td_found, o -> o.kind = '{k}'))"), F.lit(0)).cast("long") for k in KINDS}
     counts = {n: F.greatest(c, F.lit(0)) for n, c in counts.items()}
-    return marked.withColumns({text: F.when(F.col("_td_found").isNotNull(), new).otherwise(F.col(text)), **counts}).drop("_td_found")
+    return marked.withColumns({text: F.when(F.col("_td_found").isNotNull(), new).otherwise(F.col(text)), **counts}).drop("_td_found", secret)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
