@@ -31,6 +31,4 @@ def spark():
 def engine(spark):
     from tidemark.engine import Engine
 
-    made = Engine(spark, evaluation_day=20_580)  # 2026-05-07
-    yield made
-    made.close()
+    return Engine(spark, evaluation_day=20_580)  # 2026-05-07

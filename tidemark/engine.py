@@ -88,7 +88,6 @@ class Engine:
         self.program = S.Program()
         self.primitives = primitives()
         self.warnings: list[str] = []
-        self._held: list[DataFrame] = []
         self._histories: dict[str, Engine] = {}
         self.version = object()
 
@@ -154,10 +153,8 @@ class Engine:
         return self.spark.createDataFrame(rows, kinds)
 
     def shared(self, df: DataFrame) -> DataFrame:
-        """A frame that several plans read."""
-        out = df.persist()
-        self._held.append(out)
-        return out
+        """A frame that several plans read: written once, so that a lost executor costs nothing and no memory is held."""
+        return self.written(df)
 
     def written(self, df: DataFrame) -> DataFrame:
         """df written to the cluster's shared folder and read back: short lineage, known size."""
@@ -253,9 +250,7 @@ class Engine:
             engine = self._copy()
             engine.merge(program, "query")
         compiler = engine.compiler()
-        out = [compiler.query(q) for q in program.queries]
-        self._held += engine._held if engine is not self else []
-        return out
+        return [compiler.query(q) for q in program.queries]
 
     def verb(self, name: str, /, **args) -> DataFrame:
         """A saved query, its arguments bound as verb_arg(name, value) facts."""
@@ -281,11 +276,4 @@ class Engine:
         program.rules += [S.Rule("verb_arg", (S.Lit(k), S.Lit(v)), (), f"verb {name}") for k, v in values_.items()]
         engine = self._copy()
         engine.merge(program, "query")
-        out = engine.compiler().query(program.queries[0])
-        self._held += engine._held
-        return out
-
-    def close(self) -> None:
-        for df in self._held:
-            df.unpersist()
-        self._held.clear()
+        return engine.compiler().query(program.queries[0])

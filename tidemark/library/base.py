@@ -22,10 +22,10 @@ class Spec:
 
 REGISTRY: dict[str, Spec] = {}
 
-#: Read by many plans of one query, so kept once computed instead of being planned into each of them.
+#: Read by many plans, so written once instead of being planned into each of them.
 SHARED = {
     "active", "terminal", "lifecycle_status_classification", "diagnostic", "entropy", "potential", "primary_entropy", "blocked", "status_broken",
-    "recently_advanced", "regressed", "re_opened", "holding", "status_drifting_reason", "orientation_inbound_count", "anchor_signal", "anchor_eligible", "stale_reference", "broken_reference", "confidence_gap",
+    "recently_advanced", "regressed", "re_opened", "holding", "status_drifting_reason", "orientation_inbound_count", "anchor_signal", "anchor_eligible", "stale_reference", "broken_reference", "confidence_gap", "spec_code_drift", "topic_shared_target",
 }
 
 
