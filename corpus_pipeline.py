@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept, written as Parquet and
 reread in between. All but the last return the columns of `documents`.
+
+Every stage takes an empty table (and returns one), rows that are repeated, texts of any length, nulls in any column and
+further columns, which all stages but the last pass through. A null text goes with the language stage, as it has no letter;
+a null doc_id, source or lang stays: without a doc_id a document is never the first with a line nor a copy of another, and
+without a source it counts for no site. Of documents with one doc_id all go or stay by their own texts, and in the near
+stage as members of their groups. Ties are settled by the smallest doc_id, in packing by hash.
 """
 
 from __future__ import annotations
@@ -19,17 +25,26 @@ NEAR_SHARE = (80, 100)
 MIN_SCORE = 0.4
 
 
+def _beside(docs: DataFrame, names: tuple[str, ...], stage) -> DataFrame:
+    """What the stage makes of docs, whose own columns of these names it would replace, with the columns of docs."""
+    put = {c: f"_td_own_{c}" for c in names if c in docs.columns}
+    return stage(docs.withColumnsRenamed(put)).select(*[F.col(put.get(c, c)).alias(c) for c in docs.columns])
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no learned language go: those without letters, and those with a score under MIN_SCORE."""
-    found = language.identify(docs)
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= MIN_SCORE)
+    return _beside(docs, ("lang_pred", "score", "held_out"), lambda own: language.identify(own).where(known))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cross-site boilerplate lines go, but for their first document; so do documents of which nothing is left."""
-    found = lines.remove_boilerplate(docs)
-    kept = found.where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t\r\n\x0B\f]"))
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+    def clean(own: DataFrame) -> DataFrame:
+        found = lines.remove_boilerplate(own).where((F.col("n_removed") == 0) | F.col("text").rlike(r"[^ \t\r\n\x0B\f]"))
+        return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+    return _beside(docs, ("n_lines", "n_removed"), clean)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

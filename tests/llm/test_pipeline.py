@@ -76,3 +76,34 @@ def test_near_stage_links_at_five_words_and_four_fifths(spark, documents):
     pair = [rows[0], rows[3]]
     assert len({c for _, _, c in plain_components(pair)}) == 2
     assert {r.doc_id for r in P.near_stage(spark, docs.where("doc_id in (0, 3)"), "").collect()} == {0}
+
+
+def test_odd_rows_in_every_stage(spark, documents, tmp_path):
+    rng = random.Random(31)
+    rows, bench = corpus(rng)
+    odd = [(None, rows[50][1], None, None, None), (7, None, None, None, None), (8, "", "en", "s", 0), rows[60], rows[60], (500, rows[60][1], None, None, 0), (501, "the and " * 60_000, "en", "src1", 0)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = documents([(*r, "x", 5) for r in rows + odd], ", n_hit string, lang_pred long")
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        empty = stage(spark, documents([], ", n_hit string, lang_pred long"), str(tmp_path))
+        assert empty.count() == 0 and empty.columns == out.columns
+        if name != "packing":
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(out.collect(), docs.schema)
+        kept = [r.doc_id for r in out.collect()]
+        assert None in kept and 8 not in [r.doc_id for r in out.collect() if name != "packing" and not r.text] and 501 in kept
+        if name == "near":
+            # Copies of document 60 under another id go; rows that repeat it stay.
+            assert kept.count(60) == 3 and 500 not in kept
+    assert sum(r.n_tokens for r in out.where("doc_id = 501").collect()) == 120_000
+
+
+def test_packing_stage_packs_what_is_left(spark, documents):
+    rng = random.Random(32)
+    rows = [(i, prose(rng, rng.randrange(0, 5000)), "en", "s", 0) for i in range(40)]
+    got = P.packing_stage(spark, documents(rows), "").collect()
+    text = {}
+    for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+        text[r.doc_id] = text.get(r.doc_id, "") + r.text
+    assert text == {i: t for i, t, *_ in rows}

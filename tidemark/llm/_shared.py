@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+WRITE_BYTES = 256 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,11 +38,13 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows read back from Parquet in the shared folder: lineage is cut, a lost executor costs
-    no recomputation, and the planner knows the table's size. Some shuffle partitions share a writing task, with
-    two tasks a core at least: every core has work, and tables have few files."""
+    no recomputation, and the planner knows the table's size. Some partitions share a writing task, so that tables
+    have few files, with two tasks a core at least and by the planner's estimate WRITE_BYTES a task at most."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.coalesce(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)).write.parquet(path)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8, size // WRITE_BYTES)
+    df.coalesce(min(tasks, 1 << 20)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
