@@ -23,6 +23,8 @@ from .plans import syntax as S
 from .plans.compiler import Catalog, Compiler, Primitive, RuleProblem
 from .sources import config, schema
 
+#: Bytes that one task writes, about, by the planner's estimate.
+WRITE_BYTES = 256 << 20
 CAPABILITIES = ("Read", "ReadFull", "Search", "Match", "Eval", "TrailPrivateRead", "Extract")
 
 
@@ -165,12 +167,19 @@ class Engine:
             self.spark.conf.set("spark.checkpoint.dir", found)
         path = f"{found.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
         void = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
-        df.select(*[F.col(c).cast("string").alias(c) if c in void else F.col(c) for c in df.columns]).coalesce(max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8)).write.parquet(path)
+        whole = df.select(*[F.col(c).cast("string").alias(c) if c in void else F.col(c) for c in df.columns])
+        whole.coalesce(self._tasks(df)).write.parquet(path)
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         back = self.spark.read.parquet(path)
         return back.select(*[F.lit(None).alias(c) if c in void else F.col(c) for c in df.columns])
 
+    def _tasks(self, df: DataFrame) -> int:
+        """Writing tasks: few, so that tables have few files, but so many that none writes much more than WRITE_BYTES."""
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        most = max(2 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8, size // WRITE_BYTES)
+        return min(most, 1 << 20)
+
     def ranked(self, df: DataFrame, key: str, out: str) -> DataFrame:
         """Dense rank over all rows, highest key first, without one task for all of them: distinct keys are
         range-partitioned and numbered by partition offsets."""

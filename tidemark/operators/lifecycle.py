@@ -17,17 +17,12 @@ SETTLED = ("authoritative", "current", "active", "stable", "living")
 PIPELINE = ("raw", "draft", "research", "plan", "current", "active", "stable", "authoritative")
 
 
-#: Rows that a configuration may have; it is read by the driver and becomes literals of plans.
-MOST_SETTINGS = 10_000
-
-
 def settings(ctx) -> dict[str, list]:
-    """Values of each configuration key with their ordinals, read once."""
+    """Values of each configuration key with their ordinals. The driver reads a configuration once and whole, each
+    different row once, and it becomes literals of plans."""
     held = getattr(ctx, "_settings", None)
     if held is None or held[0] is not ctx.version:
-        rows = ctx.relation("config").select("key", "value", "ordinal").limit(MOST_SETTINGS + 1).collect()
-        if len(rows) > MOST_SETTINGS:
-            raise ValueError(f"a configuration has at most {MOST_SETTINGS} rows")
+        rows = ctx.relation("config").select("key", "value", "ordinal").distinct().orderBy("key", "ordinal", "value").collect()
         found: dict[str, list] = {}
         for r in rows:
             found.setdefault(r.key, []).append((r.value, r.ordinal))

@@ -31,7 +31,8 @@ LOW_CONFIDENCE = 0.5
 EXPANSIONS = {"oq": {"open": 0.25, "question": 0.25}, "adr": {"architecture": 0.2, "decision": 0.2, "record": 0.2}, "rfc": {"request": 0.2, "comment": 0.2}}
 ABBREVIATED = {("open", "question"): ("oq", 2.0), ("architecture", "decision", "record"): ("adr", 3.0), ("request", "for", "comment"): ("rfc", 3.0)}
 
-MOST_QUERIES = 100
+#: Queries that one plan holds; the hits of more are written block by block.
+BLOCK = 20
 
 
 def _undoubled(word: str) -> str:
@@ -211,13 +212,23 @@ def order() -> list[Column]:
 def search(ctx, seeds: DataFrame) -> DataFrame:
     """(query, handle, span_id, score, reason, field, low_confidence)."""
     ctx.require("Search")
-    queries = [r.p0 for r in seeds.select("p0").distinct().limit(MOST_QUERIES + 1).collect()]
-    if len(queries) > MOST_QUERIES:
-        raise ValueError(f"search takes at most {MOST_QUERIES} different queries at once")
     # Normalised once: each query reads the fields for its terms' specificity, for its hits and for narrow spans.
     texts = ctx.shared(fields(ctx))
-    out = None
-    for q in queries:
-        found = ranked(ctx, q, texts).select(F.lit(q).alias("p0"), F.col("handle").alias("p1"), F.col("span_id").alias("p2"), F.col("score").cast("double").alias("p3"), F.col("reason").alias("p4"), F.col("field").alias("p5"), F.col("low_confidence").alias("p6")).distinct()
-        out = found if out is None else out.union(found)
-    return out if out is not None else ctx.local([], "p0 string, p1 string, p2 string, p3 double, p4 string, p5 string, p6 boolean")
+    parts: list[DataFrame] = []
+    held: list[DataFrame] = []
+
+    def joined(frames: list[DataFrame]) -> DataFrame:
+        out = frames[0]
+        for f in frames[1:]:
+            out = out.union(f)
+        return out
+
+    for r in seeds.select("p0").distinct().toLocalIterator():
+        found = ranked(ctx, r.p0, texts)
+        if len(held) == BLOCK:
+            parts.append(ctx.written(joined(held)))
+            held = []
+        held.append(found.select(F.lit(r.p0).alias("p0"), F.col("handle").alias("p1"), F.col("span_id").alias("p2"), F.col("score").cast("double").alias("p3"), F.col("reason").alias("p4"), F.col("field").alias("p5"), F.col("low_confidence").alias("p6")).distinct())
+    if not parts and not held:
+        return ctx.local([], "p0 string, p1 string, p2 string, p3 double, p4 string, p5 string, p6 boolean")
+    return joined(parts + held)
