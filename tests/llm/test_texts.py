@@ -203,6 +203,29 @@ def test_jaccard_components(documents):
     assert kept == {c for _, _, c in got}
 
 
+def test_many_variants_of_one_text_take_few_tiles(documents, monkeypatch):
+    """Hundreds of near copies share all their shingles; tiles must not grow with the square of their number. Texts that
+    share a passage with them without being near stay apart."""
+    rng = random.Random(28)
+    base = prose(rng, 150, 3000).split()
+    texts = []
+    for i in range(400):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:60] + prose(rng, 90, 3000).split()) for _ in range(30)]
+    rows = list(enumerate(texts))
+    rng.shuffle(rows)
+    docs = documents([(i, t, "en", "s", 0) for i, t in rows])
+    tiles = []
+    real = jaccard._meeting
+    monkeypatch.setattr(jaccard, "_meeting", lambda seen: tiles.append(real(seen).count()) or real(seen))
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_classes(docs, chunk_docs=10, sketch_bits=10).collect()}
+    assert got == plain_components(rows)
+    assert tiles[0] < 400  # of 40 chunks and more there are 820 pairs
+
+
 def test_jaccard_odd_rows(documents):
     docs = documents([(5, "a b c d e", None, None, None), (5, "a b c d e", None, None, None), (None, "a b c d e", None, None, None), (3, "A b c d e", None, None, None), (9, None, None, None, None)])
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_classes(docs).collect()), key=repr)

@@ -15,8 +15,11 @@ gathered or expanded into pairs:
 2. Prefix shingles of 2 to `PAIRED` classes give pairs of classes of fitting sizes. A class follows the smallest
    class it is paired with, and the followers of one leader are dealt out by hash into chunks of bounded size. A
    pair belongs to the tile of its two chunks, and only classes with a pair are sent to a tile.
-3. Shingles of more classes give no pairs: there each class follows the smallest class with such a shingle,
-   followers are dealt into chunks likewise, and any two chunks with such a shingle in common make a tile.
+3. Shingles of more classes give no pairs: there each class follows the smallest class with such a shingle, and
+   followers are dealt into chunks likewise. First each chunk is a tile with `PIVOTS` followers of its leader in common:
+   variants of one text meet the same pivots, so that nearly all of them are connected in work that grows with their
+   number. Then followers are dealt anew, those already connected in large numbers into chunks of their own, and any
+   two chunks with such a shingle in common make a tile, but for chunks of one component.
 4. A tile thus holds two bounded chunks at most. First it gets short signatures, the numbers of shingles in
    each of a few buckets: the sum of the smaller numbers bounds the intersection of two sets from above, and
    classes without a partner that this bound allows leave the tile.
@@ -25,7 +28,8 @@ gathered or expanded into pairs:
    tile returns a spanning forest of the links found, never all pairs.
 6. Links become components by alternating large-star and small-star steps.
 
-Every linked pair shares a prefix shingle, so its classes meet in a tile and both ends get one component.
+Every linked pair shares a prefix shingle, so its classes meet in a tile or are connected before, and both ends get one
+component.
 
 Defined cases: null or wordless text has an empty set (n_shingles 0) and links with nothing; a text with fewer
 than k words has one shingle, the whole sequence; rows are compared one by one, rows repeating a doc_id too;
@@ -53,6 +57,7 @@ BLOCKS = 128
 CHUNK_DOCS = 128
 CHUNK_SHINGLES = 50_000
 PAIRED = 32
+PIVOTS = 8
 _ORDERS = (np.uint64(0x8BB84B93962EACC9), np.uint64(0x2D358DCCAA6C78A5))
 
 
@@ -259,11 +264,47 @@ def _candidates(ratio: tuple[int, int], most: int):
 
 
 def _chunks(follows: DataFrame, docs: int, shingles: int) -> DataFrame:
-    """h1, chunk from h1, leader, n: each leader's followers, dealt out by hash into chunks of bounded size. A
-    chunk's name is a hash of the leader and of the place among its chunks."""
+    """h1, leader, n, chunks, chunk from h1, leader, n: each leader's followers, dealt out by hash into chunks of
+    bounded size. A chunk's name is a hash of the leader and of the place among its chunks."""
     follows = follows.groupBy("h1").agg(F.min("leader").alias("leader"), F.max("n").alias("n"))
-    sizes = follows.groupBy("leader").agg(F.greatest(F.ceil(F.count("*") / docs), F.ceil(F.sum("n") / shingles)).alias("chunks"))
-    return follows.join(sizes, "leader").select("h1", F.xxhash64("leader", F.pmod(F.xxhash64("h1"), F.col("chunks"))).alias("chunk"))
+    sizes = follows.groupBy("leader").agg(_number(docs, shingles).alias("chunks"))
+    return follows.join(sizes, "leader").select("h1", "leader", "n", "chunks", F.xxhash64("leader", F.pmod(F.xxhash64("h1"), F.col("chunks"))).alias("chunk"))
+
+
+def _number(docs: int, shingles: int):
+    return F.greatest(F.ceil(F.count("*") / docs), F.ceil(F.sum("n") / shingles))
+
+
+def _anew(close: DataFrame, known: DataFrame, docs: int, shingles: int) -> DataFrame:
+    """h1, chunk, tag, several of followers (close, with the component of each from known: h1, component): of a leader
+    with several chunks, components of half a chunk or more get chunks of their own, with the component as tag; other
+    followers share chunks without one. `several`: the leader has several chunks."""
+    rows = close.join(known, "h1").select("h1", "leader", "n", "component", (F.col("chunks") > 1).alias("several"))
+    sizes = rows.where("several").groupBy("leader", "component").agg(_number(docs, shingles).alias("some"), F.count("*").alias("count"), F.sum("n").alias("total"))
+    own = sizes.where((F.col("count") * 2 >= docs) | (F.col("total") * 2 >= shingles)).select("leader", "component", F.col("some").alias("chunks"))
+    tagged = rows.join(own, ["leader", "component"])
+    rest = rows.join(own.select("leader", "component"), ["leader", "component"], "left_anti")
+    left = rest.groupBy("leader").agg(_number(docs, shingles).alias("chunks"))
+    rest = rest.join(left, "leader")
+    place = F.pmod(F.xxhash64("h1"), F.col("chunks"))
+    return tagged.select("h1", F.xxhash64("leader", "component", place).alias("chunk"), F.col("component").alias("tag"), "several").union(
+        rest.select("h1", F.xxhash64("leader", F.lit("rest"), place), F.lit(None).cast("long"), "several")
+    )
+
+
+def _meeting(seen: DataFrame) -> DataFrame:
+    """c1, c2 of all chunks that share a shingle, from token, chunk, tag, several: not of two chunks of one tag, nor of a
+    chunk with itself where its leader has no other."""
+    end = lambda df, x: df.select("token", F.col("chunk").alias(f"c{x}"), F.col("tag").alias(f"tag{x}"), F.col("several").alias(f"several{x}"))
+    rest, own = seen.where("tag is null"), seen.where("tag is not null")
+    # Tagged chunks meet only at shingles of several tags.
+    mixed = own.groupBy("token").agg(F.min("tag").alias("low"), F.max("tag").alias("high")).where("low <> high").select("token")
+    apart = own.join(mixed, "token", "left_semi")
+    both = end(rest, 1).join(end(rest, 2), "token").where("c1 < c2 or c1 = c2 and several1")
+    across = end(rest, 1).join(end(own, 2), "token")
+    tags = end(apart, 1).join(end(apart, 2), "token").where("c1 < c2 and tag1 <> tag2")
+    pairs = both.select("c1", "c2").union(across.select("c1", "c2")).union(tags.select("c1", "c2"))
+    return pairs.select(F.least("c1", "c2").alias("c1"), F.greatest("c1", "c2").alias("c2")).distinct()
 
 
 class _Forest:
@@ -412,20 +453,35 @@ def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     paired = placed.select("c1", "c2", F.explode(ends).alias("e")).select("e.h1", "c1", "c2", (F.col("e.left") | (F.col("c1") == F.col("c2"))).alias("left"), F.lit(False).alias("hot")).distinct()
 
     close = written(_chunks(frequent.select("h1", "leader", "n"), chunk_docs, chunk_shingles), "close")
-    seen = written(frequent.select("token", "h1").join(close, "h1").select("token", "chunk").distinct(), "seen")
-    tiles = seen.select("token", F.col("chunk").alias("c1")).join(seen.select("token", F.col("chunk").alias("c2")), "token").where("c1 <= c2").select("c1", "c2").distinct()
-    sides = F.when(F.col("c1") == F.col("c2"), F.array(F.struct(F.col("c1").alias("chunk"), F.lit(True).alias("left")))).otherwise(F.array(F.struct(F.col("c1").alias("chunk"), F.lit(True).alias("left")), F.struct(F.col("c2").alias("chunk"), F.lit(False).alias("left"))))
-    tiled = tiles.select("c1", "c2", F.explode(sides).alias("e")).select("e.chunk", "c1", "c2", "e.left").join(close, "chunk").select("h1", "c1", "c2", "left", F.lit(True).alias("hot"))
+    inside = lambda df: df.select("h1", F.col("chunk").alias("c1"), F.col("chunk").alias("c2"), F.lit(True).alias("left"), F.lit(True).alias("hot"))
+    pivots = close.where("chunks > 1").groupBy("leader", F.pmod(F.xxhash64(F.lit("pivot"), "h1"), F.lit(PIVOTS))).agg(F.min("h1").alias("h1")).select("leader", "h1")
+    met = close.where("chunks > 1").select("leader", "chunk").distinct().join(pivots, "leader")
+    alone = inside(close.select("h1", "chunk").union(met.select("h1", "chunk")).distinct())
 
-    wanted = paired.union(tiled).join(classes, "h1").select(F.col("rep").alias("doc"), "c1", "c2", (F.col("c1") != F.col("c2")).alias("across"), "left", "hot", "n", "sig")
-    wanted = written(_sift(wanted, threshold), "members")
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
-    # Chunks are ordered, so the condition always holds; with it Spark may send a Bloom filter of the members to
-    # the scan of the texts, so that the texts of other documents are not shuffled.
-    members = texts.join(wanted.where("c1 <= c2"), "doc")
-    with _bloom_filters(docs.sparkSession):
-        links = written(_links(members, k, threshold, sketch, sketch_bits), "links")
+
+    def links_of(tiled: DataFrame) -> DataFrame:
+        wanted = tiled.join(classes, "h1").select(F.col("rep").alias("doc"), "c1", "c2", (F.col("c1") != F.col("c2")).alias("across"), "left", "hot", "n", "sig")
+        wanted = written(_sift(wanted, threshold), "members")
+        # Chunks are ordered, so the condition always holds; with it Spark may send a Bloom filter of the members to
+        # the scan of the texts, so that the texts of other documents are not shuffled.
+        members = texts.join(wanted.where("c1 <= c2"), "doc")
+        with _bloom_filters(docs.sparkSession):
+            return written(_links(members, k, threshold, sketch, sketch_bits), "links")
+
+    links = links_of(paired.union(alone))
     found = components(links)
+    known = classes.select("h1", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", F.coalesce("component", "rep").alias("component"))
+    anew = written(_anew(close, known, chunk_docs, chunk_shingles), "anew")
+    seen = written(frequent.select("token", "h1").join(anew, "h1").select("token", "chunk", "tag", "several").distinct(), "seen")
+    tiles = written(_meeting(seen), "tiles")
+    if not tiles.isEmpty():
+        sides = F.when(F.col("c1") == F.col("c2"), F.array(F.struct(F.col("c1").alias("chunk"), F.lit(True).alias("left")))).otherwise(F.array(F.struct(F.col("c1").alias("chunk"), F.lit(True).alias("left")), F.struct(F.col("c2").alias("chunk"), F.lit(False).alias("left"))))
+        tiled = tiles.select("c1", "c2", F.explode(sides).alias("e")).select("e.chunk", "c1", "c2", "e.left").join(anew.select("h1", "chunk"), "chunk").select("h1", "c1", "c2", "left", F.lit(True).alias("hot"))
+        more = links_of(tiled)
+        if not more.isEmpty():
+            # Components found so far are links of their members.
+            found = components(more.union(found.select("node", "component")))
 
     labelled = classes.join(found, classes.rep == found.node, "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
     out = signed.where("n > 0").join(labelled, ["h1", "h2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.col("rep")).alias("class_id"), F.when(F.col("doc").isNotNull(), F.col("component")).alias("component_id"))
