@@ -282,7 +282,7 @@ class Compiler:
         first = tuple(t.name for t in base.head)
         if ends is None or len({x, z, *ends}) != 3 or (S.variables(base.body[0]) - set(first)) & {x, z, *ends}:
             return clauses
-        if len(set(first)) != 2 or S.renamed(base.body[0], dict(zip(first, ends, strict=True))) != other:
+        if len(set(first)) != 2 or S.revariabled(base.body[0], dict(zip(first, ends, strict=True))) != other:
             return clauses
         step = S.Call(name, tuple(S.Var(v) for v in ends))
         return [base, replace(more, body=tuple(a if a is own[0] else step for a in more.body))]
