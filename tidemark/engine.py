@@ -190,6 +190,19 @@ class Engine:
         numbered = keys.withColumn("_in", inside).join(before, "_part").select(F.col(key).alias("_rank_key"), (F.col("_before") + F.col("_in")).cast("long").alias(out))
         return df.join(numbered, F.col(key).eqNullSafe(F.col("_rank_key"))).drop("_rank_key")
 
+    def taken(self, df: DataFrame, order: list) -> DataFrame:
+        """The rows in this order whose running sum of _cost, of 0 or more each, is within their _budget, without one
+        task for all of them: range partitions start from the sum of those before them, and one that starts beyond
+        every budget is left out unread."""
+        rows = self.written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+        sums = rows.groupBy("_part").agg(F.sum("_cost").alias("_own"), F.max("_budget").alias("_most"))
+        # One row a partition.
+        earlier = F.sum("_own").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+        starts = sums.select("_part", "_most", F.coalesce(earlier, F.lit(0)).alias("_start")).where("_start <= _most")
+        inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        within = rows.join(F.broadcast(starts.select("_part", "_start")), "_part").withColumn("_sum", F.col("_start") + F.sum("_cost").over(inside))
+        return within.where("_sum <= _budget").drop("_part", "_start", "_sum")
+
     def require(self, capability: str) -> None:
         if capability not in self.capabilities:
             raise PermissionError(f"this engine lacks the capability {capability}")

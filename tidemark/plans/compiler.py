@@ -691,8 +691,13 @@ class Compiler:
             if V.kind(kind_b) != "int" or V.kind(kind_c) != "int":
                 raise V.ValueProblem("TakeUntil's budget and sum are integers")
             bad = lambda c, what: F.when(c < 0, F.raise_error(F.lit(f"TakeUntil: negative {what}")).cast("long")).otherwise(c)
-            over = Window.partitionBy(*parts).orderBy(F.col("_key").asc_nulls_first(), F.col("_result").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            df = df.withColumn("_budget", bad(budget, "budget")).withColumn("_cost", bad(cost, "sum")).withColumn("_sum", F.sum("_cost").over(over)).where("_sum <= _budget")
+            order = [F.col("_key").asc_nulls_first(), F.col("_result").asc_nulls_first()]
+            df = df.withColumn("_budget", bad(budget, "budget")).withColumn("_cost", bad(cost, "sum"))
+            if parts:
+                over = Window.partitionBy(*parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+                df = df.withColumn("_sum", F.sum("_cost").over(over)).where("_sum <= _budget")
+            else:
+                df = self.context.taken(df, order)
         return df.select(*parts, "_result"), kind
 
     # Queries
