@@ -2,8 +2,8 @@
 
 Every text of a handle is one field row: its identifier, title, front matter, headings and body spans. Texts and
 queries are normalised alike (lower case, split at what is no letter or digit, stemmed, joined by blanks) with
-column expressions only, so a search is one scan that scores all fields of all handles, one small aggregate for
-the specificity of the query's terms, and joins for clusters and boosts. Scores are 32-bit floats.
+column expressions only, so the searches of a block are one scan that scores all fields of all handles, one aggregate
+for the specificity of their terms, and joins for clusters and boosts. Scores are 32-bit floats.
 """
 
 from __future__ import annotations
@@ -153,24 +153,30 @@ def _clamped(c: Column) -> Column:
     return F.least(F.greatest(c.cast("float"), F.lit(0.0).cast("float")), F.lit(1.0).cast("float"))
 
 
-def ranked(ctx, query: str, texts: DataFrame | None = None) -> DataFrame:
-    """All hits of one query: corpus, source, handle, span_id, score, reason, field, low_confidence."""
-    whole = normalise(query)
-    if not whole:
-        raise ValueError("search needs a query with a word")
+def ranked(ctx, queries: list[str], texts: DataFrame | None = None) -> DataFrame:
+    """All hits of some queries: query, corpus, source, handle, span_id, score, reason, field, low_confidence. The
+    texts are read three times, however many queries there are."""
+    for query in queries:
+        if not normalise(query):
+            raise ValueError("search needs a query with a word")
     texts = fields(ctx) if texts is None else texts
-    terms = query_terms(query)
-    flags = {t: F.contains(F.col("text"), F.lit(t)) for t in terms}
+    terms = {q: query_terms(q) for q in queries}
+    flags = {t: F.contains(F.col("text"), F.lit(t)) for t in dict.fromkeys(t for own in terms.values() for t in own)}
     total = texts.agg(F.count("*").alias("all"), *[F.sum(c.cast("long")).alias(f"n{i}") for i, c in enumerate(flags.values())]).first()
     full = min(total["all"], 65535)
-    weights = {}
-    for i, (t, w) in enumerate(terms.items()):
-        seen = min(total[f"n{i}"] or 0, 65535)
-        weights[t] = w * (1.0 + SPECIFICITY * ((full - seen) / full if full else 0.0))
-    target = max(1.0, sum(weights.values()))
-    matched = sum((F.when(c, F.lit(weights[t])).otherwise(F.lit(0.0)) for t, c in flags.items()), F.lit(0.0)).cast("float")
-    raw = F.when(F.contains(F.col("text"), F.lit(whole)), F.lit(1.0).cast("float")).when(matched > 0, (F.lit(PARTIAL_BASE) + F.lit(PARTIAL_SPAN) * F.least(F.lit(1.0), matched / F.lit(target))).cast("float"))
-    hits = texts.withColumn("raw", raw).where("raw is not null").drop("text")
+    seen = {t: min(total[f"n{i}"] or 0, 65535) for i, t in enumerate(flags)}
+
+    def strength(query: str) -> Column:
+        """How well a text fits a query, or null."""
+        weights = {t: w * (1.0 + SPECIFICITY * ((full - seen[t]) / full if full else 0.0)) for t, w in terms[query].items()}
+        target = max(1.0, sum(weights.values()))
+        matched = sum((F.when(flags[t], F.lit(w)).otherwise(F.lit(0.0)) for t, w in weights.items()), F.lit(0.0)).cast("float")
+        partial = (F.lit(PARTIAL_BASE) + F.lit(PARTIAL_SPAN) * F.least(F.lit(1.0), matched / F.lit(target))).cast("float")
+        return F.when(F.contains(F.col("text"), F.lit(normalise(query))), F.lit(1.0).cast("float")).when(matched > 0, partial)
+
+    tried = F.array(*[F.struct(F.lit(q).alias("query"), strength(q).alias("raw")) for q in queries])
+    hits = texts.withColumn("hit", F.explode(F.filter(tried, lambda x: x["raw"].isNotNull())))
+    hits = hits.select("hit.query", "hit.raw", *[c for c in texts.columns if c != "text"])
 
     # A body of the whole document gives way to narrower spans.
     is_full = F.col("span_id") == F.concat(F.col("handle"), F.lit("#full"))
@@ -188,16 +194,16 @@ def ranked(ctx, query: str, texts: DataFrame | None = None) -> DataFrame:
     hits = hits.withColumn("score", _clamped(F.col("raw") * weight + F.coalesce("boost", F.lit(0.0).cast("float")) - old))
 
     # Parents of several strong children.
-    direct = hits.groupBy(*keys).agg(F.max(F.when(F.col("field").isin("identifier", "title"), F.col("raw"))).alias("structural"), F.max("score").alias("direct"))
+    direct = hits.groupBy("query", *keys).agg(F.max(F.when(F.col("field").isin("identifier", "title"), F.col("raw"))).alias("structural"), F.max("score").alias("direct"))
     parents = known.select("corpus", "source", F.col("handle").alias("parent"))
-    clusters = hits.where("parent is not null").groupBy("corpus", "source", "parent").agg(F.count_distinct("handle").alias("n"), F.max("raw").alias("best")).where((F.col("n") >= 2) & (F.col("best") >= F.lit(CLUSTER_LEAST).cast("float")))
+    clusters = hits.where("parent is not null").groupBy("query", "corpus", "source", "parent").agg(F.count_distinct("handle").alias("n"), F.max("raw").alias("best")).where((F.col("n") >= 2) & (F.col("best") >= F.lit(CLUSTER_LEAST).cast("float")))
     clusters = clusters.join(parents, ["corpus", "source", "parent"], "left_semi").where(~F.lower("parent").rlike(r"(^|/)labels\.md$")).withColumnRenamed("parent", "handle")
     lifted = F.least(_clamped(F.col("best") + F.lit(CLUSTER_BOOST).cast("float")), F.lit(CLUSTER_MOST).cast("float"))
     zero = F.lit(0.0).cast("float")
-    clusters = clusters.join(direct, keys, "left").withColumn("raw", lifted).where((F.col("best") > F.coalesce("structural", zero)) & (F.col("raw") > F.coalesce("direct", zero)))
-    grouped = clusters.select(*keys, F.lit(None).cast("string").alias("span_id"), F.lit("identifier").alias("field"), F.lit("parent-cluster").alias("reason"), _clamped(F.col("raw") - old).alias("score"))
-    out = hits.select(*keys, "span_id", "field", "reason", "score").union(grouped)
-    return out.select(*keys, "span_id", "score", "reason", "field", (F.col("score") < F.lit(LOW_CONFIDENCE).cast("float")).alias("low_confidence"))
+    clusters = clusters.join(direct, ["query", *keys], "left").withColumn("raw", lifted).where((F.col("best") > F.coalesce("structural", zero)) & (F.col("raw") > F.coalesce("direct", zero)))
+    grouped = clusters.select("query", *keys, F.lit(None).cast("string").alias("span_id"), F.lit("identifier").alias("field"), F.lit("parent-cluster").alias("reason"), _clamped(F.col("raw") - old).alias("score"))
+    out = hits.select("query", *keys, "span_id", "field", "reason", "score").union(grouped)
+    return out.select("query", *keys, "span_id", "score", "reason", "field", (F.col("score") < F.lit(LOW_CONFIDENCE).cast("float")).alias("low_confidence"))
 
 
 def order() -> list[Column]:
@@ -212,23 +218,21 @@ def order() -> list[Column]:
 def search(ctx, seeds: DataFrame) -> DataFrame:
     """(query, handle, span_id, score, reason, field, low_confidence)."""
     ctx.require("Search")
-    # Normalised once: each query reads the fields for its terms' specificity, for its hits and for narrow spans.
+    # Normalised once, for all queries.
     texts = ctx.shared(fields(ctx))
-    parts: list[DataFrame] = []
-    held: list[DataFrame] = []
 
-    def joined(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.union(f)
-        return out
+    def hits(queries: list[str]) -> DataFrame:
+        found = ranked(ctx, queries, texts)
+        return found.select(F.col("query").alias("p0"), F.col("handle").alias("p1"), F.col("span_id").alias("p2"), F.col("score").cast("double").alias("p3"), F.col("reason").alias("p4"), F.col("field").alias("p5"), F.col("low_confidence").alias("p6")).distinct()
 
+    out: DataFrame | None = None
+    block: list[str] = []
     for r in seeds.select("p0").distinct().toLocalIterator():
-        found = ranked(ctx, r.p0, texts)
-        if len(held) == BLOCK:
-            parts.append(ctx.written(joined(held)))
-            held = []
-        held.append(found.select(F.lit(r.p0).alias("p0"), F.col("handle").alias("p1"), F.col("span_id").alias("p2"), F.col("score").cast("double").alias("p3"), F.col("reason").alias("p4"), F.col("field").alias("p5"), F.col("low_confidence").alias("p6")).distinct())
-    if not parts and not held:
+        if len(block) == BLOCK:
+            done = ctx.written(hits(block))
+            out = done if out is None else out.union(done)
+            block = []
+        block.append(r.p0)
+    if not block:
         return ctx.local([], "p0 string, p1 string, p2 string, p3 double, p4 string, p5 string, p6 boolean")
-    return joined(parts + held)
+    return hits(block) if out is None else out.union(hits(block))
