@@ -4,7 +4,7 @@ import pytest
 from corpus import base, fill
 
 from tidemark.library import REGISTRY, install
-from tidemark.sources import code, markdown, schema, store
+from tidemark.sources import code, frontmatter, markdown, schema, store
 from tidemark.streaming.deltas import Versions, follow
 
 FILES = {
@@ -39,13 +39,55 @@ def test_markdown_edges(extracted):
     e = pairs(extracted["edge"], "from", "to", "kind")
     assert ("docs/plan.md", "docs/spec-v2.md", "DependsOn") in e and ("docs/plan.md", "OQ-1", "DependsOn") in e
     assert ("docs/plan.md", "OQ-2", "DependsOn") in e and ("docs/other.md", "OQ-1", "Cites") in e
-    assert ("docs/plan.md", "docs/other.md", "Cites") in e or ("docs/plan.md", "docs/other.md", "DependsOn") in e
+    assert ("docs/plan.md", "docs/other.md", "Cites") in e and ("docs/plan.md", "docs/other.md", "DependsOn") not in e
     assert ("docs/spec-v1.md", "docs/spec-v2.md", "Supersedes") in e  # old to new
     assert ("spec-v2", "spec-v1", "Supersedes") in e  # new to old
     assert ("docs/plan.md", "section:4.2", "Cites") in e and ("docs/spec-v2.md", "missing.md", "Cites") in e
     assert not any(b == "OQ-9" for _, b, _ in e)
 
 
+def test_front_matter():
+    text = """---
+status: draft (for now)
+title: "A: b # c"  # said
+refs: ["a, b.md", 'c.md',
+  d.md]
+depends-on:
+- x.md (the first)
+- "y.md"
+nested:
+  k: v
+text: |
+  one
+  two
+folded: >-
+  one
+  two
+ok: True
+none: ~
+owner: me and
+  you
+---
+body"""
+    lines, taken = frontmatter.split(text.split("\n"))
+    assert taken == 21 and frontmatter.split(["---", "a: b"]) == ([], 0) == frontmatter.split(["a", "---"])
+    assert frontmatter.parse(lines) == {
+        "status": ["draft"], "title": ["A: b # c"], "refs": ["a, b.md", "c.md", "d.md"], "depends-on": ["x.md", "y.md"], "nested": [],
+        "text": ["one\ntwo"], "folded": ["one two"], "ok": ["true"], "none": [], "owner": ["me and you"],
+    }
+
+
+def test_blocks_of_text():
+    text = "Title A-1\n=====\nbuilds on A-2\nand A-3 `src/a.rs:3` `A-9` [o](other.md#x) [[wiki|w]]\n\n- item A-4\n  more\n\nText\n\n    indented A-7\n\n~~~\nA-6\n~~~\n| a | A-10 |\n> §4.2 target/x.rs lib/../...rs http://h/src/a.rs src/B.RS\n---\n## End ##\n"
+    found = {(i[0], i[1], i[3], i[4]) for i in markdown.items("p", text) if i[0] not in ("body", "heading")}
+    assert found == {
+        ("label", "A-1", "definition", 1), ("label", "A-2", "DependsOn", 3), ("label", "A-3", "Cites", 3), ("code", "src/a.rs", "Cites", 4), ("ref", "other.md", "Cites", 4),
+        ("ref", "wiki", "Cites", 4), ("label", "A-4", "Cites", 6), ("label", "A-10", "Cites", 16), ("ref", "section:4.2", "Cites", 17), ("code", "src/B.RS", "Cites", 17),
+    }
+    assert [(i[1], i[4]) for i in markdown.items("p", text) if i[0] == "heading"] == [("Title A-1", 1), ("End", 19)]
+    assert not [i for i in markdown.items("p", "tools/x.py") if i[0] == "code"] and [i for i in markdown.items("p", "tools/x.py", ("tools",)) if i[0] == "code"]
+
+
 def test_markdown_content(extracted):
     assert ("docs/plan.md", "owner", "me", "authored_unmodeled") in pairs(extracted["meta"], "handle", "key", "value", "role")
     s = {r.id: (r.start_line, r.end_line, r.summary) for r in extracted["span"].collect()}

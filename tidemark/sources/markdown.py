@@ -13,18 +13,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import schema
+from . import frontmatter, schema
 
 #: Patterns of references in bodies.
 LABEL = re.compile(r"([A-Z][A-Z_]*(?:-[A-Z][A-Z_]*)*)-(\d+)")
 SECTION = re.compile(r"§(\d+(?:\.\d+)*)")
 FILE = re.compile(r"([a-z0-9_/-]+\.md)\b")
 CODE = re.compile(r"(?P<path>[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.-]+)+)(?::(?P<start>\d+)(?:-(?P<end>\d+))?(?::\d+)?)?")
-LINK = re.compile(r"\[[^\]]*\]\(([^)\s]+)[^)]*\)")
+LINK = re.compile(r"\[([^\[\]]*)\]\(\s*<?([^()\s>]+)>?[^()]*\)")
 #: Words of a line that make its references dependencies.
 DEPENDING = ("incorporates", "builds on", "extends")
 #: First folders of a path that is taken for code.
 CODE_ROOTS = ("crates", "lib", "src", "app", "test", "priv", "native")
+#: First folders of a path that is never taken for code.
+EXCLUDED_ROOTS = ("_build", "target", "node_modules")
 #: File name extensions of code.
 CODE_EXTENSIONS = {
     "agda", "c", "cc", "cpp", "cs", "css", "ex", "exs", "go", "h",
@@ -38,65 +40,127 @@ _ITEM = "path string, what string, a string, b string, kind string, line long, u
 _NAMES = ["path", "what", "a", "b", "kind", "line", "until", "inverse"]
 
 
-def front_matter(lines: list[str]) -> tuple[dict[str, list[str]], int]:
-    """Keys with their values (a subset of YAML: scalars, flow and block lists), and the number of lines taken."""
-    if not lines or lines[0].strip() != "---":
-        return {}, 0
-    end = next((i for i in range(1, len(lines)) if lines[i].strip() in ("---", "...")), None)
-    if end is None:
-        return {}, 0
-    out: dict[str, list[str]] = {}
-    key = None
-    clean = lambda v: v.strip().strip("\"'")
-    for line in lines[1:end]:
-        if m := re.match(r"([A-Za-z0-9_-]+):\s*(.*?)\s*(?:\s#.*)?$", line):
-            key, value = m[1], m[2]
-            if value.startswith("[") and value.endswith("]"):
-                out[key] = [clean(v) for v in value[1:-1].split(",") if v.strip()]
-            else:
-                out[key] = [clean(value)] if value else []
-        elif key and (m := re.match(r"\s*-\s+(.*)$", line)):
-            out[key].append(clean(m[1]))
-    return out, end + 1
-
-
-def items(path: str, text: str):
-    """(what, a, b, kind, line, until, inverse) of one document."""
+#: What opens and closes a code block, what opens a list item, and what underlines a heading.
+_FENCE = re.compile(r" {0,3}(`{3,}(?=[^`]*$)|~{3,})")
+_LISTED = re.compile(r"\s*(?:[-*+]|\d{1,9}[.)])(?:\s|$)")
+_ATX = re.compile(r" {0,3}#{1,6}(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
+_UNDERLINE = re.compile(r" {0,3}(?:=+|-+)[ \t]*$")
+_QUOTE = re.compile(r"^(?: {0,3}> ?)+")
+_TICKS = re.compile(r"(?<!`)(`+)(?!`)(.+?)(?<!`)\1(?!`)")
+_WIKI = re.compile(r"\[\[([^\[\]|]+)(?:\|([^\[\]]*))?\]\]")
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:|//")
+_BEFORE_CODE = re.compile(r"[/:.\-_#@A-Za-z0-9]$")
+
+
+def blocks(lines: list[str], skip: int):
+    """(line of the block, whether it is a heading, [(line, text)]) of the blocks of text after the first lines: paragraphs,
+    list items, table rows and headings. Code blocks, fenced or indented, are left out."""
+    held: list[tuple[int, str]] = []
+    fence, listed, after_blank, plain, quoted = "", False, True, False, False
+    for n, line in enumerate(lines[skip:], skip + 1):
+        line = line.rstrip("\r")
+        if fence:
+            m = _FENCE.match(line)
+            if m and m[1].startswith(fence) and not line.strip().strip(fence[0]):
+                fence, after_blank = "", True
+            continue
+        text = _QUOTE.sub("", line)
+        was_quoted, quoted = quoted, text != line
+        opens, heading, row = _FENCE.match(text), _ATX.match(text), text.lstrip().startswith("|")
+        # Underlined paragraphs are headings; under anything else the line is a rule.
+        if _UNDERLINE.match(text) and (held or text.lstrip()[0] == "-"):
+            if held:
+                yield held[0][0], plain and quoted == was_quoted, held
+            held, after_blank = [], True
+            continue
+        indented = not held and after_blank and not listed and text.startswith(("    ", "\t"))
+        item = _LISTED.match(text)
+        if held and (opens or heading or item or row or not text.strip() or quoted > was_quoted):
+            yield held[0][0], False, held
+            held = []
+        if opens:
+            fence = opens[1]
+        elif heading:
+            listed, after_blank = False, True
+            yield n, True, [(n, heading[1] or "")]
+        elif not text.strip():
+            after_blank = True
+        elif not indented:
+            if item:
+                listed = True
+            elif after_blank and not text.startswith(" "):
+                listed = False
+            if not held:
+                plain = not item and not row and not listed
+            after_blank = False
+            held.append((n, text))
+    if held:
+        yield held[0][0], False, held
+
+
+def _code_paths(text: str, roots: tuple[str, ...]):
+    """Matches of paths to code: below a known folder, not inside a longer word or address."""
+    for m in CODE.finditer(text):
+        path, before = m["path"], text[: m.start()]
+        root, ext = path.split("/")[0], path.rsplit(".", 1)[-1].lower()
+        if root in roots and root not in EXCLUDED_ROOTS and ext in CODE_EXTENSIONS and "..." not in path and not _BEFORE_CODE.search(before):
+            yield m
+
+
+def _references(text: str, line: int, roots: tuple[str, ...]):
+    """The text that is left to be searched, and the references of links and code spans in it as items."""
+    out = []
+
+    def code(m) -> str:
+        out.extend(_code_item(c, line) for c in _code_paths(m[2], roots))
+        return ""
+
+    def wiki(m) -> str:
+        out.append(("ref", m[1].strip(), "wiki", "Cites", line, None, False))
+        return m[2] if m[2] is not None else ""
+
+    def link(m) -> str:
+        target = m[2].split("#")[0]
+        if target and not _SCHEME.match(m[2]):
+            paths = [c for c in _code_paths(target, roots) if c[0] == target]
+            out.extend([_code_item(paths[0], line)] if paths else [("ref", target, "link", "Cites", line, None, False)])
+        return m[1]
+
+    return LINK.sub(link, _WIKI.sub(wiki, _TICKS.sub(code, text))), out
+
+
+def _code_item(m, line: int) -> tuple:
+    return "code", m["path"], m["start"] or "", "Cites", line, int(m["end"] or m["start"] or 0), False
+
+
+def items(path: str, text: str, roots: tuple[str, ...] = CODE_ROOTS):
+    """(what, a, b, kind, line, until, inverse) of one document. The line of a reference is that of its block, that of a
+    link or code span its own."""
     lines = text.split("\n")
-    front, skip = front_matter(lines)
-    for key, values in front.items():
+    front, skip = frontmatter.split(lines)
+    for key, values in frontmatter.parse(front).items():
         for v in values:
             yield "meta", key, v, "authored_modeled" if key in FIELDS or key in ("status", "date", "updated", "title") else "authored_unmodeled", 1, None, None
             if key in FIELDS:
                 yield "ref", v, "front", FIELDS[key][0], 1, None, FIELDS[key][1]
-    heads, fenced = [], False
-    for n, line in enumerate(lines[skip:], skip + 1):
-        if line.lstrip().startswith("```"):
-            fenced = not fenced
-            continue
-        if fenced:
-            continue
-        if m := re.match(r"(#{1,6})\s+(.*?)\s*#*\s*$", line):
-            heads.append((n, m[2]))
-        kind = "DependsOn" if any(k in line.lower() for k in DEPENDING) else "Cites"
-        where = "heading" if heads and heads[-1][0] == n else "body"
-        taken = []
-        for m in LINK.finditer(line):
-            target = m[1].split("#")[0]
-            if target.endswith(".md") and "://" not in target:
-                yield "ref", target, "link", kind, n, None, False
-                taken.append(m.span(1))
-        free = lambda m: not any(a <= m.start() < b for a, b in taken)
-        for m in LABEL.finditer(line):
-            yield "label", f"{m[1]}-{int(m[2])}", m[1], kind if where == "body" else "definition", n, int(m[2]), False
-        for m in SECTION.finditer(line):
-            yield "ref", f"section:{m[1]}", "section", kind, n, None, False
-        for m in filter(free, FILE.finditer(line)):
-            yield "ref", m[1], "path", kind, n, None, False
-        for m in filter(free, CODE.finditer(line)):
-            root, _, ext = m["path"].split("/")[0], None, m["path"].rsplit(".", 1)[-1]
-            if root in CODE_ROOTS and ext in CODE_EXTENSIONS:
-                yield "code", m["path"], m["start"] or "", "Cites", n, int(m["end"] or m["start"] or 0), False
+    heads = []
+    for start, heading, inside in blocks(lines, skip):
+        title = []
+        for n, line in inside:
+            rest, found = _references(line, n, roots)
+            yield from found
+            title.append(rest.strip())
+            kind = "DependsOn" if any(k in rest.lower() for k in DEPENDING) else "Cites"
+            for m in LABEL.finditer(rest):
+                yield "label", f"{m[1]}-{int(m[2])}", m[1], "definition" if heading else kind, start, int(m[2]), False
+            for m in SECTION.finditer(rest):
+                yield "ref", f"section:{m[1]}", "section", kind, start, None, False
+            for m in FILE.finditer(rest):
+                yield "ref", m[1], "path", kind, start, None, False
+            for m in _code_paths(rest, roots):
+                yield _code_item(m, start)
+        if heading and " ".join(title).strip():
+            heads.append((start, " ".join(title).strip()))
     body = "\n".join(lines[skip:])
     yield "body", body, "", "", skip + 1, len(lines), None
     for i, (n, title) in enumerate(heads):
@@ -105,10 +169,14 @@ def items(path: str, text: str):
         yield "heading", title, slug, "\n".join(lines[n - 1 : end]), n, end, None
 
 
-def _parse(batches):
-    for batch in batches:
-        rows = [(path, *item) for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for item in items(path, text or "")]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string()] * 5 + [pa.int64()] * 2 + [pa.bool_()])], names=_NAMES)
+def _parser(roots: tuple[str, ...]):
+    def parse(batches):
+        for batch in batches:
+            texts = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            rows = [(path, *item) for path, text in texts for item in items(path, text or "", roots)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.string()] * 5 + [pa.int64()] * 2 + [pa.bool_()])], names=_NAMES)
+
+    return parse
 
 
 def namespaces(found: DataFrame, force: list[str], rejected: list[str]) -> DataFrame:
@@ -130,10 +198,11 @@ def _normal(path):
     return F.array_join(parts, "/")
 
 
-def extract(files: DataFrame, *, written, corpus: str = "", source: str = "markdown", force: tuple[str, ...] = (), rejected: tuple[str, ...] = (), concerns: dict[str, list[str]] | None = None) -> dict[str, DataFrame]:
+def extract(files: DataFrame, *, written, corpus: str = "", source: str = "markdown", force: tuple[str, ...] = (), rejected: tuple[str, ...] = (), concerns: dict[str, list[str]] | None = None, code_roots: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Relations of the documents: handle, edge, meta, content, span, concern. written: a function that stores
-    a frame and reads it back."""
-    found = written(files.select("path", "text").mapInArrow(_parse, _ITEM))
+    a frame and reads it back. code_roots: further folders whose files are code."""
+    roots = (*CODE_ROOTS, *(r.strip("/") for r in code_roots))
+    found = written(files.select("path", "text").mapInArrow(_parser(roots), _ITEM))
     spark = files.sparkSession
     base = {"corpus": F.lit(corpus), "source": F.lit(source), "revision": F.lit(""), "generation": F.lit(0).cast("long")}
     area = F.when(F.contains("file", F.lit("/")), F.substring_index("file", "/", 1)).otherwise(F.lit("(root)"))
