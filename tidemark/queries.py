@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library_queries
+from . import feature_queries, library_queries
 from .sources.tables import EDGE, HANDLE, engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,17 +100,21 @@ rule("flux", "? flux(h, 90, n), n > 0.", "SELECT h.id AS h, CAST(CASE WHEN h.sta
 rule("time_block", '? at("snapshot:last") { *handle{id: h, status: then} }, *handle{id: h, status: now}, then != now.', "SELECT h.id AS h, h.status AS now, 'draft' AS then FROM h JOIN labels ON h.id = concat('doc/', doc_id, '.md') WHERE h.status IS DISTINCT FROM 'draft'", corpus=True)
 rule("time_block_by_date", '? at("2024-01-11") { *handle{id: h, status: "raw"} }.', "SELECT h.id AS h FROM h JOIN labels ON h.id = concat('doc/', doc_id, '.md')", corpus=True)
 
-# Content and search
+# Content
 
 rule("read_budget", '? *handle{id: h, kind: "file"}, read(h, 200, s, t, a, z, n).', r"SELECT a, h, least(n, 200) AS n, s, CASE WHEN n > 200 THEN concat(substring(text, 1, 800), chr(10), '...') ELSE text END AS t, CAST(len(string_split(text, chr(10))) AS BIGINT) AS z FROM (SELECT CAST(1 AS BIGINT) AS a, id AS h, concat(id, '#full') AS s, text, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM h JOIN documents ON id = concat('doc/', doc_id, '.md'))", corpus=True)
 rule("read_full", '? *handle{id: h, kind: "file"}, token_estimate(h, n), n <= 8000, read_full(h, t).', r"SELECT h, n, t FROM (SELECT id AS h, text AS t, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n FROM h JOIN documents ON id = concat('doc/', doc_id, '.md')) WHERE n <= 8000", corpus=True)
 rule("match_lines", '? *handle{id: h, kind: "file"}, match("^The .*ing", h, l, x).', "SELECT h, CAST(l AS BIGINT) AS l, x FROM (SELECT id AS h, unnest(string_split(text, chr(10))) AS x, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS l FROM h JOIN documents ON id = concat('doc/', doc_id, '.md')) WHERE regexp_matches(x, '^The .*ing')", corpus=True)
-rule("search_ranked", '? (h, s, f) = TopK{ k: 25, key: s : (h, s, f) : search("the thing ering", h, span, s, why, f, low) }.', corpus=True)
 
 # Introspection
 
-rule("schema_rows", '? schema(n, "stored", g, d, p), n starts_with "*t".', corpus=True)
-rule("predicate_docs", '? describe(n, d), n starts_with "currency".', corpus=True, library=True)
+rule("schema_rows", '? schema(n, "stored", g, d, p), n starts_with "*t".', """SELECT 'deterministic' AS d, g, n, 'facts' AS p FROM (VALUES
+  ('*trail{session_id, step, timestamp, actor, corpus, verb, redacted_expr, input_hash, prelude_hash, visibility, retention}', '*trail'),
+  ('*trail_ref{session_id, step, kind, ordinal, corpus, source, handle, span_id, score}', '*trail_ref'),
+  ('*trail_generation{session_id, step, corpus, source, generation}', '*trail_generation')) t(g, n)""", corpus=True)
+rule("predicate_docs", '? describe(n, d), n starts_with "currency".', """SELECT * FROM (VALUES ('Files that another supersedes.', 'currency_superseded'), ('Files that supersede another.', 'currency_successor'),
+  ('Files that nothing supersedes.', 'currency_current'), ('Heads of successions.', 'currency_current_head'), ('superseded, current_head, current or unknown.', 'currency_disposition'),
+  ('Files with a newer, operative sibling, neither superseded.', 'currency_suspect')) t(d, n)""", corpus=True, library=True)
 
 # Standard library
 
@@ -149,5 +153,5 @@ rule("lib_recent_frontier", "? recent_frontier(h, r, d).", corpus=True, library=
 
 # Every predicate of the library, over a project of all shapes
 
-QUERIES |= library_queries.QUERIES
-SQL |= library_queries.SQL
+QUERIES |= library_queries.QUERIES | feature_queries.QUERIES
+SQL |= library_queries.SQL | feature_queries.SQL
