@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import feature_queries, library_queries
+from .library import REGISTRY
 from .sources.tables import EDGE, HANDLE, engine
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def rule(name: str, text: str, sql: str | None = None, *, corpus: bool = False, library: bool = False, limit: int | None = None) -> None:
-    """Registers a query in the rule language and, where it can be stated, its SQL."""
+def rule(name: str, text: str, sql: str | None = None, *, corpus: bool = False, library: bool = False, limit: int | None = None, corpus_sql: bool = True) -> None:
+    """Registers a query in the rule language and, where it can be stated, its SQL; with corpus, h and e are put before
+    it unless it has its own."""
     QUERIES[name] = lambda spark, sf_dir: engine(spark, sf_dir, corpus=corpus, library=library).query(text, limit)
-    if sql:
+    if sql and not corpus_sql:
+        SQL[name] = sql
+    elif sql:
         SQL[name] = (f"WITH RECURSIVE h AS ({HANDLE}), e AS ({EDGE}), " + sql.strip().removeprefix("WITH ")) if corpus and sql.strip().startswith("WITH ") else f"WITH h AS ({HANDLE}), e AS ({EDGE}) {sql}" if corpus else sql
 
 
@@ -144,12 +148,36 @@ rule("lib_primary_entropy", "? primary_entropy(h, s).", _ENTROPY + "SELECT h, s
 rule("lib_frontier", "? frontier(h, n).", _ENTROPY + "SELECT h, n FROM (SELECT h, CAST(sum(w) AS BIGINT) AS n FROM entropy GROUP BY h) ORDER BY n DESC, h LIMIT 25", corpus=True, library=True)
 rule("lib_ranked_work", "? ranked_work(h, n, r).", _ENTROPY + "SELECT h, n, dense_rank() OVER (ORDER BY n DESC) AS r FROM (SELECT h, CAST(sum(w) AS BIGINT) AS n FROM entropy GROUP BY h)", corpus=True, library=True)
 rule("lib_flow", '? flow(h, "advancing").', "SELECT h.id AS h FROM h JOIN labels ON h.id = concat('doc/', doc_id, '.md') WHERE status = 'current'", corpus=True, library=True)
-rule("lib_diagnostic_codes", "code(c, s) := diagnostic(c, s, x, f, l, e). ? code(c, s), n = Count{ x : diagnostic(c, s, x, f, l, e) }.", corpus=True, library=True)
-rule("lib_anchor", "? ranked_anchor(h, r, s, w).", corpus=True, library=True)
-rule("lib_area_health", "? area_health(a, g, f, e, x).", corpus=True, library=True)
-rule("lib_topic_pairs", "? topic_pair(a, b, n).", corpus=True, library=True)
+#: The corpus as the relations that predicates are stated over.
+_CORPUS = {
+    "h": f"SELECT *, 'tables' AS source FROM ({HANDLE})",
+    "e": f"SELECT *, src AS file, 'tables' AS source, row_number() OVER () AS i FROM ({EDGE})",
+    "m": f"SELECT concat('doc/', doc_id, '.md') AS handle, 'quality' AS key, CAST(quality AS VARCHAR) AS value, 'authored_unmodeled' AS role, 'tables' AS source FROM labels UNION ALL SELECT id, 'status', status, 'authored_modeled', 'tables' FROM ({HANDLE}) WHERE kind = 'file' AND status IS NOT NULL",
+    "cfg": "SELECT * FROM (VALUES ('convergence.ordering', 'raw', 0), ('convergence.ordering', 'draft', 1), ('convergence.ordering', 'research', 2), ('convergence.ordering', 'current', 3), ('convergence.active', 'draft', NULL), ('convergence.active', 'current', NULL), ('convergence.terminal', 'superseded', NULL), ('handles.linear', 'C', NULL), ('handles.rejected', 'X', NULL)) AS t(key, value, ordinal)",
+    "concern": "SELECT '' AS name, '' AS member WHERE false",
+    "snap": "SELECT concat('doc/', doc_id, '.md') AS id, snapshot, taken AS at, 'status' AS key, value FROM labels, (VALUES ('s1', '2024-01-10', 'raw'), ('s2', '2024-01-20', 'draft')) t(snapshot, taken, value)",
+    "content": r"SELECT concat('doc/', doc_id, '.md') AS handle, concat('doc/', doc_id, '.md#full') AS span_id, text, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS tokens FROM documents",
+    "mtimes": f"SELECT file, concat(date, 'T12:00:00Z') AS instant FROM ({HANDLE}) WHERE date IS NOT NULL",
+}
+
+
+def _stated(text: str, name: str) -> str:
+    return library_queries.over(text, name, relations=_CORPUS)
+
+
+rule("lib_diagnostic_codes", "code(c, s) := diagnostic(c, s, x, f, l, e). ? code(c, s), n = Count{ x : diagnostic(c, s, x, f, l, e) }.", _stated("SELECT code AS c, count(DISTINCT struct_pack(v := subject)) AS n, severity AS s FROM diagnostic GROUP BY code, severity", "diagnostic"), corpus_sql=False, corpus=True, library=True)
+for _name, _predicate, _text in (
+    ("lib_anchor", "ranked_anchor", "? ranked_anchor(h, r, s, w)."),
+    ("lib_area_health", "area_health", "? area_health(a, g, f, e, x)."),
+    ("lib_topic_pairs", "topic_pair", "? topic_pair(a, b, n)."),
+    ("lib_recent_frontier", "recent_frontier", "? recent_frontier(h, r, d)."),
+):
+    _given = _text[_text.index("(") + 1 : _text.index(")")].split(", ")
+    _sorted = ", ".join(f'"{p}" AS {x}' for x, p in sorted(zip(_given, REGISTRY[_predicate].params, strict=True)))
+    rule(_name, _text, _stated(f"SELECT DISTINCT {_sorted} FROM {_predicate}", _predicate), corpus_sql=False, corpus=True, library=True)
+
+# The statements of std_status_item take the last snapshot for a recent one, which the corpus's is not.
 rule("lib_status", "? status_item(s, h, n, w).", corpus=True, library=True)
-rule("lib_recent_frontier", "? recent_frontier(h, r, d).", corpus=True, library=True)
 
 # Every predicate of the library, over a project of all shapes
 
