@@ -226,6 +226,33 @@ def test_many_variants_of_one_text_take_few_tiles(documents, monkeypatch):
     assert tiles[0] < 400  # of 40 chunks and more there are 820 pairs
 
 
+def test_tiles_go_in_rounds(documents, monkeypatch):
+    """Tiles that send more than a bound go one part after the other, with the same components."""
+    rng = random.Random(31)
+    base = prose(rng, 80, 500).split()
+    texts = [" ".join(base[:i] + [f"e{i}"] + base[i + 1 :]) for i in range(0, 80, 2)] + [" ".join(base[:40] + prose(rng, 60, 500).split()) for _ in range(5)]
+    names, real = [], jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, name: names.append(name) or real(df, name))
+    for name, value in (("ROUND_SIGNS", 0), ("ROUND_TEXTS", 0), ("LEAST_ROUND", 1200)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_classes(documents([(i, t, "en", "s", 0) for i, t in enumerate(texts)]), sketch_bits=10).collect()}
+    assert got == plain_components(list(enumerate(texts)))
+    assert names.count("members") > 2 and names.count("links") > 2
+
+
+def test_sketch_grows_with_the_input(spark):
+    bits = lambda n: jaccard.sketch_bits_of(spark.range(n).select(F.col("id").cast("string").alias("text")))
+    assert (bits(10), bits(10**9)) == (19, 24)
+
+
+def test_sketch_counts(documents):
+    docs = documents([(i, "a b c d" + " x" * (i % 2), "en", "s", 0) for i in range(400)])
+    one = next(jaccard.shingle_sets(pa.array(["a b c d"]), 4))
+    cells = jaccard._sketch(docs, "text", 4, 12)
+    assert cells[int(one[0] >> np.uint64(52))] == int(np.ceil(6 * np.log2(401)))
+    assert sorted(cells[cells > 0].tolist()) == [int(np.ceil(6 * np.log2(n + 1))) for n in (200, 400)]
+
+
 def test_jaccard_odd_rows(documents):
     docs = documents([(5, "a b c d e", None, None, None), (5, "a b c d e", None, None, None), (None, "a b c d e", None, None, None), (3, "A b c d e", None, None, None), (9, None, None, None, None)])
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.link_classes(docs).collect()), key=repr)

@@ -5,7 +5,8 @@ sets reaches a threshold. For any total order of all shingles, two sets of n and
 share a shingle among the first `n - ceil(t * n) + 1` of the one and `m - ceil(t * m) + 1` of the other; this
 holds for each order on its own, so a pair has to pass the filter of every order before it is verified:
 
-* order 0 puts rare shingles first, by a count sketch of fixed size over the shingles of all documents;
+* order 0 puts rare shingles first, by a count sketch over the shingles of all documents, with a cell for some bytes of
+  the input and 2 ** 24 cells at most: too few cells hide the shingles that dozens of documents share;
 * orders 1 and 2 are two independent pseudo-random permutations.
 
 Order 0 generates candidates (its prefixes are joined on shingles), in a way that no large group is ever
@@ -25,7 +26,9 @@ gathered or expanded into pairs:
    classes without a partner that this bound allows leave the tile.
 5. Then it gets texts: the prefix filters of all orders and the sizes are intersected, pairs that pass are
    verified exactly on their shingle sets, and pairs already connected inside the tile need no verification. A
-   tile returns a spanning forest of the links found, never all pairs.
+   tile returns a spanning forest of the links found, never all pairs. Tiles go in rounds, one after the other, dealt
+   by hash: those of a round send some multiple of all signatures, then of all texts, so that disk is bounded however
+   many tiles there are.
 6. Links become components by alternating large-star and small-star steps.
 
 Every linked pair shares a prefix shingle, so its classes meet in a tile or are connected before, and both ends get one
@@ -40,6 +43,7 @@ from __future__ import annotations
 
 import zlib
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,8 +56,15 @@ from ._shared import small_batches, written
 
 K = 4
 THRESHOLD = (85, 100)
-SKETCH_BITS = 19
+#: Least and most bits of a cell's number in the sketch, and bytes of the input a cell.
+SKETCH_BITS = (19, 24)
+CELL_BYTES = 32
 BLOCKS = 128
+#: A round of tiles sends so many times the signatures of all classes, or texts of so many times the shingles of all, and
+#: LEAST_ROUND bytes of signatures or shingles at least.
+ROUND_SIGNS = 8
+ROUND_TEXTS = 1
+LEAST_ROUND = 256 << 20
 CHUNK_DOCS = 128
 CHUNK_SHINGLES = 50_000
 PAIRED = 32
@@ -84,42 +95,53 @@ def prefix_length(n: int, threshold: tuple[int, int]) -> int:
     return n - -(-threshold[0] * n // threshold[1]) + 1 if n else 0
 
 
+def sketch_bits_of(docs: DataFrame) -> int:
+    """Bits for a sketch of these texts, by the planner's estimate of their size."""
+    least, most = SKETCH_BITS
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(max(least, (size // CELL_BYTES).bit_length()), most)
+
+
+def _pack(cells: np.ndarray) -> bytes:
+    """Counts as compressed integers of the smallest size."""
+    kind = np.min_scalar_type(int(cells.max()))
+    return bytes([kind.itemsize]) + zlib.compress(cells.astype(kind).tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), f"u{packed[0]}")
+
+
 def _sketch(docs: DataFrame, text: str, k: int, bits: int) -> np.ndarray:
-    """Twice the logarithm of the number of documents with a shingle in each of 2**bits cells. Every task of the scan
+    """Six times the logarithm of the number of documents with a shingle in each of 2**bits cells. Every task of the scan
     counts into cells of its own and sends them as BLOCKS packed arrays, which are added up in three steps of at most
     some hundred arrays a group, for up to millions of tasks."""
     size, shift = 1 << bits, np.uint64(64 - bits)
     blocks = min(BLOCKS, size)
-    pack = lambda x: zlib.compress(x.tobytes(), 1)
 
     def count(batches):
-        cells, held, n = np.zeros(size, np.int64), [], 0
+        cells = np.zeros(size, np.uint32)
         for batch in batches:
             for one in shingle_sets(batch.column(0), k):
-                held.append(one)
-                n += len(one)
-                if n >= size:
-                    cells += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=size)
-                    held, n = [], 0
-        if n:
-            cells += np.bincount((np.concatenate(held) >> shift).astype(np.int64), minlength=size)
-        parts = cells.reshape(blocks, -1)
-        some = np.flatnonzero(parts.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([TaskContext.get().partitionId()] * len(some), pa.int32()), pa.array([pack(parts[i]) for i in some], pa.binary())], names=["block", "task", "cells"])
+                np.add.at(cells, (one >> shift).astype(np.int64), np.uint32(1))
+        task = TaskContext.get().partitionId()
+        for i, part in enumerate(cells.reshape(blocks, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([task], pa.int32()), pa.array([_pack(part)], pa.binary())], names=["block", "task", "cells"])
 
     def add(key, table):
         total = np.zeros(size // blocks, np.int64)
         for x in table["cells"]:
-            total += np.frombuffer(zlib.decompress(x.as_py()), np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([pack(total)], pa.binary())})
+            total += _unpack(x.as_py())
+        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "task": pa.array([key[1].as_py()], pa.int32()), "cells": pa.array([_pack(total)], pa.binary())})
 
     found = docs.select(text).mapInArrow(count, "block int, task int, cells binary")
     for _ in range(3):
         found = found.withColumn("task", F.expr("cast(task div 128 as int)")).groupBy("block", "task").applyInArrow(add, "block int, task int, cells binary")
-    out = np.zeros((blocks, size // blocks))
+    out = np.zeros((blocks, size // blocks), np.uint8)
     for r in found.collect():  # BLOCKS rows, for up to 128 ** 3 tasks
-        out[r.block] += np.frombuffer(zlib.decompress(r.cells), np.int64)
-    return np.ceil(2 * np.log2(out.ravel() + 1)).astype(np.uint8)
+        out[r.block] = np.minimum(np.ceil(6 * np.log2(_unpack(bytes(r.cells)) + 1.0)), 255)
+    return out.ravel()
 
 
 def _prefix(one: np.ndarray, order: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
@@ -167,9 +189,20 @@ def _sift(members: DataFrame, threshold) -> DataFrame:
     def sift(key, table):
         signs = [np.frombuffer(x, np.uint32) for x in table["sig"].to_pylist()]
         keep = _allowed(signs, table["n"].to_numpy(), np.array(table["left"].to_pylist()), key[2].as_py(), threshold)
-        return table.drop_columns(["n", "sig"]).filter(pa.array(keep))
+        return table.drop_columns(["sig"]).filter(pa.array(keep))
 
-    return members.groupBy("c1", "c2", "across", "hot").applyInArrow(sift, "doc long, c1 long, c2 long, across boolean, left boolean, hot boolean")
+    return members.groupBy("c1", "c2", "across", "hot").applyInArrow(sift, "doc long, c1 long, c2 long, across boolean, left boolean, hot boolean, n long")
+
+
+def _rounds(tiles: DataFrame, total: int, most: int) -> list[DataFrame]:
+    """Rows with c1 and c2, dealt by tile into rounds, as many as a total needs of which a round takes `most`."""
+    n = max(1, -(-total // most))
+    place = F.pmod(F.xxhash64(F.lit("round"), "c1", "c2"), F.lit(n))
+    return [tiles.where(place == i) if n > 1 else tiles for i in range(n)]
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.union, frames)
 
 
 def _signatures(docs: DataFrame, doc_id: str, text: str, k: int, threshold, sketch, bits: int) -> DataFrame:
@@ -417,11 +450,9 @@ def components(links: DataFrame, *, most: int = 60) -> DataFrame:
 
 
 @contextmanager
-def _bloom_filters(spark: SparkSession):
-    """Lets Spark use runtime Bloom filters whatever the size of the filtered side."""
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+def _setting(spark: SparkSession, name: str, value: str):
     before = spark.conf.get(name, None)
-    spark.conf.set(name, "0")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
@@ -431,9 +462,20 @@ def _bloom_filters(spark: SparkSession):
             spark.conf.set(name, before)
 
 
-def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int = SKETCH_BITS, chunk_docs: int = CHUNK_DOCS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
-    """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id of every row."""
+def _bloom_filters(spark: SparkSession):
+    """Lets Spark use runtime Bloom filters whatever the size of the filtered side."""
+    return _setting(spark, "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+
+
+def _shuffles_dropped(spark: SparkSession):
+    """Lets Spark remove the shuffle files of each job when it ends, not when the driver collects its garbage."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, k: int, threshold, sketch_bits: int | None, chunk_docs: int, chunk_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of signatures, classes, and components of the classes' smallest documents."""
     small_batches(docs.sparkSession)
+    sketch_bits = sketch_bits or sketch_bits_of(docs.select(text))
     sketch = _sketch(docs, text, k, sketch_bits)
     signed = written(_signatures(docs, doc_id, text, k, threshold, sketch, sketch_bits), "signatures")
     known = signed.where("doc is not null and n > 0")
@@ -460,16 +502,30 @@ def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     texts = docs.select(F.col(doc_id).cast("long").alias("doc"), F.col(text).alias("text"))
 
-    def links_of(tiled: DataFrame) -> DataFrame:
-        wanted = tiled.join(classes, "h1").select(F.col("rep").alias("doc"), "c1", "c2", (F.col("c1") != F.col("c2")).alias("across"), "left", "hot", "n", "sig")
-        wanted = written(_sift(wanted, threshold), "members")
-        # Chunks are ordered, so the condition always holds; with it Spark may send a Bloom filter of the members to
-        # the scan of the texts, so that the texts of other documents are not shuffled.
-        members = texts.join(wanted.where("c1 <= c2"), "doc")
-        with _bloom_filters(docs.sparkSession):
-            return written(_links(members, k, threshold, sketch, sketch_bits), "links")
-
-    links = links_of(paired.union(alone))
+    whole = classes.agg(F.count("*").alias("count"), F.sum(F.length("sig")).alias("signs"), F.sum("n").alias("n")).first()
+    signs, shingles = whole.signs or 0, whole.n or 0
+
+    def links_of(rounds: list[DataFrame]) -> DataFrame:
+        """rounds: c1, c2, left, hot, rep, n, sig of the members of tiles."""
+        wanted = []
+        for members in rounds:
+            members = members.select(F.col("rep").alias("doc"), "c1", "c2", (F.col("c1") != F.col("c2")).alias("across"), "left", "hot", "n", "sig")
+            wanted.append(written(_sift(members, threshold), "members"))
+        wanted = _union(wanted)
+        sent = wanted.agg(F.sum("n")).first()[0] or 0
+        links = []
+        for some in _rounds(wanted.drop("n"), sent, max(ROUND_TEXTS * shingles, LEAST_ROUND)):
+            # Chunks are ordered, so the condition always holds; with it Spark may send a Bloom filter of the members to
+            # the scan of the texts, so that the texts of other documents are not shuffled.
+            members = texts.join(some.where("c1 <= c2"), "doc")
+            with _bloom_filters(docs.sparkSession):
+                links.append(written(_links(members, k, threshold, sketch, sketch_bits), "links"))
+        return _union(links)
+
+    most = max(ROUND_SIGNS * signs, LEAST_ROUND)
+    placed = written(paired.union(alone), "placed")
+    sent = placed.count() * signs // max(1, whole["count"])
+    links = links_of([some.join(classes, "h1") for some in _rounds(placed, sent, most)])
     found = components(links)
     known = classes.select("h1", "rep").join(found, F.col("rep") == F.col("node"), "left").select("h1", F.coalesce("component", "rep").alias("component"))
     anew = written(_anew(close, known, chunk_docs, chunk_shingles), "anew")
@@ -477,12 +533,20 @@ def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     tiles = written(_meeting(seen), "tiles")
     if not tiles.isEmpty():
         sides = F.when(F.col("c1") == F.col("c2"), F.array(F.struct(F.col("c1").alias("chunk"), F.lit(True).alias("left")))).otherwise(F.array(F.struct(F.col("c1").alias("chunk"), F.lit(True).alias("left")), F.struct(F.col("c2").alias("chunk"), F.lit(False).alias("left"))))
-        tiled = tiles.select("c1", "c2", F.explode(sides).alias("e")).select("e.chunk", "c1", "c2", "e.left").join(anew.select("h1", "chunk"), "chunk").select("h1", "c1", "c2", "left", F.lit(True).alias("hot"))
-        more = links_of(tiled)
+        sides = tiles.select("c1", "c2", F.explode(sides).alias("e")).select("e.chunk", "c1", "c2", "e.left", F.lit(True).alias("hot"))
+        filled = written(anew.select("h1", "chunk").join(classes, "h1").select("chunk", "rep", "n", "sig"), "filled")
+        sent = sides.join(filled.groupBy("chunk").agg(F.sum(F.length("sig")).alias("signs")), "chunk").agg(F.sum("signs")).first()[0] or 0
+        more = links_of([some.join(filled, "chunk") for some in _rounds(sides, sent, most)])
         if not more.isEmpty():
             # Components found so far are links of their members.
             found = components(more.union(found.select("node", "component")))
+    return signed, classes, found
 
+
+def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = K, threshold: tuple[int, int] = THRESHOLD, sketch_bits: int | None = None, chunk_docs: int = CHUNK_DOCS, chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+    """doc_id, n_shingles, class_id (smallest doc_id with the same set) and component_id of every row."""
+    with _shuffles_dropped(docs.sparkSession):
+        signed, classes, found = _linked(docs, doc_id, text, k, threshold, sketch_bits, chunk_docs, chunk_shingles)
     labelled = classes.join(found, classes.rep == found.node, "left").select("h1", "h2", "rep", F.coalesce("component", "rep").alias("component"))
     out = signed.where("n > 0").join(labelled, ["h1", "h2"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.col("rep")).alias("class_id"), F.when(F.col("doc").isNotNull(), F.col("component")).alias("component_id"))
     return out.union(signed.where("n = 0").select("doc", "n", "doc", "doc"))
