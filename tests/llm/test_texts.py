@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import _words as W
-from tidemark.llm import decontaminate, jaccard, language, quality, secrets
+from tidemark.llm import _shared, decontaminate, jaccard, language, quality, secrets
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -240,6 +240,14 @@ def test_tiles_go_in_rounds(documents, monkeypatch):
     assert names.count("members") > 2 and names.count("links") > 2
 
 
+def test_one_of_each_leaves_one_table(documents, monkeypatch, tmp_path):
+    docs = documents([(1, "a b c d e", "en", "s", 0), (2, "a b c d e", "en", "s", 0), (3, "f g h i", "en", "s", 0)])
+    monkeypatch.setattr(_shared, "shared_dir", lambda spark: f"file://{tmp_path}")
+    kept = jaccard.one_of_each(docs)
+    assert len(list(tmp_path.iterdir())) == 1
+    assert {r.doc_id for r in kept.collect()} == {1, 3}
+
+
 def test_sketch_grows_with_the_input(spark):
     bits = lambda n: jaccard.sketch_bits_of(spark.range(n).select(F.col("id").cast("string").alias("text")))
     assert (bits(10), bits(10**9)) == (19, 24)

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 WRITE_BYTES = 256 << 20
+#: Folders made, for each `last_kept` that is open.
+_OPEN: list[list] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +36,8 @@ def new_path(spark: SparkSession, name: str) -> str:
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(at.getParent())
     fs.deleteOnExit(at.getParent())
+    for made in _OPEN:
+        made.append((fs, at.getParent()))
     return path
 
 
@@ -48,6 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def last_kept():
+    """Removes the tables written inside when it ends, but for the last one: no frame may still read the others."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for fs, folder in _OPEN.pop()[:-1]:
+            fs.delete(folder, True)
+
+
 #: Bytes of an Arrow batch of whole texts.
 BATCH_BYTES = 4 << 20
 

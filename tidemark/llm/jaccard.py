@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._shared import small_batches, written
+from ._shared import last_kept, small_batches, written
 
 K = 4
 THRESHOLD = (85, 100)
@@ -555,7 +555,10 @@ def link_classes(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without those whose component has a smaller doc_id; rows with a null doc_id stay, and of rows that
     repeat a doc_id all stay."""
-    gone = link_classes(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_td_gone")).distinct()
+    with last_kept():
+        found = link_classes(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("_td_gone")).distinct()
+        with _shuffles_dropped(docs.sparkSession):
+            gone = written(found, "gone")
     return docs.join(gone, docs[options.get("doc_id", "doc_id")] == gone["_td_gone"], "left_anti")
 
 
