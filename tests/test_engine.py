@@ -305,3 +305,15 @@ def test_against_plain_evaluation(engine):
         got = rows(engine.query(text + "? e(x, y), e(y, z), not f(z), n = Count{ w : e(z, w), w != x }."))
         want = sorted(((len({w for zz, w in e if zz == z and w != x}), x, y, z) for x, y in e for yy, z in e if yy == y and (z,) not in f), key=repr)
         assert got == want
+
+
+def test_large_ids_are_not_broadcast(spark, engine):
+    # 200,000 ids: less than 2 MB of files, and some 20 MB in memory.
+    ids = lambda name: engine.register(name, engine.written(spark.range(200_000).selectExpr("concat('doc/', id, '.md') AS k")))
+    ids("one"), ids("two")
+    engine.register("few", spark.range(5).selectExpr("concat('doc/', id, '.md') AS k"))
+    joined = lambda a, b: engine.query(f"? *{a}{{k: k}}, *{b}{{k: k}}.")
+    kind = lambda df: df._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    both, some = joined("one", "two"), joined("one", "few")
+    assert len(both.collect()) == 200_000 and "BroadcastHashJoin" not in kind(both)
+    assert len(some.collect()) == 5 and "BroadcastHashJoin" in kind(some)

@@ -25,6 +25,9 @@ from .sources import config, schema
 
 #: Bytes that one task writes, about, by the planner's estimate.
 WRITE_BYTES = 256 << 20
+#: Bytes that a join broadcasts at most: counted while the query runs, and as the planner estimates them. It takes a table
+#: for the size of its compressed files, of which ids fill twenty times as much memory.
+BROADCAST_BYTES = {"spark.sql.adaptive.autoBroadcastJoinThreshold": 1 << 20, "spark.sql.autoBroadcastJoinThreshold": 256 << 10}
 CAPABILITIES = ("Read", "ReadFull", "Search", "Match", "Eval", "TrailPrivateRead", "Extract")
 
 
@@ -70,6 +73,16 @@ def primitives() -> dict[str, Primitive]:
     return {x.name: x for x in known}
 
 
+def bound_broadcasts(spark: SparkSession) -> None:
+    """Lowers the session's bounds of broadcasts to BROADCAST_BYTES; lower ones, or none at all (-1), stay. Results don't
+    depend on them. As plans run later, the settings stay."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most in BROADCAST_BYTES.items():
+        given = spark.conf.get(name, None) or spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        if not given.startswith("-") and size(given) > most:
+            spark.conf.set(name, str(most))
+
+
 def _bound(atom, values_: dict):
     """An atom with verb_arg("name", term) put as term = value, which keeps each argument's own type."""
     if isinstance(atom, S.Call) and atom.name == "verb_arg" and len(atom.args) == 2 and isinstance(atom.args[0], S.Lit) and atom.args[0].value in values_:
@@ -84,6 +97,7 @@ class Engine:
 
     def __init__(self, spark: SparkSession, *, evaluation_day: int | None = None, capabilities: tuple[str, ...] = CAPABILITIES):
         self.spark, self.day = spark, time.today() if evaluation_day is None else evaluation_day
+        bound_broadcasts(spark)
         self.capabilities = set(capabilities)
         self.relations: dict[str, DataFrame] = {}
         self.pending: dict[str, Callable[[], DataFrame]] = {}
