@@ -609,8 +609,10 @@ class Compiler:
         if set(given) - set(allowed) or set(allowed) - set(given):
             raise RuleProblem(f"{atom.fn} takes {', '.join(allowed) or 'no arguments'}; it is given {', '.join(given) or 'none'}")
         keys = sorted(self.keys(atom, set(frame.names)))
-        seed = Frame(frame.df.select(*[f"v_{k}" for k in keys]).distinct(), tuple(keys)) if keys else Frame(None)
-        inner = self.body(atom.body, seed)
+        inner = self.alone(atom, frame, keys)
+        if inner is None:
+            seed = Frame(frame.df.select(*[f"v_{k}" for k in keys]).distinct(), tuple(keys)) if keys else Frame(None)
+            inner = self.body(atom.body, seed)
         if inner.df is None:
             raise RuleProblem(f"{atom.fn} has an empty body")
         groups = [F.col(f"v_{k}") for k in keys]
@@ -644,6 +646,18 @@ class Compiler:
             return Frame(df.select(F.lit(True).alias("_one")), ())
         return Frame(df.select(*[F.col(f"v_{n}") for n in names]), tuple(names))
 
+    def alone(self, atom: S.Aggregate, frame: Frame, keys: list[str]) -> Frame | None:
+        """The body of a summary over one stored relation that has the keys itself: grouped as it is, tasks add up their
+        own rows before they are dealt out, and a key of very many rows is in no single task. None: another body."""
+        if not keys or atom.fn in S.WITH_ARGUMENTS or atom.fn == "List" or len(atom.body) != 1 or not isinstance(atom.body[0], S.Stored):
+            return None
+        terms = terms_of(atom.body[0])
+        if not isinstance(atom.value, (S.Var, S.Lit)) or not all(isinstance(t, (S.Var, S.Lit, S.Wild)) for t in terms) or not set(keys) <= direct(terms):
+            return None
+        own = self.body(atom.body)
+        # Equality of different kinds is the join's affair.
+        return own if all(own.type(k) == frame.type(k) for k in keys) else None
+
     def summary(self, fn: str, value: Column, kind: T.DataType) -> tuple[Column, T.DataType]:
         if fn == "Count":
             # In a struct, so that null is a value like any other.
@@ -654,6 +668,9 @@ class Compiler:
             if fn == "Avg":
                 return F.avg(value.cast("double")), T.DoubleType()
             return (V.saturated_sum(value), T.LongType()) if V.kind(kind) == "int" else (F.sum(value), T.DoubleType())
+        if fn in ("Min", "Max") and V.kind(kind) in ("bool", "int", "float"):
+            # Without structs rows are hashed, not sorted. Null is the least value.
+            return F.max(value) if fn == "Max" else F.when(F.count(value) == F.count("*"), F.min(value)), kind
         one = F.struct(value.alias("v"))
         if fn in ("Min", "Max"):
             return (F.min(one) if fn == "Min" else F.max(one))["v"], kind
