@@ -1,7 +1,9 @@
 """What one task holds and what plans read, for steps that grew with the input."""
 
 import math
+import re
 
+from tidemark.sources import schema, store
 
 
 def optimized(df):
@@ -22,3 +24,19 @@ def test_summaries_are_hashed_where_they_lie(spark, engine):
     engine.register("w", spark.createDataFrame([(3,), (9,)], "n long"))
     engine.register("y", spark.createDataFrame([(3.0, 1)], "f double, v long"))
     assert [(r.n, r.m) for r in engine.query("? *w{n: n}, m = Count{ v : *y{f: n, v: v} }, n > 5.").collect()] == [(9, 0)]
+
+
+def test_snapshots_are_dealt_by_their_rows(spark, engine, monkeypatch):
+    monkeypatch.setattr(store, "TASK_ROWS", 100)
+    row = lambda i, s: {"corpus": "c", "source": "s", "native_id": str(i), "id": str(i), "kind": "file", "status": s}
+    engine.facts("handle", [row(i, "draft") for i in range(300)] + [row(7, "draft")])
+    handle, none = engine.relation("handle"), spark.createDataFrame([], schema.schema("snapshot"))
+    one = engine.written(store.take_snapshot(handle, none, "s1", "2026-01-01"))
+    assert one.count() == len({(r.id, r.key, r.value) for r in one.collect()}) == 600
+    assert store.take_snapshot(handle, one, "s1b", "2026-01-02") is one
+    engine.facts("handle", [row(i, "draft" if i else "done") for i in range(300)])
+    two = store.take_snapshot(engine.relation("handle"), one, "s2", "2026-01-03")
+    assert two.count() == 1200
+    assert re.search(r"hashpartitioning\(corpus#\d+, id#\d+, 22\), REPARTITION_BY_NUM", two._jdf.queryExecution().executedPlan().toString())
+    # A row that went is a change as well.
+    assert store.take_snapshot(engine.relation("handle").where("id <> '9'"), two, "s3", "2026-01-04").count() == 1200 + 598

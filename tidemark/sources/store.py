@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import schema
 
 MOST_SNAPSHOTS = 100
+#: Rows of snapshots that one task holds, about.
+TASK_ROWS = 250_000
 #: Handle fields that a snapshot keeps.
 KEPT = ("kind", "status", "namespace", "file", "date", "area", "summary")
 
@@ -70,11 +72,15 @@ def take_snapshot(handle: DataFrame, history: DataFrame, name: str, at: str | No
     """History with a snapshot of the handles, unless the last one has the same state; only the latest
     MOST_SNAPSHOTS snapshots stay."""
     at = at or datetime.datetime.now(datetime.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    now = state(handle).distinct()
+    # Dealt by handle, into as many partitions as the rows need: none has more than TASK_ROWS, about.
+    parts = max(int(handle.sparkSession.conf.get("spark.sql.shuffle.partitions")), handle.count() * len(KEPT) // TASK_ROWS + 1)
+    now = state(handle.select("corpus", "id", *KEPT).repartition(parts, "corpus", "id")).distinct()
     last = history.select("snapshot", "at").distinct().orderBy(F.desc("at"), F.desc("snapshot")).first()
     if last:
-        before = history.where(F.col("snapshot") == last.snapshot).select("corpus", "id", "key", "value").distinct()
-        if now.exceptAll(before).isEmpty() and before.exceptAll(now).isEmpty():
+        before = history.where(F.col("snapshot") == last.snapshot).select("corpus", "id", "key", "value")
+        both = state(handle).withColumn("now", F.lit(True)).union(before.withColumn("now", F.lit(False))).repartition(parts, "corpus", "id")
+        # One grouping finds rows of only one of them.
+        if both.groupBy("corpus", "id", "key", "value").agg(F.min("now").alias("a"), F.max("now").alias("b")).where("a = b").isEmpty():
             return history
     fresh = now.select("corpus", F.lit(name).alias("snapshot"), F.lit(at).alias("at"), "id", "key", "value")
     both = history.select(*fresh.columns).union(fresh)
