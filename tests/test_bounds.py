@@ -3,6 +3,9 @@
 import math
 import re
 
+from corpus import fill
+
+from tidemark.operators import search
 from tidemark.sources import schema, store
 
 
@@ -40,3 +43,8 @@ def test_snapshots_are_dealt_by_their_rows(spark, engine, monkeypatch):
     assert re.search(r"hashpartitioning\(corpus#\d+, id#\d+, 22\), REPARTITION_BY_NUM", two._jdf.queryExecution().executedPlan().toString())
     # A row that went is a change as well.
     assert store.take_snapshot(engine.relation("handle").where("id <> '9'"), two, "s3", "2026-01-04").count() == 1200 + 598
+
+
+def test_texts_are_scored_once(engine):
+    fill(engine)
+    assert "contains(text" not in optimized(search.ranked(engine, ["jit spec", "open question"])).lower()

@@ -65,10 +65,11 @@ def _cut(w: Column, n: int) -> Column:
     return w.substr(F.lit(1), F.char_length(w) - n)
 
 
-def stem_column(w: Column) -> Column:
+def _shortened(w: Column) -> Column:
+    """stem() but for its last step."""
     n = F.octet_length(w)
     single = lambda c: F.regexp_replace(c, r"(.)\1$", "$1")
-    first = (
+    return (
         F.when((n > 6) & w.endswith("ation"), _cut(w, 5))
         .when((n > 5) & w.endswith("ing"), single(_cut(w, 3)))
         .when((n > 4) & w.endswith("ies"), F.concat(_cut(w, 3), F.lit("y")))
@@ -76,12 +77,20 @@ def stem_column(w: Column) -> Column:
         .when((n > 3) & w.endswith("s"), _cut(w, 1))
         .otherwise(w)
     )
-    return F.when((F.octet_length(first) > 6) & first.endswith("ure"), _cut(first, 1)).otherwise(first)
+
+
+def _unending(w: Column) -> Column:
+    return F.when((F.octet_length(w) > 6) & w.endswith("ure"), _cut(w, 1)).otherwise(w)
+
+
+def stem_column(w: Column) -> Column:
+    return _unending(_shortened(w))
 
 
 def normal_column(text: Column) -> Column:
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.array_join(F.transform(words, stem_column), " ")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+    # The last step reads what the others make three times, so it is a pass of its own.
+    return F.array_join(F.transform(F.transform(words, _shortened), _unending), " ")
 
 
 def query_terms(query: str) -> dict[str, float]:
@@ -155,7 +164,7 @@ def _clamped(c: Column) -> Column:
 
 def ranked(ctx, queries: list[str], texts: DataFrame | None = None) -> DataFrame:
     """All hits of some queries: query, corpus, source, handle, span_id, score, reason, field, low_confidence. The
-    texts are read three times, however many queries there are."""
+    texts are read twice, however many queries there are."""
     for query in queries:
         if not normalise(query):
             raise ValueError("search needs a query with a word")
@@ -176,7 +185,8 @@ def ranked(ctx, queries: list[str], texts: DataFrame | None = None) -> DataFrame
 
     tried = F.array(*[F.struct(F.lit(q).alias("query"), strength(q).alias("raw")) for q in queries])
     hits = texts.withColumn("hit", F.explode(F.filter(tried, lambda x: x["raw"].isNotNull())))
-    hits = hits.select("hit.query", "hit.raw", *[c for c in texts.columns if c != "text"])
+    # Written, as hits and clusters read them: the texts are scored once.
+    hits = ctx.shared(hits.select("hit.query", "hit.raw", *[c for c in texts.columns if c != "text"]))
 
     # A body of the whole document gives way to narrower spans.
     is_full = F.col("span_id") == F.concat(F.col("handle"), F.lit("#full"))
