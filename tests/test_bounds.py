@@ -3,8 +3,11 @@
 import math
 import re
 
+import pytest
 from corpus import fill
 
+from tidemark.library import install, topic
+from tidemark.library.base import Library
 from tidemark.operators import search
 from tidemark.sources import schema, store
 
@@ -13,6 +16,16 @@ def optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+@pytest.fixture()
+def library(engine):
+    install(fill(engine))
+    return engine
+
+
+def test_pairs_are_made_of_a_written_table(library):
+    assert optimized(topic.topic_shared_target(Library(library))).count("Join") == 1
+
+
 def test_summaries_are_hashed_where_they_lie(spark, engine):
     data = [("a", 3, 1.5), ("a", None, math.nan), ("b", 7, 2.0), ("b", 5, None), (None, 9, -1.0)]
     engine.register("t", spark.createDataFrame(data, "k string, n long, x double"))

@@ -37,6 +37,8 @@ def topic_shared_target(lib):
     """Pairs of files that cite one telling target; the cap on citing files bounds the pairs of each target."""
     cites = within(_citations(lib), lib("topic_citation_target"), "t")
     cites = without(without(cites, lib("topic_nondiscriminative_target"), "t"), lib("orientation_curated_hub", "f"), "f")
+    # Written, so that pairs are made of one narrow table in a stage of their own.
+    cites = lib.ctx.shared(cites.select("t", "f"))
     left, right = cites.select("t", F.col("f").alias("left")), cites.select("t", F.col("f").alias("right"))
     return left.join(right, "t").where(F.col("left") < F.col("right"))
 
