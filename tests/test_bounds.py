@@ -6,7 +6,7 @@ import re
 import pytest
 from corpus import fill
 
-from tidemark.library import install, topic
+from tidemark.library import install, orientation, topic
 from tidemark.library.base import Library
 from tidemark.operators import search
 from tidemark.sources import schema, store
@@ -22,10 +22,35 @@ def library(engine):
     return engine
 
 
+def test_dispositions_are_one_grouping(library):
+    found = library.query("? hit_currency_disposition(h, d).")
+    assert optimized(found).count("Join") <= 1
+    of = {r.h: r.d for r in found.collect()}
+    assert of["formal-model/v17.md"] == of["formal-model/v16.md"] == of["formal-model/v15.md"] == "superseded"
+    assert of["formal-model/v14.md"] == "current_head" and of["compiler/exec.md"] == "current" and of["OQ-22"] == "unknown"
+    assert found.count() == len(of) == 15
+
+
 def test_pairs_are_made_of_a_written_table(library):
     assert optimized(topic.topic_shared_target(Library(library))).count("Join") == 1
 
 
+def test_candidates_hold_few_joins(library):
+    assert optimized(orientation.recent_frontier_candidate(Library(library))).count("Join") <= 10
+
+
+def test_bands_and_boosts(engine):
+    row = lambda i, **k: {"corpus": "c", "source": "s", "native_id": i, "id": i, "kind": "file", "file": i, "line": 1, "area": "", "namespace": "", "summary": ""} | k
+    engine.facts("handle", [row("a"), row("b"), row("c"), row("d"), row("e", date="2026-05-01"), row("g/README.md", status="draft"), row("x", status="closed"), row("l", kind="label", file="x")])
+    day = {"a": "2026-05-05", "b": "2026-04-20", "c": "2026-03-01", "d": "2025-06-01", "e": "2026-05-05", "x": "2020-01-01"}
+    engine.facts("git_mtimes", [{"file": f, "instant": f"{at}T12:00:00Z"} for f, at in day.items()])
+    install(engine)
+    rows = lambda q: {tuple(r) for r in engine.query(q).collect()}
+    assert rows("? changed_recently(h, i).") == {("a", "7d"), ("b", "30d"), ("c", "90d"), ("d", "365d")}
+    assert rows("? recent_active_boost(h, i).") == {("g/README.md", 200)} | {(h, 0) for h in "abcdex"}
+    assert rows("? recent_curated_penalty(h, i).") == {("g/README.md", 5000)} | {(h, 0) for h in "abcdex"}
+
+
 def test_summaries_are_hashed_where_they_lie(spark, engine):
     data = [("a", 3, 1.5), ("a", None, math.nan), ("b", 7, 2.0), ("b", 5, None), (None, 9, -1.0)]
     engine.register("t", spark.createDataFrame(data, "k string, n long, x double"))

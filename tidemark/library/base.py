@@ -26,6 +26,7 @@ REGISTRY: dict[str, Spec] = {}
 SHARED = {
     "active", "terminal", "lifecycle_status_classification", "diagnostic", "entropy", "potential", "primary_entropy", "blocked", "status_broken",
     "recently_advanced", "regressed", "re_opened", "holding", "status_drifting_reason", "orientation_inbound_count", "anchor_signal", "anchor_eligible", "stale_reference", "broken_reference", "confidence_gap", "spec_code_drift", "topic_shared_target",
+    "currency_superseded", "currency_disposition", "authored_age", "changed_recently", "recent_active_boost", "recent_frontier_candidate",
 }
 
 
@@ -87,10 +88,10 @@ class Library:
         return p.build(self.ctx).toDF(*p.params)
 
     def bound(self, name: str, **given) -> DataFrame:
-        """A primitive's rows with some positions bound to literals."""
+        """A primitive's rows with some positions bound to literals, or to each of a list."""
         p = self.ctx.primitives[name]
         at = {p.params.index(k): v for k, v in given.items()}
-        seeds = self.ctx.spark.range(1).select(*[F.lit(v).alias(f"p{i}") for i, v in sorted(at.items())])
+        seeds = self.ctx.spark.range(1).select(*[(F.explode(F.array(*map(F.lit, v))) if isinstance(v, list) else F.lit(v)).alias(f"p{i}") for i, v in sorted(at.items())])
         return p.build(self.ctx, seeds).toDF(*p.params)
 
     def last(self) -> Library | None:
@@ -125,6 +126,13 @@ def within(df: DataFrame, other: DataFrame, on: str | list[str]) -> DataFrame:
     return df.join(other.select(*on), on, "left_semi")
 
 
+def marked(**parts: DataFrame) -> DataFrame:
+    """Each h of these frames once, with a column for each frame that says whether h is in it: one grouping of all of
+    them, where a join for each would hold its sorts in the same task."""
+    rows = union(*[df.select("h", *[F.lit(n == k).alias(n) for n in parts]) for k, df in parts.items()])
+    return rows.groupBy("h").agg(*[F.max(n).alias(n) for n in parts])
+
+
 def top(df: DataFrame, by: list[str], key: Column, ties: list[str], k: int) -> DataFrame:
     """The k rows of greatest key in each group, ties broken by ascending columns."""
     if not by:
@@ -158,4 +166,4 @@ def text(c: Column | str) -> Column:
 
 
 NULL = lambda name, kind="string": F.lit(None).cast(kind).alias(name)
-__all__ = ["NULL", "REGISTRY", "Library", "T", "counted", "edges", "evidence", "predicate", "table", "text", "top", "union", "within", "without"]
+__all__ = ["NULL", "REGISTRY", "Library", "T", "counted", "edges", "evidence", "marked", "predicate", "table", "text", "top", "union", "within", "without"]

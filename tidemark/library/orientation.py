@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from .base import Library, counted, edges, predicate, table, top, union, within, without
+from .base import Library, counted, edges, marked, predicate, table, top, union, within, without
 
 #: Ends of names of files that lead to others.
 HUBS = ["README.md", "INDEX.md", "index.md", "overview.md", "glossary.md", "roadmap.md", "OPEN-QUESTIONS.md", "LABELS.md"]
@@ -69,10 +69,17 @@ def currency_current_head(lib):
 @predicate("currency_disposition", "h disposition", "currency")
 def currency_disposition(lib):
     """superseded, current_head, current or unknown."""
-    gone, head, here = lib("currency_superseded"), lib("currency_current_head"), lib("currency_current")
-    says = lambda df, what: df.select("h", F.lit(what).alias("disposition"))
-    unknown = without(without(lib.handles(), here, "h"), gone, "h")
-    return union(says(gone, "superseded"), says(head, "current_head"), says(without(here, head, "h"), "current"), says(unknown, "unknown"))
+    of = marked(known=lib.handles(), gone=lib("currency_superseded"), head=lib("currency_current_head"), here=lib("currency_current"))
+    # A null equals no other, as in joins.
+    c, null = F.col, F.col("h").isNull()
+    says = lambda when, what: F.when(when, F.lit(what))
+    found = F.array(
+        says(c("gone"), "superseded"),
+        says(c("head"), "current_head"),
+        says(c("here") & (null | ~c("head")), "current"),
+        says(c("known") & (null | ~(c("here") | c("gone"))), "unknown"),
+    )
+    return of.select("h", F.explode(F.array_compact(found)).alias("disposition"))
 
 
 @predicate("orientation_inbound_count", "h degree", "importance")
@@ -108,14 +115,11 @@ def recent_frontier_authored_age(lib):
 @predicate("changed_recently", "h band", "recency")
 def changed_recently(lib):
     """Undated handles by how long ago their file changed."""
-    undated = lib.handles().where("date is null").select("h").distinct()
-    touched = {d: lib.bound("changed_within", days=d).select("h") for d in (7, 30, 90, 365)}
-    parts, before = [], None
-    for d, df in touched.items():
-        own = within(undated, df, "h")
-        parts.append((own if before is None else without(own, before, "h")).withColumn("band", F.lit(f"{d}d")))
-        before = df
-    return union(*parts)
+    days = [7, 30, 90, 365]
+    touched = lib.bound("changed_within", days=days)
+    of = marked(undated=lib.handles().where("date is null"), **{f"in{d}": touched.where(F.col("days") == d) for d in days})
+    bands = [F.when(F.col(f"in{d}") & ~F.col(f"in{before}") if before else F.col(f"in{d}"), F.lit(f"{d}d")) for before, d in zip([None, *days], days)]
+    return of.where("undated and h is not null").select("h", F.explode(F.array_compact(F.array(*bands))).alias("band"))
 
 
 @predicate("recent_frontier_change_score", "h score", "composition")
@@ -127,11 +131,10 @@ def recent_frontier_change_score(lib):
 @predicate("recent_active_boost", "h boost", "composition")
 def recent_active_boost(lib):
     """200 for active files with a status, 0 for terminal ones and those without."""
-    files, stated = lib("orientation_file").select("h"), lib("status_of")
-    with_status = within(files, stated, "h")
-    value = lambda df, n: df.select("h", F.lit(n).cast("long").alias("boost"))
-    bare = within(files, lib.handles().where("status is null"), "h")
-    return union(value(within(with_status, lib("active"), "h"), 200), value(bare, 0), value(within(with_status, lib("terminal"), "h"), 0))
+    of = marked(file=lib("orientation_file"), stated=lib("status_of"), bare=lib.handles().where("status is null"), active=lib("active"), terminal=lib("terminal"))
+    c, value = F.col, lambda when, n: F.when(when, F.lit(n).cast("long"))
+    found = F.array(value(c("stated") & c("active"), 200), value(c("bare") | (c("stated") & c("terminal")), 0))
+    return of.where("file and h is not null").select("h", F.explode(F.array_compact(found)).alias("boost"))
 
 
 @predicate("recent_inbound_boost", "h boost", "composition")
@@ -143,8 +146,8 @@ def recent_inbound_boost(lib):
 @predicate("recent_curated_penalty", "h penalty", "composition")
 def recent_curated_penalty(lib):
     """5000 for hubs, 0 for other files."""
-    hubs = lib("orientation_curated_hub").withColumn("penalty", F.lit(5000).cast("long"))
-    return lib("orientation_file").select("h").distinct().join(hubs, "h", "left").withColumn("penalty", F.coalesce("penalty", F.lit(0).cast("long")))
+    of = marked(file=lib("orientation_file"), hub=lib("orientation_curated_hub")).where("file")
+    return of.select("h", F.when(F.col("hub") & F.col("h").isNotNull(), 5000).otherwise(0).cast("long").alias("penalty"))
 
 
 @predicate("recent_frontier_candidate", "h recency active_boost inbound_boost curated_penalty", "composition")
