@@ -86,3 +86,15 @@ def test_snapshots_are_dealt_by_their_rows(spark, engine, monkeypatch):
 def test_texts_are_scored_once(engine):
     fill(engine)
     assert "contains(text" not in optimized(search.ranked(engine, ["jit spec", "open question"])).lower()
+
+
+def test_no_writing_task_holds_many_partitions(spark, engine):
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    try:
+        assert len(engine.written(spark.range(4000).groupBy("id").count()).inputFiles()) == 40
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

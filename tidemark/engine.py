@@ -182,7 +182,9 @@ class Engine:
         path = f"{found.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
         void = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
         whole = df.select(*[F.col(c).cast("string").alias(c) if c in void else F.col(c) for c in df.columns])
-        whole.coalesce(self._tasks(df)).write.parquet(path)
+        plan = str(df._jdf.queryExecution().optimizedPlan().toString())
+        # After a shuffle, several of its partitions in one writing task would each hold their sorts and maps in it.
+        (whole.hint("rebalance") if any(x in plan for x in ("Join", "Aggregate", "Window", "Sort")) else whole.coalesce(self._tasks(df))).write.parquet(path)
         at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         back = self.spark.read.parquet(path)
